@@ -28,7 +28,7 @@ SHORT = 96
 #: Words that a generation of the memo holds at most.
 MEMO = 150_000
 #: White space as the tokenizer's patterns have it (Unicode White_Space).
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + chr(0x2000) + "-" + chr(0x200A)
 FAR = 1 << 60
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
