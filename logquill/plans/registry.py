@@ -1,4 +1,6 @@
 """All registered queries of the log engine and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from logquill.plans.oracle import ORACLE_SQL
+from logquill.plans.queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
