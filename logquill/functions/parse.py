@@ -55,10 +55,9 @@ def flags(checks: list[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*(F.when(c, name) for name, c in checks)))
 
 
-def quick_reason(value: Column) -> Column:
-    """Why a line can't be read, from its bytes alone; null if it looks well formed."""
-    data = value.cast("binary")
-    head, n = header(data), F.octet_length(data)
+def quick_reason(n: Column, head: Column) -> Column:
+    """Why a line of n bytes with this header can't be read, from its bytes alone; null if it looks well
+    formed."""
     return (
         F.when(n > LONGEST, "oversized_line").when(n < HEADER, "short_line").when(~separators_hold(head), "bad_separator")
         .when(timestamp_ms(head).isNull(), "bad_timestamp").when(level_class(F.substring(head, 15, 1)) == 255, "bad_level")

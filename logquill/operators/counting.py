@@ -29,7 +29,8 @@ def line_classes(parsed: DataFrame) -> DataFrame:
 
 def reject_reasons(lines: DataFrame) -> DataFrame:
     """reason, n of lines that can't be read."""
-    reason = lines.select(p.quick_reason(F.col("value")).alias("reason"))
+    cut = lines.select(F.octet_length("value").alias("n"), p.header(F.col("value").cast("binary")).alias("head"))
+    reason = cut.select(p.quick_reason(F.col("n"), F.col("head")).alias("reason"))
     return reason.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
 

@@ -9,6 +9,7 @@ from logquill.functions import parse as p
 from logquill.functions import stats as s
 from logquill.operators import counting, windows
 from logquill.sources import vocabulary as voc
+from logquill.sources.tables import written
 
 MIX_WINDOW, MIX_LINES, MIX_LIMIT = 60, 50, 0.02
 LATENCY_LINES, LATENCY_FACTOR, WARMUP_S = 20, 2.0, 60
@@ -17,11 +18,11 @@ NEW_LINES, NEW_SHARE, NEW_WINDOW = 5, 0.01, 60
 RATIO_WARNING, RATIO_HIGH = 0.005, 0.05
 
 
-def code_mix(parsed: DataFrame, sums: DataFrame) -> DataFrame:
-    """key, sec, code, n60, p, q: share of each warning code in the component's warnings of the last
+def code_mix(code_seconds: DataFrame, sums: DataFrame) -> DataFrame:
+    """Of counts by key, code and second: key, sec, code, n60, p, q: share of each warning code in the component's warnings of the last
     minute, and in its catalogued mix. Components with one warning code have no mix."""
-    catalog = voc.codes(parsed.sparkSession).where("level = 'W' AND places > 1").select("key", "code", F.col("weight").alias("q"))
-    counts = counting.code_counts(parsed, by_second=True).join(F.broadcast(catalog.select("key", "code")), ["key", "code"])
+    catalog = voc.codes(sums.sparkSession).where("level = 'W' AND places > 1").select("key", "code", F.col("weight").alias("q"))
+    counts = code_seconds.join(F.broadcast(catalog.select("key", "code")), ["key", "code"])
     grid = sums.select("key", "sec").join(F.broadcast(catalog), "key")
     dense = grid.join(counts, ["key", "code", "sec"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rolled = windows.sliding(dense, ("n",), (MIX_WINDOW,), ("key", "code"))
@@ -39,7 +40,7 @@ def mix_drift(mix: DataFrame, sums: DataFrame, limit: float = MIX_LIMIT) -> Data
 
 
 def percentiles(histogram: DataFrame, share: float = 0.95, keys: tuple[str, ...] = ("key",)) -> DataFrame:
-    """keys, upper_ms and lower_ms: edges of the first bin up to which that share of lines lies.
+    """keys, lines, upper_ms and lower_ms: edges of the first bin up to which that share of lines lies.
 
     upper_ms leaves latencies out that can't be read, lower_ms has them in the last bin."""
     order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -49,19 +50,17 @@ def percentiles(histogram: DataFrame, share: float = 0.95, keys: tuple[str, ...]
     rows = rows.withColumns({"_upto": F.sum("n").over(order), "_all": F.sum("n").over(whole), "_good_upto": F.sum("_good").over(order), "_good_all": F.sum("_good").over(whole)})
     upper = F.min(F.when((F.col("_good_all") > 0) & (F.col("_good_upto") >= share * F.col("_good_all")), F.col("bin")))
     lower = F.min(F.when(F.col("_upto") >= share * F.col("_all"), F.col("bin")))
-    found = rows.groupBy(*keys).agg(upper.alias("_u"), lower.alias("_l"))
+    found = rows.groupBy(*keys).agg(upper.alias("_u"), lower.alias("_l"), F.sum("n").alias("lines"))
     power = lambda b: F.pow(F.lit(2.0), b).cast("long")
-    return found.select(*keys, power(F.col("_u")).alias("upper_ms"), F.when(F.col("_l") == 0, 0).otherwise(power(F.col("_l") - 1)).cast("long").alias("lower_ms"))
+    return found.select(*keys, "lines", power(F.col("_u")).alias("upper_ms"), F.when(F.col("_l") == 0, 0).otherwise(power(F.col("_l") - 1)).cast("long").alias("lower_ms"))
 
 
-def latency_shift(parsed: DataFrame, sums: DataFrame, factor: float = LATENCY_FACTOR) -> DataFrame:
+def latency_shift(parsed: DataFrame, factor: float = LATENCY_FACTOR) -> DataFrame:
     """key, window_start, upper_ms, baseline_ms, shifted: p95 of each minute of a component against that
     of its first minute."""
-    first = counting.per_second(parsed).agg(F.min("sec").alias("t0"))
     start = F.floor(F.col("sec") / WARMUP_S) * WARMUP_S
     minutes = counting.latency_histogram(parsed, by_second=True).groupBy("key", start.alias("window_start"), "bin").agg(F.sum("n").alias("n"))
-    lines = minutes.groupBy("key", "window_start").agg(F.sum("n").alias("lines"))
-    each = percentiles(minutes, keys=("key", "window_start")).join(lines, ["key", "window_start"]).where(F.col("lines") >= LATENCY_LINES)
+    each = percentiles(minutes, keys=("key", "window_start")).where(F.col("lines") >= LATENCY_LINES)
     order = Window.partitionBy("key").orderBy("window_start")
     rows = each.withColumn("baseline_ms", F.first("upper_ms").over(order))
     return rows.select("key", "window_start", "lines", "upper_ms", "baseline_ms", (F.col("upper_ms") > factor * F.col("baseline_ms")).alias("shifted"))
@@ -77,14 +76,13 @@ def silence_runs(dense: DataFrame, least_s: int = SILENT_S) -> DataFrame:
     return runs.join(F.broadcast(usual), "key").select("key", "first_sec", "last_sec", "seconds", (F.col("seconds") >= least_s).alias("silent"))
 
 
-def new_codes(parsed: DataFrame) -> DataFrame:
+def new_codes(code_seconds: DataFrame, per_second: DataFrame) -> DataFrame:
     """key, code, window_start, n, lines, is_new: codes the catalog lacks by minute, and whether they
     are many enough to be told."""
     start = F.floor(F.col("sec") / NEW_WINDOW) * NEW_WINDOW
-    seconds = counting.code_counts(parsed, by_second=True)
-    known = voc.codes(parsed.sparkSession).select("code")
-    unknown = seconds.join(F.broadcast(known), "code", "left_anti").groupBy("key", "code", start.alias("window_start")).agg(F.sum("n").alias("n"))
-    lines = counting.per_second(parsed).groupBy("key", start.alias("window_start")).agg(F.sum("tot").alias("lines"))
+    known = voc.codes(per_second.sparkSession).select("code")
+    unknown = code_seconds.join(F.broadcast(known), "code", "left_anti").groupBy("key", "code", start.alias("window_start")).agg(F.sum("n").alias("n"))
+    lines = per_second.groupBy("key", start.alias("window_start")).agg(F.sum("tot").alias("lines"))
     told = (F.col("n") >= NEW_LINES) & (F.col("n") >= NEW_SHARE * F.col("lines"))
     return unknown.join(lines, ["key", "window_start"]).select("key", "code", "window_start", "n", "lines", told.alias("is_new"))
 
@@ -94,7 +92,7 @@ def unidentified_ratio(parsed: DataFrame, window: int = 60) -> DataFrame:
     told to a component or code."""
     bad = F.col("class").isin("bad_level", "unknown_component", "unknown_code", "malformed_header", "oversized_line")
     seconds = parsed.where("sec IS NOT NULL").groupBy("sec").agg(F.count("*").alias("tot"), F.count_if(bad).alias("bad"))
-    dense = windows.dense(seconds.withColumn("key", F.lit("")), ("tot", "bad"))
+    dense = windows.dense(written(seconds.withColumn("key", F.lit("")), "ratio-seconds"), ("tot", "bad"))
     rows = windows.sliding(dense, ("tot", "bad"), (window,))
     return rows.select("sec", F.col("tot60").alias("lines"), F.col("bad60").alias("bad"), F.round(s.rate(F.col("bad60"), F.col("tot60")), 6).alias("ratio"))
 

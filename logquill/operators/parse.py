@@ -42,14 +42,12 @@ def parse(lines: DataFrame) -> DataFrame:
         ("non_utf8_message", whole & ~F.is_valid_utf8(F.col("_rest").cast("string"))),
         ("unknown_code", whole & bad_code),
     ]
-    kind = F.lit("valid")
-    for name, failed in reversed(checks):
-        kind = F.when(failed, name).otherwise(kind)
     keep = [c for c in lines.columns if c != "value"]
-    return joined.select(
+    told = joined.withColumn("flags", p.flags(checks))  # in the order of precedence, so the first is the class
+    return told.select(
         *keep, "value", "ts_ms", F.floor(F.col("ts_ms") / 1000).alias("sec"), "level", level.alias("level_class"), "service", "component",
         F.concat_ws(".", "service", "component").alias("key"), "code", "latency_ms", "trace",
-        F.make_valid_utf8(F.col("_rest").cast("string")).alias("message"), "raw_len", kind.alias("class"), p.flags(checks).alias("flags"),
+        F.make_valid_utf8(F.col("_rest").cast("string")).alias("message"), "raw_len", F.coalesce(F.get("flags", F.lit(0)), F.lit("valid")).alias("class"), "flags",
     )
 
 

@@ -12,6 +12,7 @@ from logquill.operators import baseline, counting, detectors, drift, faults, inc
 from logquill.operators.parse import parse
 from logquill.sources import outbox
 from logquill.sources.loglines import EPOCH_MS, lines_from_events
+from logquill.sources.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FIRST_SEC = EPOCH_MS // 1000
@@ -35,7 +36,9 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.dense(counting.per_second(parsed(spark, sf_dir)))
+    """The dense calendar over per-second counts, which are written: they are as good as nothing beside
+    the log, and the log is parsed once."""
+    return windows.dense(written(counting.per_second(parsed(spark, sf_dir)), "per-second"))
 
 
 def sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.alerts(states(spark, sf_dir))
+    return written(detectors.alerts(states(spark, sf_dir)), "alerts")
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -199,16 +202,20 @@ def rollup_alerts(spark, d):
     return rounded(detectors.rollup_alerts(windows.rollup(sums(spark, d))), "observed")
 
 
+def mix(spark, d):
+    per_code = written(counting.code_counts(parsed(spark, d), by_second=True), "code-seconds")
+    w = sums(spark, d)
+    return drift.mix_drift(drift.code_mix(per_code, w), w)
+
+
 @query
 def js_code_mix(spark, d):
-    p, w = parsed(spark, d), sums(spark, d)
-    return drift.mix_drift(drift.code_mix(p, w), w).select("key", "sec", "js", "drifted")
+    return mix(spark, d).select("key", "sec", "js", "drifted")
 
 
 @query
 def moved_code(spark, d):
-    p, w = parsed(spark, d), sums(spark, d)
-    return drift.mix_drift(drift.code_mix(p, w), w).select("key", "sec", "moved_code", "moved_by")
+    return mix(spark, d).select("key", "sec", "moved_code", "moved_by")
 
 
 @query
@@ -223,7 +230,7 @@ def p95_lower(spark, d):
 
 @query
 def latency_shift(spark, d):
-    return drift.latency_shift(parsed(spark, d), sums(spark, d), factor=1.5)
+    return drift.latency_shift(parsed(spark, d), factor=1.5)
 
 
 @query
@@ -233,7 +240,8 @@ def silence_runs(spark, d):
 
 @query
 def new_code(spark, d):
-    return drift.new_codes(parsed(spark, d))
+    p = parsed(spark, d)
+    return drift.new_codes(counting.code_counts(p, by_second=True), counting.per_second(p))
 
 
 @query

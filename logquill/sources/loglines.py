@@ -14,6 +14,17 @@ from logquill.sources import vocabulary as voc
 EPOCH_MS = 1790603400000
 #: The adapter's fault: component index, first and last second, share of a hundred events.
 FAULT_INDEX, FAULT_FIRST, FAULT_LAST, FAULT_SHARE = 7, 80, 139, 60
+LONG = 100_000
+#: Broken lines by event_id modulo 997: what is kept up to, put in, kept (from, length), put in, kept from.
+BROKEN = [
+    (1, 0, "garbage line without a header", 1, 0, "", LONG),
+    (2, 19, ",", 1, 0, "", 21),
+    (3, 12, "a", 1, 0, "", 14),
+    (4, 14, "X", 1, 0, "", 16),
+    (5, 16, "ZZZ|QQQ", 1, 0, "", 24),
+    (6, 14, "E", 16, 9, "E9999", 30),
+    (7, 46, "x" * 9000, 1, 0, "", LONG),
+]
 
 
 def read_log(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
@@ -60,17 +71,8 @@ def lines_from_events(events: DataFrame) -> DataFrame:
         F.lower(F.lpad(F.hex("event_id"), 8, "0")), F.lit("|"), message,
     )
     whole = drawn.select("event_id", line.alias("line"))
-    part = lambda a, n: F.substring("line", a, n)
-    rest = lambda a: F.substring("line", a, 100000)
-    kind = F.col("event_id") % 997
-    value = (
-        F.when(kind == 1, "garbage line without a header")
-        .when(kind == 2, F.concat(part(1, 19), F.lit(","), rest(21)))
-        .when(kind == 3, F.concat(part(1, 12), F.lit("a"), rest(14)))
-        .when(kind == 4, F.concat(part(1, 14), F.lit("X"), rest(16)))
-        .when(kind == 5, F.concat(part(1, 16), F.lit("ZZZ|QQQ"), rest(24)))
-        .when(kind == 6, F.concat(part(1, 14), F.lit("E"), part(16, 9), F.lit("E9999"), rest(30)))
-        .when(kind == 7, F.concat(part(1, 46), F.repeat(F.lit("x"), 9000)))
-        .otherwise(F.col("line"))
-    )
-    return whole.select("event_id", value.alias("value"))
+    edits = spark.createDataFrame(BROKEN, "kind long, left int, first string, middle int, middle_n int, second string, rest int")
+    edited = whole.join(F.broadcast(edits), whole["event_id"] % 997 == edits["kind"], "left")
+    cut = lambda a, n: F.substring(F.col("line"), a, n)
+    value = F.concat(cut(F.lit(1), F.col("left")), "first", cut(F.col("middle"), F.col("middle_n")), "second", cut(F.col("rest"), F.lit(LONG)))
+    return edited.select("event_id", F.when(F.col("left").isNull(), F.col("line")).otherwise(value).alias("value"))
