@@ -29,6 +29,8 @@ SHORT = 96
 MEMO = 150_000
 #: White space as the tokenizer's patterns have it (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + chr(0x2000) + "-" + chr(0x200A)
+#: A private-use letter, which is neither letter, digit nor space to the patterns.
+UNASSIGNED = "\ue000"
 FAR = 1 << 60
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -59,7 +61,7 @@ class WordBpe:
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.ranks[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)
-        self.find_words = regex.compile(pattern).findall
+        self.find_words = regex.compile(pattern).finditer
         self.find_runs = re.compile(f"[^{SPACE}]+").findall
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.letters = byte_letters()
@@ -109,7 +111,9 @@ class WordBpe:
 
     def run_forms(self, run: str) -> tuple[str, str, int]:
         """Ids and tokens, each joined by spaces, and their number, of text without white space."""
-        ids = [i for word in self.find_words(run) for i in self.word_ids(word)]
+        # unassigned code points are no letters, whatever the regex module's tables say
+        seen = run if run.isascii() else "".join(UNASSIGNED if unicodedata.category(c) == "Cn" else c for c in run)
+        ids = [i for m in self.find_words(seen) for i in self.word_ids(run[m.start() : m.end()])]
         return " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids), len(ids)
 
     def normal(self, text: str) -> str:

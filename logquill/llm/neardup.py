@@ -5,9 +5,10 @@
 2. Several trees each order the signature's values in their own way. Classes are sorted by each
    tree's order; those with a common prefix of MIN_DEPTH values or more form a region. A small
    region gives all its pairs. A large one is descended, level by level, to where it is small; at
-   each level its members meet their neighbours in the order and pivots from its heaviest branch,
-   which in a group of many altered copies are the least altered ones. So depth adapts to how
-   crowded a region is, and candidates grow with the number of classes, not with its square.
+   each level its members meet their neighbours in the order. So depth adapts to how crowded a
+   region is. Besides, the members of a large region meet its hubs: those that lie on the heaviest
+   branch in most trees, which in a group of many altered copies are the least altered ones. So
+   candidates grow with the number of classes, not with its square.
 3. Pairs whose signatures or set sizes rule the threshold out go. The best few partners of each class
    are confirmed first, on full sets; then every remaining pair that would join two components.
    A pair inside a component can't change it.
@@ -33,8 +34,8 @@ from logquill.llm.common import free_name, slices, stored
 SHINGLE, PERCENT = 5, 75
 TREES, MIN_DEPTH, DEPTH = 24, 4, 10
 VALUES = TREES * MIN_DEPTH
-#: Regions of that size or less give all their pairs; neighbours and pivots of larger ones.
-SMALL, NEIGHBOURS, PIVOTS = 6, 2, 2
+#: Regions of that size or less give all their pairs; neighbours and hubs of larger ones.
+SMALL, NEIGHBOURS, HUBS = 8, 2, 4
 #: Partners of each class that are confirmed first.
 FIRST = 3
 #: Share of equal signature values that a pair needs: 4.5 standard deviations below the threshold.
@@ -113,12 +114,13 @@ def common_depth(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.maximum(np.cumprod(levels, axis=1).sum(axis=1) - 1, 0)])
 
 
-def region_pairs(shared: np.ndarray) -> set[tuple[int, int]]:
+def region_pairs(shared: np.ndarray) -> tuple[set[tuple[int, int]], list[tuple[int, int, int, int]]]:
     """Pairs of positions to compare, for sorted keys whose depth shared with the one before is
-    `shared`."""
+    `shared`; and the large regions with their heaviest branches (start, end, start, end)."""
     out: set[tuple[int, int]] = set()
+    large: list[tuple[int, int, int, int]] = []
     bounds = [0, *np.flatnonzero(shared[1:] < MIN_DEPTH) + 1, len(shared)]
-    todo = [(a, b, MIN_DEPTH) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1]
+    todo = [(int(a), int(b), MIN_DEPTH) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1]
     while todo:
         a, b, depth = todo.pop()
         if b - a <= SMALL:
@@ -126,28 +128,29 @@ def region_pairs(shared: np.ndarray) -> set[tuple[int, int]]:
             continue
         for step in range(1, NEIGHBOURS + 1):
             out |= {(i, i + step) for i in range(a, b - step)}
-        # the heaviest branch, followed down to the last level, has the pivots
         low, high = a, b
         for level in range(depth, DEPTH):
-            cuts = [low, *(low + 1 + np.flatnonzero(shared[low + 1 : high] <= level)), high]
-            widths = np.diff(cuts)
-            k = int(np.argmax(widths))
+            cuts = [low, *(low + 1 + np.flatnonzero(shared[low + 1 : high] <= level)).tolist(), high]
             if level == depth:
-                todo += [(c, c + w, depth + 1) for c, w in zip(cuts, widths.tolist(), strict=False) if w > 1]
-            low, high = cuts[k], cuts[k + 1]
-            if high - low <= 1:
+                todo += [(c, e, depth + 1) for c, e in zip(cuts, cuts[1:], strict=False) if e - c > 1]
+                if depth > MIN_DEPTH:
+                    break
+            k = int(np.argmax(np.diff(cuts)))
+            if cuts[k + 1] - cuts[k] < 2:
                 break
-        for pivot in range(low, min(high, low + PIVOTS)):
-            out |= {(min(i, pivot), max(i, pivot)) for i in range(a, b) if i != pivot}
-    return out
+            low, high = cuts[k], cuts[k + 1]
+        if depth == MIN_DEPTH:
+            large.append((a, b, low, high))
+    return out, large
 
 
-PAIRS = "a binary, b binary, key binary"
+FOUND = "kind string, a binary, b binary, key binary, heavy boolean"
 
 
-def candidate_pairs(sorted_keys: DataFrame) -> DataFrame:
-    """(a, b, null) of candidates inside each partition, and (node, null, key) of the rows next to
-    its ends."""
+def search_forest(sorted_keys: DataFrame) -> DataFrame:
+    """Rows of kind pair (a, b) from each partition, end (a, key) for what lies next to its ends, and
+    member (a, key of its large region, heavy)."""
+    size = 1 + 2 * MIN_DEPTH
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: list[tuple] = []
@@ -155,21 +158,24 @@ def candidate_pairs(sorted_keys: DataFrame) -> DataFrame:
         nodes: list[bytes] = []
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True)) or [[]] * 3
-            return pa.record_batch([pa.array(c, pa.binary()) for c in columns], names=["a", "b", "key"])
+            columns = list(zip(*found, strict=True)) or [[]] * 5
+            kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "a", "b", "key", "heavy"])
 
         def flush(until: int) -> pa.RecordBatch:
             shared = common_depth(np.frombuffer(b"".join(keys[:until]), np.uint8).reshape(until, -1))
-            pairs = [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), None) for i, j in region_pairs(shared)]
-            return rows(list(dict.fromkeys(pairs)))
+            pairs, large = region_pairs(shared)
+            found = [("pair", min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), None, None) for i, j in pairs]
+            for a, b, low, high in large:
+                found += [("member", nodes[i], None, keys[i][:size], low <= i < high) for i in range(a, b)]
+            return rows(list(dict.fromkeys(found)))
 
         for batch in batches:
             keys += batch["key"].to_pylist()
             nodes += batch["node"].to_pylist()
             if len(head) < NEIGHBOURS:
-                head = [(n, None, k) for n, k in zip(nodes[:NEIGHBOURS], keys[:NEIGHBOURS], strict=True)]
+                head = [("end", n, None, k, None) for n, k in zip(nodes[:NEIGHBOURS], keys[:NEIGHBOURS], strict=True)]
             # a region goes on into the next batch: hold it back, unless it fills the memory's share
-            size = 1 + 2 * MIN_DEPTH
             until = next((i for i in range(len(keys) - 1, 0, -1) if keys[i][:size] != keys[i - 1][:size]), 0)
             if not until and len(keys) > 200_000:
                 until = len(keys) - NEIGHBOURS
@@ -178,25 +184,37 @@ def candidate_pairs(sorted_keys: DataFrame) -> DataFrame:
                 keys, nodes = keys[until:], nodes[until:]
         if keys:
             yield flush(len(keys))
-            tail = [(n, None, k) for n, k in zip(nodes[-NEIGHBOURS:], keys[-NEIGHBOURS:], strict=True)]
+            tail = [("end", n, None, k, None) for n, k in zip(nodes[-NEIGHBOURS:], keys[-NEIGHBOURS:], strict=True)]
             yield rows(head + [x for x in tail if x not in head])
 
-    return sorted_keys.mapInArrow(find, PAIRS)
+    return sorted_keys.mapInArrow(find, FOUND)
+
+
+def across_ends(found: DataFrame) -> DataFrame:
+    """(a, b) of neighbours that a boundary between partitions parts."""
+    ends = found.where("kind = 'end'").select(F.substring("key", 1, 1 + 2 * MIN_DEPTH).alias("region"), "key", F.col("a").alias("node"))
+    near = Window.partitionBy("region").orderBy("key", "node")
+    others = F.array(*(F.lead("node", k).over(near) for k in range(1, NEIGHBOURS + 1)))
+    pairs = ends.withColumn("others", others).select("node", F.explode("others").alias("other")).where(F.col("other").isNotNull() & (F.col("node") != F.col("other")))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+
+
+def with_hubs(found: DataFrame) -> DataFrame:
+    """(a, b) of each member of a large region and the region's hubs."""
+    members = found.where("kind = 'member'").select(F.col("a").alias("node"), F.col("key").alias("region"), "heavy")
+    central = members.groupBy("node").agg(F.count_if("heavy").alias("trees"))
+    best = Window.partitionBy("region").orderBy(F.desc("trees"), "node")
+    ranked = members.join(central, "node").select("region", "node", "trees").withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS)
+    hubs = stored(ranked.groupBy("region").agg(F.collect_list("node").alias("hubs")), "hubs")
+    pairs = members.join(hubs, "region").select("node", F.explode("hubs").alias("hub")).where("node <> hub")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, of the forest's candidates."""
     ordered = forest(classes).repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    found = stored(candidate_pairs(ordered), "forest")
-    inside = found.where(F.col("b").isNotNull()).select("a", "b")
-    ends = found.where(F.col("key").isNotNull()).select(F.substring("key", 1, 1 + 2 * MIN_DEPTH).alias("region"), "key", F.col("a").alias("node"))
-    near = Window.partitionBy("region").orderBy("key", "node")
-    across = [ends.withColumn("other", F.lead("node", k).over(near)) for k in range(1, NEIGHBOURS + 1)]
-    pairs = across[0]
-    for more in across[1:]:
-        pairs = pairs.union(more)
-    pairs = pairs.where(F.col("other").isNotNull() & (F.col("node") != F.col("other"))).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    return inside.union(pairs).distinct()
+    found = stored(search_forest(ordered), "forest")
+    return found.where("kind = 'pair'").select("a", "b").union(across_ends(found)).union(with_hubs(found)).distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
