@@ -30,7 +30,7 @@ def sliding(rows: DataFrame, values: tuple[str, ...] = ("tot", "err", "warn"), w
     rows."""
     longest = max(windows)
     chunk = F.floor(F.col("sec") / CHUNK_S)
-    dealt = rows.withColumn("_chunk", F.explode(F.array_distinct(F.array(chunk, F.floor((F.col("sec") + longest - 1) / CHUNK_S)))))
+    dealt = rows.withColumn("_chunk", F.explode(F.sequence(chunk, F.floor((F.col("sec") + longest - 1) / CHUNK_S))))
     order = Window.partitionBy(*keys, "_chunk").orderBy("sec")
     sums = [F.sum(v).over(order.rowsBetween(1 - w, 0)).alias(f"{v}{w}") for w in windows for v in values]
     return dealt.select(*rows.columns, "_chunk", *sums).where(F.col("_chunk") == chunk).drop("_chunk")

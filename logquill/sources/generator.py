@@ -1,0 +1,87 @@
+"""Synthetic logs: lines of every component at its rate, errors and warnings at theirs, with faults.
+
+Each line is a pure function of seed, component, second and number, so a log of any size comes out
+of independent tasks, the same for the same seed. Distributions follow the vocabulary; a fault of
+kind rate replaces a component's error rate, silence stops it, volume multiplies its lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from logquill.operators.faults import ramped
+from logquill.sources import vocabulary as voc
+from logquill.sources.loglines import EPOCH_MS, format_line
+
+SIGMA, LEAST_MS, MOST_MS = 0.55, 2, 120_000
+LATENCY_COUPLING, LATENCY_CAP = 0.35, 6.0
+
+
+def draw(seed: int, salt: str, *columns: str) -> Column:
+    """A uniform number in [0, 1) of the columns."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *columns), F.lit(1 << 40)) / float(1 << 40)
+
+
+def normal(seed: int, salt: str, *columns: str) -> Column:
+    """A standard normal number of the columns, from two uniform ones."""
+    u, v = draw(seed, salt + "u", *columns), draw(seed, salt + "v", *columns)
+    return F.sqrt(-2 * F.ln(F.greatest(u, F.lit(1e-12)))) * F.cos(2 * 3.141592653589793 * v)
+
+
+def rates(spark: SparkSession, seconds: int, faults: DataFrame | None = None, daily: bool = False) -> DataFrame:
+    """key, sec (from 0), lines a second, error and warning rate, with faults and what they pass on to
+    dependent components, hop by hop along the graph."""
+    grid = spark.range(seconds).withColumnRenamed("id", "sec").withColumn("dims", F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("key", "service", "component", "rps", "err", "warn", "p50_ms"), (k, s, c, r, e, w, p), strict=True))) for _, k, s, c, _, r, e, w, p in voc.DEFAULT.component_rows())))
+    rows = grid.select("sec", F.inline("dims"))
+    if daily:
+        hour = F.hour(F.timestamp_seconds(F.lit(EPOCH_MS // 1000) + F.col("sec")))
+        curve = F.broadcast(voc.daily_curve(spark))
+        rows = rows.withColumn("hour", hour).join(curve, "hour", "left").withColumns({"rps": F.col("rps") * F.coalesce("volume", F.lit(1.0)), "err": F.col("err") * F.coalesce("err_mult", F.lit(1.0))}).drop("hour", "volume", "err_mult")
+    rows = rows.withColumn("rate", F.col("err"))
+    if faults is not None:
+        live = F.broadcast(faults.withColumnRenamed("key", "of"))
+        hit = (F.col("key") == F.col("of")) & (F.col("sec") >= F.col("start_sec")) & (F.col("sec") < F.col("end_sec"))
+        keys = [c for c in rows.columns if c != "rate"]
+        joined = rows.join(live, hit, "left").groupBy(*keys).agg(F.max_by(F.struct("kind", "target", "ramp_s", "start_sec"), "fault").alias("f"))
+        kind = F.col("f.kind")
+        forced = ramped(F.col("err"), F.col("f.target"), F.col("sec"), F.col("f.start_sec"), F.col("f.ramp_s"))
+        rows = joined.withColumns({"rate": F.when(kind == "rate", forced).otherwise(F.col("err")), "forced": F.coalesce(kind == "rate", F.lit(False)), "rps": F.when(kind == "silence", 0.0).when(kind == "volume", F.col("rps") * F.col("f.target")).otherwise(F.col("rps"))}).drop("f")
+        rows = passed_on(rows)
+    return rows.select("key", "service", "component", "sec", "rps", "rate", "warn", "p50_ms", "err")
+
+
+def passed_on(rows: DataFrame, hops: int = 4) -> DataFrame:
+    """rows with rate raised by what upstream components' rates were above their base, lag seconds
+    before; a forced rate stays. The longest path of the graph has that many hops."""
+    edges = voc.edges(rows.sparkSession)
+    for _ in range(hops):
+        up = rows.select(F.col("key").alias("src"), F.col("sec").alias("then"), (F.col("rate") - F.col("err")).alias("above"))
+        wanted = rows.select("key", "sec").join(F.broadcast(edges), F.col("key") == F.col("dst")).withColumn("then", F.col("sec") - F.ceil("lag_s"))
+        added = wanted.join(up, ["src", "then"], "left").groupBy("key", "sec").agg(F.sum(F.col("coupling") * F.greatest(F.lit(0.0), F.coalesce("above", F.lit(0.0)))).alias("added"))
+        rate = F.when(F.col("forced"), F.col("rate")).otherwise(F.least(F.col("err") + F.coalesce("added", F.lit(0.0)), F.lit(1.0)))
+        rows = rows.join(added, ["key", "sec"], "left").withColumn("rate", rate).drop("added")
+    return rows
+
+
+def generate(spark: SparkSession, seconds: int, seed: int = 7, faults: DataFrame | None = None, daily: bool = False) -> DataFrame:
+    """value: the log's lines of that many seconds; not in order."""
+    rows = rates(spark, seconds, faults, daily)
+    amount = F.floor(F.col("rps") * (1 + 0.08 * (2 * draw(seed, "jitter", "key", "sec") - 1)) + draw(seed, "carry", "key", "sec")).cast("int")
+    lines = rows.where(amount > 0).withColumn("i", F.explode(F.sequence(F.lit(1), amount)))
+    at = ("key", "sec", "i")
+    u = draw(seed, "level", *at)
+    lines = lines.withColumn("level", F.when(u < F.col("rate"), "E").when(u < F.col("rate") + F.col("warn"), "W").otherwise("I")).withColumn("pick", draw(seed, "code", *at))
+    order = Window.partitionBy("key", "level").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("key", "level")
+    codes = voc.codes(spark).withColumn("upto", F.sum("weight").over(order) / F.sum("weight").over(whole)).withColumn("from", F.col("upto") - F.col("weight") / F.sum("weight").over(whole))
+    codes = F.broadcast(codes.select(F.col("key").alias("of"), F.col("level").alias("of_level"), "code", "template", "latency_min_ms", "upto", "from"))
+    drawn = lines.join(codes, (F.col("key") == F.col("of")) & (F.col("level") == F.col("of_level")) & (F.col("pick") >= F.col("from")) & (F.col("pick") < F.col("upto")), "left")
+    slower = F.least(1 + LATENCY_COUPLING * 100 * F.least(F.greatest(F.col("rate") - F.col("err"), F.lit(0.0)), F.lit(0.5)), F.lit(LATENCY_CAP))
+    latency = F.exp(F.ln(F.col("p50_ms")) + SIGMA * normal(seed, "latency", *at)) * slower
+    latency = F.least(F.greatest(latency, F.coalesce("latency_min_ms", F.lit(LEAST_MS)).cast("double")), F.lit(float(MOST_MS))).cast("int")
+    number = F.pmod(F.xxhash64(F.lit(seed), F.lit("n"), *at), F.lit(100_000))
+    message = F.regexp_replace(F.coalesce("template", F.lit("ok event={n}")), r"\{[a-z]+\}", number.cast("string"))
+    ts = F.lit(EPOCH_MS) + F.col("sec") * 1000 + F.floor(draw(seed, "ms", *at) * 1000)
+    trace = F.substring(F.lower(F.hex(F.xxhash64(F.lit(seed), F.lit("trace"), *at))), 1, 8)
+    failing = F.coalesce("code", F.lit(voc.SUCCESS))
+    return drawn.select(format_line(ts, F.col("level"), F.col("service"), F.col("component"), failing, latency, F.lpad(trace, 8, "0"), message).alias("value"))

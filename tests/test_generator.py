@@ -1,0 +1,49 @@
+import pytest
+from pyspark.sql import functions as F
+
+from logquill.operators.parse import parse
+from logquill.sources import generator
+from logquill.sources import vocabulary as voc
+
+SCHEMA = "fault int, kind string, key string, target double, ramp_s double, start_sec long, end_sec long"
+
+
+@pytest.fixture(scope="module")
+def normal(spark):
+    df = parse(generator.generate(spark, 40, seed=5)).cache()
+    yield df
+    df.unpersist()
+
+
+def test_lines_are_valid_and_repeatable(spark, normal):
+    assert {r["class"] for r in normal.select("class").distinct().collect()} == {"valid"}
+    digest = lambda seed: generator.generate(spark, 3, seed=seed).agg(F.sum(F.xxhash64("value") % 1_000_003)).first()[0]
+    assert digest(5) == digest(5) != digest(6)
+
+
+def test_volume_and_rates(normal):
+    rows = {r["key"]: r for r in normal.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("level_class") == 2).alias("err"), F.count_if(F.col("level_class") == 1).alias("warn")).collect()}
+    for _, key, _, _, _, rps, err, warn, _ in voc.DEFAULT.component_rows():
+        n = rows[key]["n"]
+        assert abs(n - 40 * rps) <= 0.12 * 40 * rps + 12
+        for got, p in ((rows[key]["err"], err), (rows[key]["warn"], warn)):
+            assert abs(got - n * p) <= 4.5 * (n * p * (1 - p)) ** 0.5 + 1
+    mix = {r["code"]: r["count"] for r in normal.where("key = 'CLM.EDT' and level = 'W'").groupBy("code").count().collect()}
+    assert mix["W4103"] > mix["W4104"] > mix["W4105"]
+
+
+def test_faults_and_what_they_pass_on(spark):
+    faults = spark.createDataFrame([(0, "rate", "CLM.STR", 0.25, 0.0, 10, 60), (1, "silence", "PAY.BNK", 0.0, 0.0, 0, 60), (2, "volume", "PAY.EXP", 20.0, 0.0, 0, 60)], SCHEMA)
+    rates = {(r["key"], r["sec"]): r for r in generator.rates(spark, 60, faults).collect()}
+    assert rates["CLM.STR", 30]["rate"] == 0.25 and rates["CLM.STR", 5]["rate"] == 0.002
+    assert rates["CLM.DUP", 30]["rate"] == pytest.approx(0.002 + 0.6 * 0.248) and rates["CLM.DUP", 11]["rate"] == 0.002
+    assert rates["PAY.EXP", 30]["rate"] == pytest.approx(0.003 + 0.5 * 0.5 * 0.248)
+    assert rates["PAY.BNK", 30]["rps"] == 0 and rates["PAY.EXP", 30]["rps"] == 160
+    parsed = parse(generator.generate(spark, 60, seed=3, faults=faults))
+    row = parsed.where("key = 'CLM.STR' and ts_ms >= 1790603410000").agg(F.avg((F.col("level_class") == 2).cast("int"))).first()
+    assert 0.23 < row[0] < 0.27 and parsed.where("key = 'PAY.BNK'").count() == 0
+
+
+def test_daily_curve(spark):
+    rows = {r["key"]: r["rps"] for r in generator.rates(spark, 1, daily=True).collect()}
+    assert rows["CLM.STR"] in {300 * v for _, _, v, _ in voc.DAILY}
