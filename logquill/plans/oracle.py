@@ -326,6 +326,7 @@ FINALS: dict[str, str] = {
     "outbox_pending": f"SELECT idempotency_key, attempts, next_attempt_s FROM outbox WHERE status = 'pending' AND next_attempt_s <= {FIRST_SEC + 100_000} ORDER BY next_attempt_s, idempotency_key LIMIT 50",
     "outbox_stats": "SELECT s.status, count(o.status) AS n FROM (VALUES ('pending'), ('in_progress'), ('delivered'), ('failed')) s(status) LEFT JOIN outbox o ON o.status = s.status GROUP BY s.status",
     "alert_dedupe": "SELECT idempotency_key, 'pending' AS status, created_s FROM outbox",
+    "stream_per_second": "SELECT * FROM per_second WHERE sec <= (SELECT max(sec) FROM counted) - 2",
     "error_rate_alarms": f"SELECT key, sec // 60 * 60 AS window_start, {_r6('avg(err / greatest(tot, 1))')} AS mean_rate FROM dense GROUP BY ALL HAVING avg(err / greatest(tot, 1)) > 0.05",
 }
 

@@ -13,6 +13,8 @@ from logquill.operators.parse import parse
 from logquill.sources import outbox
 from logquill.sources.loglines import EPOCH_MS, lines_from_events
 from logquill.sources.tables import written
+from logquill.streaming import alerts as stream
+from logquill.streaming.per_second import drained, event_stream, per_second_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FIRST_SEC = EPOCH_MS // 1000
@@ -386,3 +388,19 @@ def alert_dedupe(spark, d):
 @query
 def error_rate_alarms(spark, d):
     return outbox.alarms(dense(spark, d))
+
+
+def streamed_counts(spark, d):
+    return per_second_stream(lines_from_events(event_stream(spark, f"{d}/events.parquet")))
+
+
+@query
+def stream_per_second(spark, d):
+    return drained(streamed_counts(spark, d), "stream-counts")[0]
+
+
+@query
+def stream_alerts(spark, d):
+    counts, path = drained(streamed_counts(spark, d), "stream-counts")
+    settled = spark.readStream.schema(counts.schema).parquet(path)
+    return rounded(drained(stream.fast_alerts(settled), "stream-alerts")[0], "z")

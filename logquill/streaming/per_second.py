@@ -7,10 +7,13 @@ is false)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquill.operators.parse import counted, parse
+from logquill.sources.tables import shared_folder
 
 SETTLE = "1 second"
 
@@ -28,14 +31,30 @@ def per_second_stream(lines: DataFrame) -> DataFrame:
     return counts.select("key", F.unix_timestamp("window.start").alias("sec"), "tot", "err", "warn")
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
+def drain(stream: DataFrame, path: str, checkpoint: str, one_operator: bool = True) -> None:
     """Runs the stream over what there is and ends; its output is a Parquet table at path."""
     conf = stream.sparkSession.conf
     name = "spark.sql.streaming.statefulOperator.allowMultiple"
     before = conf.get(name, "true")
-    conf.set(name, "false")
+    conf.set(name, str(not one_operator).lower())
     try:
         query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
         query.awaitTermination()
     finally:
         conf.set(name, before)
+
+
+def drained(stream: DataFrame, label: str, one_operator: bool = True) -> tuple[DataFrame, str]:
+    """The table that the stream leaves, with its checkpoint beside it, in the shared folder; and its
+    path."""
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/logquill/{label}-{uuid.uuid4().hex}"
+    drain(stream, f"{path}/table", f"{path}/checkpoint", one_operator)
+    return spark.read.schema(stream.schema).parquet(f"{path}/table"), f"{path}/table"
+
+
+def event_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the events table, for the adapter. The path is told as a pattern, as a stream of one
+    file has no base folder."""
+    folder, _, name = path.rpartition("/")
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/[{name[0]}]{name[1:]}")
