@@ -45,10 +45,11 @@ def _gears() -> np.ndarray:
 
 def cut_points(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of an id stream, ascending; the last is its length."""
-    hashes = np.zeros(len(ids), np.uint64)
-    gears = _gears()[ids & 0xFFFF]
-    for back in range(min(WINDOW, len(ids))):
-        hashes[back:] += gears[: len(ids) - back] << np.uint64(back)
+    hashes, width = _gears()[ids & 0xFFFF], 1
+    while width < WINDOW:  # a hash of twice the width is that of its second half and, shifted, of its first
+        wider = hashes.copy()
+        wider[width:] += hashes[:-width] << np.uint64(width)
+        hashes, width = wider, 2 * width
     marks = np.flatnonzero((hashes >> np.uint64(WINDOW)) % np.uint64(MEAN) == 0) + 1
     ends, last = [], 0
     for mark in [*marks.tolist(), len(ids)]:
@@ -63,7 +64,7 @@ def cut_points(ids: np.ndarray) -> list[int]:
 
 def pack_ids(ids: np.ndarray) -> tuple[int, bytes]:
     width = 2 if ids.max(initial=0) < 1 << 16 else 4
-    return width, zlib.compress(ids.astype(f"<u{width}").tobytes(), 6)
+    return width, zlib.compress(ids.astype(f"<u{width}").tobytes(), 1)
 
 
 def unpack_ids(width: int, data: bytes) -> np.ndarray:
