@@ -183,7 +183,8 @@ def train(features: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model
     """The model of the rows of features that labels (doc_id, quality) marks, held-out rows left
     out. Null ids and labels don't count; of several labels of a document the smallest does."""
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = features.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample).select("features", "quality").toArrow()
+    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # of ids and labels only
+    rows = features.join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("features").alias("features")).orderBy("doc_id").toArrow()
     x = np.array(rows["features"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, rows["quality"].to_numpy().astype(float))
 

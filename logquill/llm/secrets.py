@@ -77,10 +77,13 @@ def _pairs(strings: DataFrame) -> DataFrame:
 
 def training_strings(docs: DataFrame) -> DataFrame:
     """(label, s): random (1) and ordinary (0) strings, a bounded sample of each. The sample of
-    documents is the one with the smallest digests of text, so it doesn't depend on their order."""
+    documents is the one with the smallest digests of text, so it doesn't depend on their order; only
+    digests are ordered, never texts."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    sample = docs.select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
+    digests = docs.select(F.xxhash64(text).alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCS)
+    last = digests.agg(F.max("h")).first()[0]
+    sample = docs.select(text.alias("text")).where(F.xxhash64("text") <= F.lit(last).cast("long")).distinct()
     spans = sample.select("text", F.concat(*base_spans(F.col("text"))).alias("spans"))
     values = spans.select(F.explode("spans.value").alias("s")).where(F.col("s").rlike("^[ -~]+$"))
     digest = F.sha2(F.col("id").cast("string"), 256)
