@@ -12,7 +12,11 @@
 3. Pairs whose signatures or set sizes rule the threshold out go. The best few partners of each class
    are confirmed first, on full sets; then every remaining pair that would join two components.
    A pair inside a component can't change it.
-4. Components come from alternating large-star and small-star steps. Nothing but counters of
+4. Regions over SMALL whose members are still in several components are settled exactly: the classes
+   of their components form clusters, and there all pairs of different components whose sizes allow
+   a link are counted on full sets, in blocks of bounded size. The least work that is left to such a
+   cluster is its classes outside its largest component times all its classes.
+5. Components come from alternating large-star and small-star steps. Nothing but counters of
    convergence reaches the driver.
 
 Range partitioning by (key, class) deals even one crowded region over tasks; what lies on either
@@ -38,6 +42,8 @@ VALUES = TREES * MIN_DEPTH
 SMALL, NEIGHBOURS, HUBS = 8, 2, 4
 #: Partners of each class that are confirmed first.
 FIRST = 3
+#: Classes and shingles of a block of a cluster, about; dense columns multiplied and pairs counted at a time.
+BLOCK, BLOCK_SHINGLES, COLUMNS_AT_A_TIME, PAIRS_AT_A_TIME = 2048, 1 << 20, 512, 1 << 20
 #: Share of equal signature values that a pair needs: 4.5 standard deviations below the threshold.
 LEAST_ALIKE = 0.55
 ROWS = "doc_id long, text_key binary, n_shingles long, node binary, signature binary"
@@ -210,10 +216,8 @@ def with_hubs(found: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(found: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, of the forest's candidates."""
-    ordered = forest(classes).repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    found = stored(search_forest(ordered), "forest")
     return found.where("kind = 'pair'").select("a", "b").union(across_ends(found)).union(with_hubs(found)).distinct()
 
 
@@ -232,10 +236,10 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary, alike double")
 
 
-def shingle_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and full set (sorted 64-bit hashes) of every class in pairs, from the text of one of its
+def shingle_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and full set (sorted 64-bit hashes) of every class in nodes, from the text of one of its
     documents."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("text_key", F.col("rep").alias("doc_id"), F.col("node").alias("of"))
+    wanted = nodes.select("node").distinct().join(classes, "node").select("text_key", F.col("rep").alias("doc_id"), F.col("node").alias("of"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("key"))
     found = rows.join(wanted, rows["id"].eqNullSafe(wanted["doc_id"]) & (rows["key"] == wanted["text_key"])).select("of", "text")
@@ -298,21 +302,130 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return out.withColumns({f"r{n}": F.coalesce(f"r{n}", n) for n in "ab"})
 
 
+def raised(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root), with the components that links (a, b) join made one."""
+    joined = _rooted(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    upper = stored(components(joined), "upper-roots").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    alone = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    return roots.union(alone).join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
+def clusters(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """root and cluster of every component that shares a large region with another component; regions
+    with a common component are in one cluster."""
+    members = found.where("kind = 'member'").select(F.col("a").alias("node"), F.col("key").alias("region")).join(roots, "node", "left")
+    members = stored(members.select("region", F.coalesce("root", "node").alias("root")).distinct(), "members")
+    open_regions = members.groupBy("region").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    links = members.join(stored(open_regions.select("region", "least"), "open-regions"), "region").select(F.col("root").alias("a"), F.col("least").alias("b"))
+    return components(links).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of left has in common with each of right."""
+    rows = [np.repeat(np.arange(len(sets)), [len(x) for x in sets]) for sets in (left, right)]
+    _, token = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    tokens = [token[: len(rows[0])], token[len(rows[0]) :]]
+    n = [np.bincount(t, minlength=len(token)) for t in tokens]
+    work = n[0] * n[1]
+    out = np.zeros((len(left), len(right)), np.float32)  # counts below 2 ** 24 are exact
+    # shingles in many sets of both sides are multiplied, others paired one by one
+    dense = work > out.size / 64
+    place = np.cumsum(dense) - 1
+    picked = [dense[t] for t in tokens]
+    cells = [(place[t[k]], r[k]) for t, r, k in zip(tokens, rows, picked, strict=True)]
+    for start in range(0, int(dense.sum()), COLUMNS_AT_A_TIME):
+        sides = []
+        for (column, row), size in zip(cells, out.shape, strict=True):
+            here = (column >= start) & (column < start + COLUMNS_AT_A_TIME)
+            side = np.zeros((size, COLUMNS_AT_A_TIME), np.float32)
+            side[row[here], column[here] - start] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    rare = [np.flatnonzero(~dense[t] & (work[t] > 0)) for t in tokens]
+    order = rare[1][np.argsort(tokens[1][rare[1]], kind="stable")]
+    first = np.searchsorted(tokens[1][order], tokens[0][rare[0]])
+    times = n[1][tokens[0][rare[0]]]
+    upto = np.cumsum(times)
+    start = 0
+    while start < len(times):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS_AT_A_TIME, "right")))
+        t = times[start:end]
+        at = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t) + np.repeat(first[start:end], t)
+        np.add.at(out, (np.repeat(rows[0][rare[0][start:end]], t), rows[1][order[at]]), np.float32(1))
+        start = end
+    return out
+
+
+def links_of_block(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(a, b) of roots: as many of the links between classes (root, hashes) of left and right as join
+    all components that any link joins."""
+    pairs = []
+    if len(left) and len(right):
+        sets = [[np.frombuffer(x, np.uint64) for x in side["hashes"].to_pylist()] for side in (left, right)]
+        names, code = np.unique(np.array(left["root"].to_pylist() + right["root"].to_pylist(), object), return_inverse=True)
+        shared = shared_counts(*sets)
+        sizes = [np.array([len(x) for x in side]) for side in sets]
+        label = np.arange(len(names))
+        for i, both in enumerate(shared.astype(np.int64)):
+            linked = 100 * both >= PERCENT * (sizes[0][i] + sizes[1] - both)
+            for c in np.unique(code[len(left) :][linked]):
+                own, other = label[code[i]], label[c]
+                if own != other:
+                    pairs.append((names[code[i]], names[c]))
+                    label[label == other] = own
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def settled(docs: DataFrame, classes: DataFrame, roots: DataFrame, of: DataFrame) -> DataFrame:
+    """(a, b) of roots that links between components of one cluster join, from all pairs of classes.
+
+    The classes of a cluster are dealt, by size, over units of bounded length; a unit meets those in
+    which a set may be large and small enough. Classes of a cluster's largest component don't meet
+    each other."""
+    rows = classes.select("node", "n_shingles").join(roots, "node", "left").select("node", "n_shingles", F.coalesce("root", "node").alias("root")).join(of, "root")
+    counts = rows.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    largest = stored(counts.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("largest")), "largest")
+    # sizes that a link allows differ by a factor of 100 / PERCENT at most, so by one step of size
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / PERCENT))).alias("step")
+    rows = stored(rows.join(largest, "cluster").select("node", "root", "cluster", (F.col("root") == F.col("largest")).alias("main"), step, "n_shingles"), "crowded")
+    unit = ["cluster", "main", "step"]
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")
+    units = stored(rows.groupBy(unit).agg(parts), "units")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    sets = shingle_sets(docs, classes, rows)
+    dealt = stored(rows.join(units, unit).select("node", "root", *unit, part).join(sets, "node").drop("node"), "dealt")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    every = units.select(*unit, each)
+    lefts = every.where("NOT main").select("cluster", F.col("step").alias("lstep"), F.col("part").alias("lpart"))
+    near = (F.abs(F.col("step") - F.col("lstep")) <= 1) & (F.col("main") | (F.struct("step", "part") >= F.struct("lstep", "lpart")))
+    blocks = stored(lefts.join(every, "cluster").where(near), "blocks")
+    key = ["cluster", "lstep", "lpart", "main", "step", "part"]
+    left = dealt.where("NOT main").select("cluster", F.col("step").alias("lstep"), F.col("part").alias("lpart"), "root", "hashes").join(blocks, ["cluster", "lstep", "lpart"])
+    right = dealt.join(blocks, ["cluster", "main", "step", "part"])
+    # new names of the same columns, since both sides come from one table
+    names = lambda n: [f"{c}_{n}" for c in key]
+    side = lambda of, n: of.select(*key, "root", "hashes").toDF(*names(n), "root", "hashes").groupBy(*names(n))
+    return side(left, "l").cogroup(side(right, "r")).applyInArrow(links_of_block, "a binary, b binary")
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """node and root of every class with a link to another."""
-    pairs = stored(likely(candidates(classes), classes), "likely")
-    sets = stored(shingle_sets(docs, classes, pairs), "sets")
+    ordered = forest(classes).repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    found = stored(search_forest(ordered), "forest")
+    pairs = stored(likely(candidates(found), classes), "likely")
+    sets = stored(shingle_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
     either = pairs.union(pairs.select("b", "a", "alike")).toDF("node", "other", "alike")
     best = Window.partitionBy("node").orderBy(F.desc("alike"), "other")
     first = either.withColumn("place", F.row_number().over(best)).where(F.col("place") <= FIRST).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     links = stored(confirmed(first, sets), "first-links")
     roots = stored(components(links), "roots")
     open_pairs = _rooted(pairs.join(first, ["a", "b"], "left_anti"), roots).where("ra <> rb")
-    more = stored(confirmed(open_pairs, sets), "more-links")
-    joined = _rooted(more, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    upper = stored(components(joined), "upper-roots").select(F.col("node").alias("root"), F.col("root").alias("top"))
-    alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
-    return roots.union(alone).join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    roots = stored(raised(roots, stored(confirmed(open_pairs, sets), "more-links")), "forest-roots")
+    of = stored(clusters(found, roots), "clusters")
+    if of.isEmpty():
+        return roots
+    return raised(roots, stored(settled(docs, classes, roots, of), "last-links"))
 
 
 def near_duplicates(docs: DataFrame, with_text_key: bool = False) -> DataFrame:

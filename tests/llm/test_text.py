@@ -62,6 +62,45 @@ def test_group_of_altered_copies(spark):
     assert sum(got[k] != want[k] for k in want) <= 1
 
 
+def all_pairs(texts):
+    """The component of each text, from the products of its shingles' columns."""
+    sets = [shingles(t) for t in texts]
+    columns = {s: i for i, s in enumerate(set().union(*sets))}
+    held = np.zeros((len(sets), len(columns)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [columns[x] for x in s]] = 1
+    both, n = held @ held.T, held.sum(axis=1)
+    linked = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+    own = np.arange(len(sets))
+    while (least := np.where(linked, own[None, :], len(sets)).min(axis=1)).tolist() != own.tolist():
+        own = least
+    return own.tolist()
+
+
+def test_altered_copies_without_the_original(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in rng.integers(0, 5000, 150)]
+    texts = []
+    for _ in range(2200):
+        own = list(words)
+        for at in rng.choice(150, int(rng.integers(2, 6)), replace=False):
+            own[at] = f"x{rng.integers(0, 10**9)}"
+        texts.append(" ".join(own))
+    rows = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["component_id"] for r in rows}
+    want = all_pairs(texts)
+    assert 1 < len(set(want)) < 2000
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_counts_of_shared_hashes():
+    rng = np.random.default_rng(2)
+    common = np.arange(30, dtype=np.uint64)
+    make = lambda n: [np.unique(np.concatenate([rng.choice(common, 20), rng.integers(100, 900, 25).astype(np.uint64)])) for _ in range(n)]
+    left, right = make(70), make(90)
+    assert neardup.shared_counts(left, right).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in right] for x in left]
+
+
 def test_regions_give_pairs_and_branches():
     pairs, large = neardup.region_pairs(np.array([0, *[neardup.DEPTH] * 40]))
     linked = {0}
