@@ -1,13 +1,13 @@
 """Licence scans, in DataFrame functions only: an exact set-similarity join of text blocks with
 licence templates.
 
-A block is a line of a document, as a set of lower-cased words; it matches a template if it holds
-at least `threshold` of the template's words. Template words are ordered by the number of documents
-they occur in, over all documents, rarest first. A matching block must hold one of the first
-|T| - needed + 1 words of that order (prefix filter), at least as many words as are needed (length
-filter), and, counted from the first shared word, enough words may still follow on both sides
-(positional filter). What passes is verified on the whole sets, so the join misses nothing. Blocks
-come from texts that hold a prefix word at all, one text per digest.
+A block is a window of WIDTH times as many words as a template has, wherever it starts, across line
+ends too; as a set of lower-cased words it matches if it holds at least `threshold` of the template's
+words, telling ones among them. Template words are ordered by the number of documents they occur in,
+over all documents, rarest first. A text with a matching block must hold one of the first
+|T| - needed + 1 words of that order (prefix filter) and as many of its words as are needed (length
+filter). What passes is verified on all windows that start at one of the template's words, which
+hold what any other does, so the join misses nothing. One text per digest is looked at.
 
 Templates are a parameter of a few dozen short notices, so their tables have a fixed size, which is
 what makes broadcasting them safe.
@@ -15,6 +15,7 @@ what makes broadcasting them safe.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
@@ -39,7 +40,11 @@ TEMPLATES = (
     ("mpl-2.0", "subject to the terms of the mozilla public license version 2 0"),
     ("proprietary", "all rights reserved"),
 )
+#: Words without which a notice is another licence or version, by label.
+TELLING = {"apache-2.0": "apache 2", "cc-by-nc": "nc", "cc-by-sa": "sa", "gpl-3.0": "3", "mpl-2.0": "mozilla 2"}
 THRESHOLD = 0.8
+#: Words of a block for each word of the template.
+WIDTH = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,11 +86,20 @@ def base_columns(text: Column) -> list[Column]:
 
 
 def template_rows(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> list[tuple[int, str, str, int, int]]:
-    """(template, label, word, number of distinct words, number needed) for each distinct word."""
+    """(template, label, word, number of distinct words of its notice, number needed) for each distinct
+    word. A notice with telling words gives a template for each choice of enough words with those
+    among them, all of which are needed."""
     out = []
-    for i, (label, notice) in enumerate(templates):
+    count = itertools.count()
+    for label, notice in templates:
         ws = sorted(set(re.findall("[0-9a-z]+", notice)))
-        out += [(i, label, w, len(ws), math.ceil(threshold * len(ws) - 1e-9)) for w in ws]
+        need = math.ceil(threshold * len(ws) - 1e-9)
+        telling = set(TELLING.get(label, "").split()) & set(ws)
+        free = [w for w in ws if w not in telling]
+        sets = [sorted({*telling, *some}) for k in range(max(0, need - len(telling)), len(free) + 1) for some in itertools.combinations(free, k)] if telling else [ws]
+        for some in sets:
+            i = next(count)
+            out += [(i, label, w, len(ws), len(some) if telling else need) for w in some]
     return out
 
 
@@ -98,8 +112,8 @@ def word_frequencies(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def ordered_templates(texts: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of template_rows with the rank of each word (order over all templates, rarest first) and
-    its position in its template."""
+    """Rows of template_rows with the number of words of its template, the rank of each word (order
+    over all templates, rarest first) and its position in its template."""
     rows = template_rows(templates, threshold)
     vocabulary = sorted({r[2] for r in rows})
     counts = word_frequencies(texts, vocabulary)
@@ -108,36 +122,38 @@ def ordered_templates(texts: DataFrame, templates: tuple[tuple[str, str], ...] =
     for i, _, w, _, _ in rows:
         sets.setdefault(i, []).append(w)
     place = {(i, w): k for i, ws in sets.items() for k, w in enumerate(sorted(ws, key=rank.get))}
-    out = [(i, label, w, size, need, rank[w], place[i, w]) for i, label, w, size, need in rows]
-    return texts.sparkSession.createDataFrame(out, "template int, label string, word string, size int, need int, rank int, place int")
+    out = [(i, label, w, size, need, len(sets[i]), rank[w], place[i, w]) for i, label, w, size, need in rows]
+    return texts.sparkSession.createDataFrame(out, "template int, label string, word string, size int, need int, words int, rank int, place int")
 
 
 def matching_blocks(texts: DataFrame, templates: DataFrame) -> DataFrame:
-    """(digest, block, label, containment) of every line of texts (digest, text) that meets a
-    template's threshold."""
+    """(digest, block, label, containment) of the best block, by the place of its first word, of every
+    text of texts (digest, text) for every template whose threshold it meets."""
     rows = [r.asDict() for r in templates.collect()]  # a few dozen notices
-    vocabulary = F.array(*(F.lit(w) for w in sorted({r["word"] for r in rows})))
-    prefix = templates.where(F.col("place") <= F.col("size") - F.col("need"))
-    heads = sorted({r["word"] for r in rows if r["place"] <= r["size"] - r["need"]})
+    prefix = templates.where(F.col("place") <= F.col("words") - F.col("need")).select("rank", "template")
+    heads = sorted({r["word"] for r in rows if r["place"] <= r["words"] - r["need"]})
     if not heads:
         return texts.select("digest", F.lit(0).alias("block"), F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
     either = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
     has_head = rf"(?<={ANY_GAP}|^)(?:{'|'.join(map(either, heads))})(?={ANY_GAP}|\z)"
-    lines = texts.where(F.col("text").rlike(has_head)).select("digest", F.posexplode(F.split("text", "\n")).alias("block", "line")).where(F.col("line").rlike(has_head))
-    held = lines.select("digest", "block", F.array_intersect(words(lowered(F.col("line"))), vocabulary).alias("held"))
-    # words of the block that any template has, in the global order; others can't be shared
+    # places of words that any template has; others can't be shared
     order = F.create_map(*(x for r in {r["word"]: r["rank"] for r in rows}.items() for x in (F.lit(r[0]), F.lit(r[1]))))
-    ranks = held.withColumn("ranks", F.array_sort(F.transform("held", lambda w: F.element_at(order, w))))
-    tokens = ranks.select("digest", "block", "ranks", F.posexplode("ranks").alias("at", "rank"))
-    first = F.broadcast(prefix.drop("word"))  # as small as the templates are
-    length = F.size("ranks") >= F.col("need")
-    position = 1 + F.least(F.col("size") - F.col("place") - 1, F.size("ranks") - F.col("at") - 1) >= F.col("need")
-    candidates = tokens.join(first, "rank").where(length)
-    # the first shared prefix word of a pair decides: words before it in either set are not shared
-    best = candidates.groupBy("digest", "block", "template").agg(F.min_by(F.struct("place", "at", "size", "need", "label", "ranks"), "rank").alias("c")).select("digest", "block", "template", "c.*").where(position)
-    whole = templates.groupBy("template").agg(F.collect_set("rank").alias("whole"))
-    shared = best.join(F.broadcast(whole), "template").withColumn("shared", F.size(F.array_intersect("ranks", "whole")))
-    return shared.where(F.col("shared") >= F.col("need")).select("digest", "block", "label", (F.col("shared") / F.col("size")).alias("containment"))
+    places = F.transform(words(lowered(F.col("text"))), lambda w, i: F.struct(i.alias("at"), F.element_at(order, w).alias("rank")))
+    held = texts.where(F.col("text").rlike(has_head)).select("digest", F.filter(places, lambda x: x["rank"].isNotNull()).alias("held"))
+    tokens = held.select("digest", "held", F.explode(F.array_distinct("held.rank")).alias("rank"))
+    candidates = tokens.join(F.broadcast(prefix), "rank").dropDuplicates(["digest", "template"])  # as small as the templates are
+    whole = templates.groupBy("template", "label", "size", "need").agg(F.collect_set("rank").alias("whole"))
+    own = F.filter("held", lambda x: F.array_contains("whole", x["rank"])).alias("own")
+    enough = F.size(F.array_intersect("held.rank", "whole")) >= F.col("need")
+    pairs = candidates.join(F.broadcast(whole), "template").where(enough).select("digest", "label", "size", "need", own)
+    width = F.col("size") * WIDTH
+
+    def block(x: Column, i: Column) -> Column:
+        inside = F.filter(F.slice("own", i + 1, width), lambda y: y["at"] < x["at"] + width)
+        return F.struct(F.size(F.array_distinct(F.transform(inside, lambda y: y["rank"]))).alias("shared"), (-x["at"]).alias("back"))
+
+    best = pairs.select("digest", "label", "size", "need", F.array_max(F.transform("own", block)).alias("best"))
+    return best.where(F.col("best.shared") >= F.col("need")).select("digest", (-F.col("best.back")).alias("block"), "label", (F.col("best.shared") / F.col("size")).alias("containment"))
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -165,7 +181,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
 
 
 def with_spans_of_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """The matching lines themselves: doc_id, block (line number from 0), label, containment, and
+    """The matching blocks themselves: doc_id, block (place of its first word from 0), label, containment, and
     rank of the match in its document, best first. For reports."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("digest"))

@@ -318,6 +318,17 @@ def test_licenses_in_tricky_texts(spark):
     check_licenses(rows, texts)
 
 
+def test_licenses_of_wrapped_and_long_texts(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    scattered = "filler word ".join(w + " " for w in bsd.split()) + "x " * 3000
+    long = "x " * 3000 + bsd.replace("\n", " ") + " y" * 3000
+    texts = {0: bsd, 1: mpl, 2: scattered, 3: long, 4: "Licensed under CC BY-NC 4.0.", 5: "Licensed under CC BY-SA 3.0", 6: "This work is licensed under the GNU General Public License, version 2."}
+    rows = licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = {0: "bsd", 1: "mpl-2.0", 2: "", 3: "bsd", 4: "cc-by,cc-by-nc", 5: "cc-by,cc-by-sa", 6: "gpl"}
+    assert {r["doc_id"]: r["labels"] for r in rows} == want
+
+
 def test_licenses_of_odd_rows(odd_docs, no_docs):
     rows = licenses.scan(odd_docs).collect()
     assert len(rows) == odd_docs.count()
