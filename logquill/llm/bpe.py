@@ -14,7 +14,6 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -29,8 +28,6 @@ SHORT = 96
 MEMO = 150_000
 #: White space as the tokenizer's patterns have it (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + chr(0x2000) + "-" + chr(0x200A)
-#: A private-use letter, which is neither letter, digit nor space to the patterns.
-UNASSIGNED = "\ue000"
 FAR = 1 << 60
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -47,7 +44,7 @@ class WordBpe:
     """Encoder and decoder of a BPE file with an end-of-word suffix."""
 
     def __init__(self, path: str) -> None:
-        import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -60,18 +57,19 @@ class WordBpe:
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.ranks[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)
-        self.find_words = regex.compile(pattern).finditer
+        library = Tokenizer.from_file(path)
+        self.normal, self.cut_words = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        # the pattern of the file for lower-case ASCII without white space
+        self.find_words = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+").findall
         self.find_runs = re.compile(f"[^{SPACE}]+").findall
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.letters = byte_letters()
         self.young: dict[str, tuple[str, str, int]] = {}
         self.old: dict[str, tuple[str, str, int]] = {}
 
-    def word_ids(self, word: str) -> list[int]:
-        symbols = [self.letters[b] for b in word.encode()]
-        symbols[-1] += self.suffix
-        parts = [self.vocab[s] for s in symbols]
+    def word_ids(self, letters: list[str]) -> list[int]:
+        letters[-1] += self.suffix
+        parts = [self.vocab[x] for x in letters]
         return self.scan(parts) if len(parts) <= SHORT else self.queue(parts)
 
     def scan(self, parts: list[int]) -> list[int]:
@@ -109,16 +107,18 @@ class WordBpe:
                     heapq.heappush(heap, (r[0], k, parts[k], parts[after[k]]))
         return [p for p in parts if p >= 0]
 
+    def words_of(self, run: str) -> list[list[str]]:
+        """The words of text without white space, each as its letters of bytes. ASCII text is
+        lower-cased and cut here; what other code points compose to and which of them are letters
+        or digits is the library's to say."""
+        if run.isascii():
+            return [[self.letters[b] for b in word.encode()] for word in self.find_words(run.lower())]
+        return [list(word) for word, _ in self.cut_words(self.normal(run))]
+
     def run_forms(self, run: str) -> tuple[str, str, int]:
         """Ids and tokens, each joined by spaces, and their number, of text without white space."""
-        # unassigned code points are no letters, whatever the regex module's tables say
-        seen = run if run.isascii() else "".join(UNASSIGNED if unicodedata.category(c) == "Cn" else c for c in run)
-        ids = [i for m in self.find_words(seen) for i in self.word_ids(run[m.start() : m.end()])]
-        return " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids), len(ids)
-
-    def normal(self, text: str) -> str:
-        """Composed and lower-cased letter by letter (so a capital sigma never becomes a final one)."""
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        ids = [i for letters in self.words_of(run) for i in self.word_ids(letters)]
+        return " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids)), len(ids)
 
     def forms(self, text: str) -> list[tuple[str, str, int]]:
         out = []
@@ -126,7 +126,7 @@ class WordBpe:
             if k % 2:
                 out.append((str(self.special[part]), part, 1))
                 continue
-            for run in self.find_runs(self.normal(part)):
+            for run in self.find_runs(part):
                 found = self.young.get(run)
                 if found is None:
                     found = self.old.get(run) or self.run_forms(run)

@@ -11,6 +11,7 @@ that one very common length is spread), and rank and plan give sequence and offs
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -35,15 +36,18 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID)
     (one piece of one id); a null doc_id is kept; repeated rows give repeated pieces. Other columns
     are not read."""
 
+    closing = np.array([end_id], "<u4").tobytes()
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder()
+        encode = encoder().encode
         for batch in slices(batches):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
-                cuts = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode([t or "" for t in batch["text"].to_pylist()]), strict=True):
+                data = memoryview(ids + closing)
+                n = len(data) // 4
+                cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
+                for k, (a, b) in enumerate(itertools.pairwise(cuts)):
+                    rows.append((doc_id, k, a, b - a, zlib.crc32(data[4 * a : 4 * b])))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -1,62 +1,138 @@
-"""Token ids of whole texts under the byte-level vocabulary, for packing and the token store.
-
-byte_bpe_50k.json and byte_bpe_50k.tiktoken hold one vocabulary. The ids are those that the
-tokenizers library gives for the .json file with add_special_tokens=False: the special string is
-cut out first and becomes its own id, the text between is encoded. The rank file is run because it
-takes a third of the CPU time; tests compare both over every document of a table. Pass
-backend="tokenizers" to run the .json file itself.
+"""Token ids of whole texts under a byte-level BPE file, for packing and the token store.
+
+Every id comes from the tokenizers library and the .json file with add_special_tokens=False. Its
+pattern cuts a text into words that are encoded apart from each other, so a worker keeps what the
+library gave for a word in a bounded memo and hands over only the words that it hasn't seen. Which
+code points are letters, digits or white space to the pattern is asked of the library once per
+worker, up to KNOWN; a stretch of text with another code point, or with a special string, goes to
+the library as it is. Long texts are handled in stretches, cut where the pattern always cuts.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
+import os
 import re
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 
-#: Fixed values of the vocabulary: its special string and id.
-END_TEXT, END_ID = "<|endoftext|>", 50256
-
-
-@functools.cache
-def _ranks_encoding(path: str):
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+#: Code points below this are told apart by class; those above go to the library.
+KNOWN = 0x3000
+#: Words that the memo holds at most between batches, and the longest that it keeps.
+MEMO, LONGEST = 300_000, 64
+#: Characters of a stretch of a long text, about.
+STRETCH = 1 << 20
+
+
+def _ranges(points: list[int]) -> str:
+    """A regular expression's class content of the sorted code points."""
+    cuts = [i for i in range(len(points) + 1) if i in (0, len(points)) or points[i] != points[i - 1] + 1]
+    return "".join(rf"\u{points[a]:04x}-\u{points[b - 1]:04x}" for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+class _Memo(dict):
+    """Ids, as bytes, by word; a word that isn't held is noted in todo and stands for None."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.todo: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.todo.append(word)
+        self[word] = None
+
+
+class Encoder:
+    """From texts to their ids, each as bytes of little-endian unsigned 32-bit integers."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        letters, digits, spaces = self._classes()
+        # the pattern of the byte-level step, with classes written out
+        self.words = re.compile(
+            f"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{digits}]+| ?[^{spaces}{letters}{digits}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
+        ).findall
+        specials = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.other = re.compile("|".join([rf"[^\0-\u{KNOWN - 1:04x}]", *map(re.escape, specials)])).search
+        self.gap = re.compile(f"(?<=[^{spaces}]) (?=[^{spaces}])").search
+        self.line_end = self._library(["\n"])[0]
+        self.memo = _Memo()
+
+    def _classes(self) -> tuple[str, str, str]:
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        found: tuple[list[int], ...] = ([], [], [])
+        for point in range(KNOWN):
+            c = chr(point)
+            joined = [k for k, before in enumerate("a1!") if len(pieces(before + c)) == 1]
+            if joined != [2]:  # not one of the remaining characters
+                found[joined[0] if joined else 2].append(point)
+        return tuple(map(_ranges, found))
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _stretches(self, text: str) -> Iterator[str]:
+        start = 0
+        while len(text) - start > STRETCH and (gap := self.gap(text, start + STRETCH)):
+            yield text[start : gap.start()]
+            start = gap.start()
+        yield text[start:] if start else text
+
+    def _learn(self) -> None:
+        """Puts the ids of the noted words into the memo. They are encoded as lines of one text,
+        between which the pattern always cuts; white space is encoded word by word."""
+        todo, self.memo.todo = self.memo.todo, []
+        lines = [w for w in todo if not w[-1].isspace()]
+        for word in (w for w in todo if w[-1].isspace()):
+            self.memo[word] = self._library([word])[0]
+        if not lines:
+            return
+        data = self._library(["\n".join(lines)])[0]
+        ends = [*np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(self.line_end, "<u4")[0]).tolist(), len(data) // 4]
+        start = 0
+        for word, end in zip(lines, ends, strict=True):
+            self.memo[word] = data[4 * start : 4 * end]
+            start = end + 1
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        memo, parts = self.memo, []
+        for text in texts:
+            own = []
+            for stretch in self._stretches(sound(text)):
+                if self.other(stretch):
+                    own.append(self._library([stretch])[0])
+                    continue
+                words = self.words(stretch)
+                try:
+                    own.append(b"".join(map(memo.__getitem__, words)))
+                except TypeError:  # a word is new: note all of them
+                    deque(map(memo.__getitem__, words), 0)
+                    own.append(words)
+            parts.append(own)
+        todo = memo.todo
+        self._learn()
+        out = [b"".join([x if isinstance(x, bytes) else b"".join(map(memo.__getitem__, x)) for x in own]) for own in parts]
+        for word in todo:
+            if len(word) > LONGEST:
+                del memo[word]
+        if len(memo) > MEMO:
+            memo.clear()
+        return out
 
 
 @functools.cache
-def _json_tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def _with_ranks(text: str, encoding) -> np.ndarray:
-    parts = text.split(END_TEXT)
-    if len(parts) == 1:
-        return np.array(encoding.encode_ordinary(text), dtype="<u4")
-    ids: list[int] = []
-    for i, part in enumerate(parts):
-        if i:
-            ids.append(END_ID)
-        ids += encoding.encode_ordinary(part)
-    return np.array(ids, dtype="<u4")
-
-
-def encoder(backend: str = "ranks", path: str | None = None) -> Callable[[str], np.ndarray]:
-    """A function from a text to its ids as little-endian unsigned 32-bit integers. Loaded once per
-    Python worker."""
-    if backend == "tokenizers":
-        tokenizer = _json_tokenizer(path or public_tokenizers.path("byte_bpe_50k.json"))
-        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-    encoding = _ranks_encoding(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return lambda text: _with_ranks(sound(text), encoding)
+def encoder(path: str | None = None) -> Encoder:
+    """The encoder of a file, loaded once per Python worker."""
+    return Encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
 
 
 _SURROGATES = re.compile("[\ud800-\udfff]")

@@ -3,12 +3,12 @@
 A document's ids are cut where a rolling hash of the last WINDOW ids has its low bits zero, so equal
 stretches give equal chunks wherever they stand. Four tables make up a store:
 
-    chunks    digest, width, ids: each distinct chunk once, as zlib-compressed little-endian ids
-    refs      which chunks a document is made of (an intermediate of recipes)
-    recipes   in ascending doc_id: shard, doc_id, start, n_tokens, chunk digests in order, Merkle root
+    cut       a row per document: doc_id, digests, sizes and ids of its chunks in order (an intermediate)
+    chunks    digest, width, ids: each distinct chunk once, as little-endian ids in a compressed column
+    recipes   in ascending doc_id: shard, line, doc_id, start, n_tokens, chunk digests in order, Merkle root
     manifest  per shard: documents, tokens and Merkle root over its documents' roots
 
-Reading back: every chunk is inflated and its digest recomputed; recipes meet what was read by
+Reading back: every chunk's digest is recomputed from its bytes; recipes meet what was read by
 digest; a document's root is recomputed from those digests and compared with its recipe, and the
 shard's with the manifest. As CRCs of consecutive chunks combine, documents' CRCs need no payload
 in a shuffle.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +34,10 @@ from logquill.llm.token_ids import encoder
 END_ID = 2
 WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096
 DIGEST = 16
-CHUNKS = "kind string, digest binary, width int, n_ids int, ids binary, doc_id long, text_key binary, pos int"
+#: Documents of a shard, about: what the Merkle root of a shard is computed from in one group.
+SHARD_DOCS = 100_000
+CUT = "doc_id long, text_key binary, n_tokens long, root binary, width int, digests array<binary>, ids array<binary>"
+CHUNKS = "digest binary, width int, ids binary"
 SUMMARY = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -43,32 +47,30 @@ def _gears() -> np.ndarray:
     return np.random.default_rng(20240229).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream, ascending; the last is its length."""
+def cut_points(ids: np.ndarray, starts: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each document, ascending, in a stream of documents' ids one after the
+    other; a document begins at each of starts. Its last chunk ends with it. The hash's window may
+    reach into the document before only where a chunk would be too short to end anyway."""
     hashes, width = _gears()[ids & 0xFFFF], 1
     while width < WINDOW:  # a hash of twice the width is that of its second half and, shifted, of its first
         wider = hashes.copy()
         wider[width:] += hashes[:-width] << np.uint64(width)
         hashes, width = wider, 2 * width
     marks = np.flatnonzero((hashes >> np.uint64(WINDOW)) % np.uint64(MEAN) == 0) + 1
-    ends, last = [], 0
-    for mark in [*marks.tolist(), len(ids)]:
-        while mark - last > MOST:
-            last += MOST
-            ends.append(last)
-        if mark - last >= LEAST or mark == len(ids) > last:
-            last = mark
-            ends.append(last)
-    return ends
-
-
-def pack_ids(ids: np.ndarray) -> tuple[int, bytes]:
-    width = 2 if ids.max(initial=0) < 1 << 16 else 4
-    return width, zlib.compress(ids.astype(f"<u{width}").tobytes(), 1)
-
-
-def unpack_ids(width: int, data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), f"<u{width}").astype("<u4")
+    bounds = np.append(starts, len(ids))
+    first = np.searchsorted(marks, bounds)
+    marks, out = marks.tolist(), []
+    for start, end, a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+        ends, last = [], start
+        for mark in (*marks[a:b], end):
+            while mark - last > MOST:
+                last += MOST
+                ends.append(last)
+            if mark - last >= LEAST or mark == end > last:
+                last = mark
+                ends.append(last)
+        out.append(ends)
+    return out
 
 
 def digest_of(ids: np.ndarray) -> bytes:
@@ -96,22 +98,35 @@ def _times(matrix: list[int], vector: int) -> int:
     return out
 
 
-@functools.lru_cache(65536)
-def _zeros_operator(n_bytes: int) -> tuple[int, ...]:
-    """What n_bytes zero bytes do to a CRC-32, as a matrix over GF(2)."""
-    square = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
-    out, n = [1 << i for i in range(32)], n_bytes * 8
-    while n:
-        if n & 1:
-            out = [_times(square, row) for row in out]
+@functools.cache
+def _zeros_tables() -> np.ndarray:
+    """What 2 ** k zero bytes do to a CRC-32, for k below 40, as four tables by byte of the CRC."""
+    square = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit, as a matrix over GF(2)
+    out = np.zeros((40, 4, 256), np.uint32)
+    for k in range(-3, 40):
+        if k >= 0:
+            out[k] = [[_times(square, v << 8 * byte) for v in range(256)] for byte in range(4)]
         square = [_times(square, row) for row in square]
-        n >>= 1
-    return tuple(out)
+    return out
+
 
+def crcs_of_joined(crcs: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """CRC-32 of each of several byte strings made of parts one after the other: crcs and sizes in
+    bytes of all parts, and the index of each string's first part. Every string has a part.
 
-def combine_crcs(first: int, second: int, second_bytes: int) -> int:
-    """CRC-32 of two byte strings one after the other."""
-    return _times(_zeros_operator(second_bytes), first) ^ second
+    A string's CRC is the sum over GF(2) of its parts' CRCs, each after as many zero bytes as follow
+    the part; all parts are taken at once, bit by bit of those numbers."""
+    if not len(first):
+        return np.empty(0, np.uint32)
+    upto = np.cumsum(sizes)
+    ends = upto[np.append(first[1:], len(sizes)) - 1]
+    behind = np.repeat(ends, np.diff(np.append(first, len(sizes)))) - upto
+    out, tables = crcs.astype(np.uint32), _zeros_tables()
+    for k in range(int(behind.max(initial=0)).bit_length()):
+        at = np.flatnonzero(behind >> k & 1)
+        c, t = out[at], tables[k]
+        out[at] = t[0][c & 255] ^ t[1][c >> 8 & 255] ^ t[2][c >> 16 & 255] ^ t[3][c >> 24]
+    return np.bitwise_xor.reduceat(out, first)
 
 
 @dataclass
@@ -121,92 +136,77 @@ class Store:
     root: str
 
     def __post_init__(self) -> None:
-        self.parts, self.recipes, self.manifest = (f"{self.root}/{x}" for x in ("parts", "recipes", "manifest"))
+        self.cut, self.chunks, self.recipes, self.manifest = (f"{self.root}/{x}" for x in ("cut", "chunks", "recipes", "manifest"))
 
-    def chunks(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(CHUNKS).parquet(self.parts).where("kind = 'chunk'").select("digest", "width", "n_ids", "ids")
 
-    def refs(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(CHUNKS).parquet(self.parts).where("kind = 'ref'").select("doc_id", "text_key", "pos", "digest", "n_ids")
+def _binaries(data: bytes, ends: np.ndarray) -> pa.Array:
+    """The stretches of data up to each of ends, as a binary column that shares its memory."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int64).tobytes()), pa.py_buffer(data)]).cast(pa.binary())
 
 
 def cut_documents(docs: DataFrame, end_id: int = END_ID) -> DataFrame:
-    """References of every document to its chunks, and chunks, each once per task."""
+    """A row of CUT for each row of docs: its ids, with end_id, cut into chunks, and its Merkle root."""
+    closing = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoder(), set()
+        encode = encoder().encode
         for batch in slices(batches):
-            rows: list[tuple] = []
-            for doc_id, text, key in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["text_key"].to_pylist(), strict=True):
-                ids, last = np.append(encode(text), np.uint32(end_id)).astype("<u4"), 0
-                for pos, end in enumerate(cut_points(ids)):
-                    chunk, last = ids[last:end], end
-                    digest = digest_of(chunk)
-                    rows.append(("ref", digest, None, len(chunk), None, doc_id, key, pos))
-                    if digest not in seen:
-                        seen.add(digest)
-                        rows.append(("chunk", digest, *((packed := pack_ids(chunk))[:1]), len(chunk), packed[1], None, None, None))
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = (pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int32())
-            names = ["kind", "digest", "width", "n_ids", "ids", "doc_id", "text_key", "pos"]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+            found = [x + closing for x in encode(batch["text"].to_pylist())]
+            n_tokens = np.array([len(x) // 4 for x in found], np.int64)
+            data = b"".join(found)
+            ids = np.frombuffer(data, "<u4")
+            per_doc = cut_points(ids, np.cumsum(n_tokens) - n_tokens)
+            ends = [e for doc in per_doc for e in doc]
+            view = memoryview(data)
+            digests = [hashlib.sha256(view[4 * a : 4 * b]).digest()[:DIGEST] for a, b in zip([0, *ends], ends, strict=False)]
+            lists = np.append(0, np.cumsum([len(doc) for doc in per_doc])).astype(np.int32)
+            roots = [merkle(digests[a:b]) for a, b in itertools.pairwise(lists.tolist())]
+            width = 2 if ids.max(initial=0) < 1 << 16 else 4
+            chunks = _binaries(ids.astype(f"<u{width}").tobytes(), np.array(ends, np.int64) * width)
+            columns = [batch["doc_id"], batch["text_key"], pa.array(n_tokens), pa.array(roots, pa.binary()), pa.array([width] * len(found), pa.int32())]
+            columns += [pa.ListArray.from_arrays(lists, x) for x in (pa.array(digests, pa.binary()), chunks)]
+            yield pa.record_batch(columns, names=["doc_id", "text_key", "n_tokens", "root", "width", "digests", "ids"])
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("text_key")).mapInArrow(cut, CHUNKS)
+    return docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("text_key")).mapInArrow(cut, CUT)
 
 
-def write_parts(docs: DataFrame, store: Store) -> None:
-    """Chunks and references, in one pass and one shuffle. Chunks go by digest, so that all of the
-    same meet and one is stored; references go by document, which spreads those of a very common
-    chunk."""
-    cut = cut_documents(docs)
-    by = F.when(F.col("kind") == "chunk", F.xxhash64("digest")).otherwise(F.xxhash64("doc_id", "text_key", "pos"))
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            keep = []
-            for kind, digest in zip(batch["kind"].to_pylist(), batch["digest"].to_pylist(), strict=True):
-                keep.append(kind == "ref" or digest not in seen)
-                if kind == "chunk":
-                    seen.add(digest)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    dealt = cut.withColumn("by", by).repartition("by").drop("by")
-    dealt.mapInArrow(once, CHUNKS).write.partitionBy("kind").parquet(store.parts)
+def write_chunks(spark: SparkSession, store: Store) -> None:
+    """Each distinct chunk once. Copies meet in the map tasks first, then by digest."""
+    cut = spark.read.schema(CUT).parquet(store.cut)
+    chunks = cut.select("width", F.explode(F.arrays_zip("digests", "ids")).alias("chunk")).select("chunk.digests", "width", "chunk.ids").toDF("digest", "width", "ids")
+    chunks.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(store.chunks)
 
 
 def write_recipes(spark: SparkSession, store: Store) -> None:
-    """Recipes by range of doc_id, in order inside a range, and the manifest of their shards.
-
-    Repeated rows are one document stored once with its number of copies until here; here each copy
-    gets its recipe."""
-    own = F.struct("pos", "digest", "n_ids")
-    refs = store.refs(spark)
-    recipe = refs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(own)).alias("parts"), F.count_if(F.col("pos") == 0).alias("copies"))
-    recipe = recipe.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "doc_id", "text_key", "parts")
-    sizes = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["n_ids"])
-    ordered = recipe.withColumn("n_tokens", sizes).repartitionByRange("doc_id", "text_key", "copy").sortWithinPartitions("doc_id", "text_key", "copy")
-
-    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [merkle([p["digest"] for p in parts]) for parts in batch["parts"].to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "root"])
+    """Recipes by range of doc_id, in order inside a range, and the manifest of their shards. Each
+    of several rows with one id and text gets its recipe; their order doesn't matter, as they are
+    equal."""
+    cut = spark.read.schema(CUT).parquet(store.cut).select("doc_id", "text_key", "n_tokens", "root", "digests")
+    cut = cut.withColumn("row", F.monotonically_increasing_id())  # parts one very common id
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cut.count() // SHARD_DOCS))
+    order = ["doc_id", "text_key", "row"]
+    ordered = cut.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line, at = 0, 0
+        for batch in batches:
+            n = batch["n_tokens"].to_numpy()
+            own = [pa.array(np.arange(line + 1, line + 1 + len(n))), pa.array(at + np.cumsum(n) - n)]
+            line, at = line + len(n), at + int(n.sum())
+            yield pa.record_batch([*own, *(batch[c] for c in ("doc_id", "n_tokens", "digests", "root"))], names=["line", "inside", "doc_id", "n_tokens", "digests", "root"])
 
-    kinds = "copy int, doc_id long, text_key binary, parts array<struct<pos:int,digest:binary,n_ids:int>>, n_tokens long, root binary"
-    shard = F.spark_partition_id().alias("shard")  # fixed from here on by being written
     placed = f"{store.root}/ordered"
-    ordered.mapInArrow(roots, kinds).select(shard, "*").write.parquet(placed)
-    rows = spark.read.parquet(placed)
+    kinds = "line long, inside long, doc_id long, n_tokens long, digests array<binary>, root binary"
+    shard = F.spark_partition_id().alias("shard")  # fixed from here on by being written
+    ordered.drop("row").mapInArrow(numbered, kinds).select(shard, "*").write.parquet(placed)
+    rows = spark.read.schema("shard int, " + kinds).parquet(placed)
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
-    shards = totals.withColumn("shard_start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    inside = Window.partitionBy("shard").orderBy("doc_id", "text_key", "copy")
-    start = F.col("shard_start") + F.sum("n_tokens").over(inside) - F.col("n_tokens")
-    numbered = rows.join(shards.select("shard", "shard_start"), "shard").select("shard", F.row_number().over(inside).alias("line"), "doc_id", start.alias("start"), "n_tokens", F.col("parts.digest").alias("digests"), "root")
-    numbered.write.parquet(store.recipes)
-    manifest = shard_roots(spark.read.parquet(store.recipes)).join(shards, "shard")
-    manifest.write.parquet(store.manifest)
+    totals = totals.withColumn("shard_start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    recipes = rows.join(totals.select("shard", "shard_start"), "shard")
+    recipes.select("shard", "line", "doc_id", (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "digests", "root").write.parquet(store.recipes)
+    shard_roots(spark.read.parquet(store.recipes)).join(totals, "shard").write.parquet(store.manifest)
 
 
 def shard_roots(recipes: DataFrame) -> DataFrame:
@@ -221,10 +221,12 @@ def shard_roots(recipes: DataFrame) -> DataFrame:
 
 def write_store(docs: DataFrame, root: str | None = None) -> Store:
     """A store of docs (doc_id, text) at a new path. Null texts are empty (the end id alone); null
-    ids come first; an empty table gives an empty store; other columns are not read."""
+    ids come first; an empty table gives an empty store; texts of any length are encoded whole;
+    other columns are not read."""
     spark = docs.sparkSession
     store = Store(root or new_path(spark, "token-store"))
-    write_parts(docs, store)
+    cut_documents(docs).write.option("compression", "zstd").parquet(store.cut)
+    write_chunks(spark, store)
     write_recipes(spark, store)
     return store
 
@@ -237,14 +239,14 @@ def read_chunks(spark: SparkSession, store: Store) -> DataFrame:
         for batch in slices(batches, 4096):
             n, crc = [], []
             for digest, width, data in zip(batch["digest"].to_pylist(), batch["width"].to_pylist(), batch["ids"].to_pylist(), strict=True):
-                ids = unpack_ids(width, data)
-                if digest_of(ids) != digest:
+                wide = np.frombuffer(data, f"<u{width}").astype("<u4").tobytes()
+                if hashlib.sha256(wide).digest()[:DIGEST] != digest:
                     raise ValueError("a stored chunk doesn't have its digest")
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.tobytes()))
+                n.append(len(wide) // 4)
+                crc.append(zlib.crc32(wide))
             yield pa.record_batch([batch["digest"], pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["digest", "read_ids", "crc"])
 
-    return store.chunks(spark).select("digest", "width", "ids").mapInArrow(read, "digest binary, read_ids long, crc long")
+    return spark.read.schema(CHUNKS).parquet(store.chunks).mapInArrow(read, "digest binary, read_ids long, crc long")
 
 
 def read_store(spark: SparkSession, store: Store) -> DataFrame:
@@ -261,17 +263,18 @@ def read_store(spark: SparkSession, store: Store) -> DataFrame:
     found = parts.join(read_chunks(spark, store), "digest", "left").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "read_ids", "crc"))).alias("parts"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            n_tokens, crcs = [], []
-            for root, parts in zip(batch["root"].to_pylist(), batch["parts"].to_pylist(), strict=True):
-                if any(p["crc"] is None for p in parts) or merkle([p["digest"] for p in parts]) != root:
-                    raise ValueError("a document can't be put together from its recipe")
-                crc = 0
-                for p in parts:
-                    crc = combine_crcs(crc, p["crc"], 4 * p["read_ids"])
-                n_tokens.append(sum(p["read_ids"] for p in parts))
-                crcs.append(crc)
-            yield pa.record_batch([batch["root"], pa.array(n_tokens, pa.int64()), pa.array(crcs, pa.int64())], names=["root", "n_tokens", "ids_crc32"])
+        for batch in slices(batches, 1024):
+            lists = batch["parts"]
+            parts = lists.flatten()
+            if parts.field("crc").null_count:
+                raise ValueError("a chunk of a recipe isn't stored")
+            first = np.asarray(lists.offsets)[:-1] - np.asarray(lists.offsets)[0]
+            digests, bounds = parts.field("digest").to_pylist(), [*first.tolist(), len(parts)]
+            if [merkle(digests[a:b]) for a, b in itertools.pairwise(bounds)] != batch["root"].to_pylist():
+                raise ValueError("a document can't be put together from its recipe")
+            n, crcs = (parts.field(c).to_numpy() for c in ("read_ids", "crc"))
+            n_tokens, joined = (np.add.reduceat(n, first), crcs_of_joined(crcs, 4 * n, first)) if len(first) else (n, crcs)
+            yield pa.record_batch([batch["root"], pa.array(n_tokens, pa.int64()), pa.array(joined.astype(np.int64))], names=["root", "n_tokens", "ids_crc32"])
 
     rebuilt = found.mapInArrow(rebuild, "root binary, n_tokens long, ids_crc32 long")
     lines = recipes.select("shard", "doc_id", "start", "root").join(rebuilt, "root").join(sound, "shard")

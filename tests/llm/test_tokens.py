@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from logquill.llm import bpe, common, packing, queries, token_counts, token_ids, token_store
@@ -27,17 +28,48 @@ def texts(spark, sf):
     return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
 
 
-@pytest.mark.parametrize("backend", ["ranks", "tokenizers"])
-def test_byte_ids_equal_the_library(texts, backend):
-    encode = token_ids.encoder(backend)
-    for text in [*ODD, *list(texts.values())]:
-        assert encode(text).tolist() == ids_of(text), text[:80]
+def byte_ids(texts):
+    return [np.frombuffer(x, "<u4").tolist() for x in token_ids.encoder().encode(texts)]
+
+
+def test_byte_ids_equal_the_library(texts):
+    every = [*ODD, *texts.values()]
+    assert byte_ids(every) == [ids_of(t) for t in every]
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60))
+@given(st.one_of(st.text(max_size=60), st.text(alphabet="aA1's d!\n\t \x85\u2009\u0301é<|endoftx>日", max_size=60)))
 def test_any_text_is_encoded_as_by_the_library(text):
-    assert token_ids.encoder()(text).tolist() == ids_of(text)
+    assert byte_ids([text]) == [ids_of(text)]
+
+
+def test_every_code_point_is_encoded_as_by_the_library():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1{c}!{c} " for c in points[k : k + 64]) for k in range(0, token_ids.KNOWN + 1024, 64)]
+    assert token_ids.encoder().encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in BYTES.encode_batch_fast(texts, add_special_tokens=False)]
+    own = bpe.word_bpe(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [" ".join(f"{c}a{c}" for c in points[k : k + 256]) for k in range(0, len(points), 256)]
+    assert list(map(own.encode, texts)) == [x.ids for x in WORDS.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@pytest.fixture(scope="session")
+def long_docs(spark):
+    """Texts of 2 MB: white space, one letter, and a sentence again and again."""
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" + " " * 1_000_000 + "b", "x" * 2_000_000, "Some words, and more.\n" * 90_000]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+
+
+def test_long_texts_are_packed_and_stored_as_the_library_encodes_them(long_docs):
+    ids = {r["doc_id"]: [*ids_of(r["text"]), 2] for r in long_docs.collect()}
+    check_packing(packing.pack_documents(long_docs).collect(), ids)
+    rows = token_store.store_and_read(long_docs).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in rows} == {k: (len(v), zlib.crc32(np.array(v, "<u4").tobytes())) for k, v in ids.items()}
+
+
+def test_long_texts_are_counted_and_encoded_as_by_the_library(long_docs):
+    n = {r["doc_id"]: len(WORDS.encode(r["text"], add_special_tokens=False).ids) for r in long_docs.collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(long_docs).collect()} == n
+    assert {r["doc_id"]: r["n_tokens"] for r in bpe.encode_documents(long_docs).collect()} == n
 
 
 def test_packing(spark, sf, texts):
@@ -118,6 +150,12 @@ def test_counts_come_from_the_cache_the_second_time(spark, odd_docs, no_docs, mo
             assert r["n_tokens"] == len(WORDS.encode(text or "", add_special_tokens=False).ids)
 
 
+def test_counts_with_a_tokenizer_that_keeps_white_space(spark):
+    docs = spark.createDataFrame([(1, "a  b\n\n c"), (2, "a b c"), (3, "  ")], "doc_id long, text string")
+    rows = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {r["doc_id"]: len(ids_of(r["text"])) for r in docs.collect()}
+
+
 def test_counts_with_sentencepiece(spark, odd_docs):
     import sentencepiece
 
@@ -167,30 +205,42 @@ def test_store(spark, sf, texts):
 
 def test_store_keeps_a_chunk_once_and_finds_damage(spark, odd_docs, no_docs):
     store = token_store.write_store(odd_docs)
-    digests = [r["digest"] for r in store.chunks(spark).select("digest").collect()]
-    assert len(digests) == len(set(digests)) < store.refs(spark).count()
+    digests = [r["digest"] for r in spark.read.parquet(store.chunks).select("digest").collect()]
+    used = [d for r in spark.read.parquet(store.recipes).collect() for d in r["digests"]]
+    assert len(digests) == len(set(digests)) < len(used) and set(digests) == set(used)
     rows = token_store.read_store(spark, store).collect()
     assert len(rows) == odd_docs.count()
     assert sum(r["n_tokens"] for r in rows) == max(r["start"] + r["n_tokens"] for r in rows)
     damaged = token_store.Store(common.new_path(spark, "damaged"))
     spark.read.parquet(store.recipes).write.parquet(damaged.recipes)
     spark.read.parquet(store.manifest).write.parquet(damaged.manifest)
-    parts = spark.read.parquet(store.parts)
-    parts.where("kind = 'ref' or pmod(xxhash64(digest), 5) > 0").write.partitionBy("kind").parquet(damaged.parts)
-    with pytest.raises(Exception, match="put together|recipe"):
+    spark.read.parquet(store.chunks).where("pmod(xxhash64(digest), 5) > 0").write.parquet(damaged.chunks)
+    with pytest.raises(Exception, match="isn't stored"):
         token_store.read_store(spark, damaged).collect()
+    altered = token_store.Store(common.new_path(spark, "altered"))
+    spark.read.parquet(store.recipes).write.parquet(altered.recipes)
+    spark.read.parquet(store.manifest).write.parquet(altered.manifest)
+    spark.read.parquet(store.chunks).withColumn("ids", F.expr("concat(substring(ids, 3), substring(ids, 1, 2))")).write.parquet(altered.chunks)
+    with pytest.raises(Exception, match="doesn't have its digest"):
+        token_store.read_store(spark, altered).collect()
     assert token_store.store_and_read(no_docs).collect() == []
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.binary(max_size=300), st.binary(max_size=300))
-def test_crcs_combine(a, b):
-    assert token_store.combine_crcs(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.binary(max_size=300), min_size=1, max_size=6), max_size=6))
+def test_crcs_combine(strings):
+    parts = [p for s in strings for p in s]
+    first = np.cumsum([0, *map(len, strings)])[:-1].astype(int)
+    joined = token_store.crcs_of_joined(np.array([zlib.crc32(p) for p in parts], np.int64), np.array([len(p) for p in parts], np.int64), first)
+    assert joined.tolist() == [zlib.crc32(b"".join(s)) for s in strings]
 
 
 def test_cuts_move_with_the_content():
     ids = np.random.default_rng(1).integers(0, 50257, 20000).astype("<u4")
-    ends = token_store.cut_points(ids)
+    (ends,) = token_store.cut_points(ids, np.array([0]))
     assert ends[-1] == len(ids) and all(b - a <= token_store.MOST for a, b in zip([0, *ends], ends))
-    moved = token_store.cut_points(np.concatenate([ids[:5], ids]))
+    (moved,) = token_store.cut_points(np.concatenate([ids[:5], ids]), np.array([0]))
     assert len({e + 5 for e in ends} & set(moved)) > 0.8 * len(ends)
+    # what stands before a document doesn't move its cuts
+    _, same = token_store.cut_points(np.concatenate([ids[:777], ids]), np.array([0, 777]))
+    assert [e - 777 for e in same] == ends
