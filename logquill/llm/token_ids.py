@@ -10,10 +10,10 @@ the library as it is. Long texts are handled in stretches, cut where the pattern
 
 from __future__ import annotations
 
+import array
 import functools
 import os
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +21,9 @@ import public_tokenizers
 
 #: Code points below this are told apart by class; those above go to the library.
 KNOWN = 0x3000
-#: Words that the memo holds at most between batches, and the longest that it keeps.
-MEMO, LONGEST = 300_000, 64
+#: Words that the memo holds at most between batches (some 200 bytes each), the longest that it keeps,
+#: and words encoded at a time.
+MEMO, LONGEST, WORDS_AT_A_TIME = 1_000_000, 64, 20_000
 #: Characters of a stretch of a long text, about.
 STRETCH = 1 << 20
 
@@ -50,7 +51,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -61,9 +62,14 @@ class Encoder:
             f"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{digits}]+| ?[^{spaces}{letters}{digits}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
         ).findall
         specials = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        if not all("<" in x for x in specials):
+            raise ValueError("a special string without '<'")
         self.other = re.compile("|".join([rf"[^\0-\u{KNOWN - 1:04x}]", *map(re.escape, specials)])).search
         self.gap = re.compile(f"(?<=[^{spaces}]) (?=[^{spaces}])").search
-        self.line_end = self._library(["\n"])[0]
+        # words are cut already: the same file without the pattern, and without a second memo
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.of_words.model._resize_cache(0)
         self.memo = _Memo()
 
     def _classes(self) -> tuple[str, str, str]:
@@ -87,20 +93,12 @@ class Encoder:
         yield text[start:] if start else text
 
     def _learn(self) -> None:
-        """Puts the ids of the noted words into the memo. They are encoded as lines of one text,
-        between which the pattern always cuts; white space is encoded word by word."""
+        """Puts the ids of the noted words into the memo."""
         todo, self.memo.todo = self.memo.todo, []
-        lines = [w for w in todo if not w[-1].isspace()]
-        for word in (w for w in todo if w[-1].isspace()):
-            self.memo[word] = self._library([word])[0]
-        if not lines:
-            return
-        data = self._library(["\n".join(lines)])[0]
-        ends = [*np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(self.line_end, "<u4")[0]).tolist(), len(data) // 4]
-        start = 0
-        for word, end in zip(lines, ends, strict=True):
-            self.memo[word] = data[4 * start : 4 * end]
-            start = end + 1
+        for start in range(0, len(todo), WORDS_AT_A_TIME):
+            some = todo[start : start + WORDS_AT_A_TIME]
+            for word, found in zip(some, self.of_words.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.memo[word] = array.array("I", found.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -108,14 +106,13 @@ class Encoder:
         for text in texts:
             own = []
             for stretch in self._stretches(sound(text)):
-                if self.other(stretch):
+                if not (stretch.isascii() and "<" not in stretch) and self.other(stretch):
                     own.append(self._library([stretch])[0])
                     continue
                 words = self.words(stretch)
                 try:
                     own.append(b"".join(map(memo.__getitem__, words)))
-                except TypeError:  # a word is new: note all of them
-                    deque(map(memo.__getitem__, words), 0)
+                except TypeError:  # a word is new; all have been looked up, so all new ones are noted
                     own.append(words)
             parts.append(own)
         todo = memo.todo
