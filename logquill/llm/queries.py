@@ -59,16 +59,16 @@ QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {
     "op4_exact_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT)) AS v
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT)) AS v
             FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id,
+            SELECT q.row AS query_row, q.vec_id AS query_id, c.row, c.vec_id,
                    cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0
+            FROM v q JOIN v c ON q.row <> c.row AND q.vec_id % 50 = 0
         )
         SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+            SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id, row) AS rank FROM s
         ) WHERE rank <= 5
     """,
 }

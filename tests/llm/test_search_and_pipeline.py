@@ -9,12 +9,12 @@ from tests.llm.test_text import brute_components
 
 
 def brute(rows, k=5):
-    """The k best of every query among integer vectors, by vec_id."""
+    """The k best of every query among (id, integer vector) rows, each but itself."""
     out = []
-    for q, v in rows.items():
+    for n, (q, v) in enumerate(rows):
         if q % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows.items() if i != q and len(w) == len(v))
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i, m) for m, (i, w) in enumerate(rows) if m != n and len(w) == len(v))
+            out += [(q, r + 1, i, -s) for r, (s, i, _) in enumerate(scores[:k])]
     return sorted(out)
 
 
@@ -38,13 +38,29 @@ def test_search_of_odd_vectors(spark, monkeypatch):
     rows[50] = [3.0, -1.0]
     table = [(i, v, None, "x") for i, v in rows.items()] + [(700, None, 1, "y"), (701, [None, 1.0], 1, None), (None, [0.0] * 8, 1, None), (7, rows[7], 2, None)]
     df = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int, v string")
-    good = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows.items() if np.isfinite(v).all()}
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in [*rows.items(), (7, rows[7])] if np.isfinite(v).all()]
     got = topk.top_k(df, F.col("vec_id") % 50 == 0)
     assert sorted(map(tuple, got.collect())) == brute(good)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
     assert topk.top_k(df, F.col("vec_id") < 0).collect() == []
 
 
+@pytest.mark.parametrize("large", [1e5, 1e9, 1e12])
+def test_search_of_large_components_and_repeated_rows(spark, monkeypatch, large):
+    monkeypatch.setattr(topk, "TILE", 50)
+    monkeypatch.setattr(topk, "FEW", 6)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 6)]) for i in range(120)]
+    rows[17] = (17, [large, -large, 3.0, 0.0, 0.5, 0.0])
+    rows[50] = (50, [large / 3, large, -1.0, 0.0, 0.0, 0.0])
+    rows += [(100, rows[20][1]), (100, rows[100][1]), (30, rows[31][1]), (130, []), (150, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    longest = 2**63 - 1
+    want = sorted((q, r, i, max(-longest - 1, min(longest, s))) for q, r, i, s in brute(good))
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect())) == want
+
+
 def test_scan_stops_on_proof_only():
     rng = np.random.default_rng(9)
     ids, vectors = np.arange(500), rng.integers(-80, 80, (500, 16))
