@@ -2,9 +2,10 @@
 
 Patterns give the base spans. Beside them, two character Markov models, one of random strings and
 one of ordinary identifiers, are compared on every long run of identifier characters: a run whose
-mean log-likelihood ratio a character passes the threshold is a span of kind "markov". The models
+mean log-likelihood ratio a character passes a threshold, which is stricter for runs without a
+digit, is a span of kind "markov"; shorter runs aren't compared. The models
 are trained from labelled samples: random strings are the values that the base patterns found in a
-bounded sample of documents, and digests written in hexadecimal and base64; ordinary ones are the
+bounded sample of documents, and digests written in hexadecimal, base64 and capitals; ordinary ones are the
 identifiers of that sample outside base matches. What the driver sees of them is one count per
 model and pair of characters, a bounded table.
 """
@@ -12,67 +13,108 @@ model and pair of characters, a bounded table.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquill.llm.common import free_name
 
-#: Fixed patterns of the base, in their order of kind: (kind, pattern, group held to a least length, least length).
+_ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: Patterns of the base, in their order of kind: (kind, pattern, group of the value, its least length, hint). A run
+#: of hex digits or of an access key's characters is taken whole, so its least length is in the pattern; a text
+#: with an assign span that is kept has the hint.
 KINDS = (
-    ("assign", r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    ("access", r"()(AKIA[A-Z0-9]+)", 2, 16),
-    ("hex", r"()([0-9a-f]+)", 2, 32),
+    ("assign", _ASSIGN, 2, 8, _ASSIGN.removesuffix("+)") + "{8,})"),
+    ("access", "AKIA[A-Z0-9]{12,}", 0, 16, "AKIA[A-Z0-9]{12,}"),
+    ("hex", "[0-9a-f]{32,}", 0, 32, "[0-9a-f]{32,}"),
 )
-#: The same with the least length inside: every span that is kept lies in a text that has this.
-HINTS = tuple(p.removesuffix("+)") + "{%d,})" % least if kind == "assign" else p.replace("]+", "]{%d,}" % (least - 4 * (kind == "access"))) for kind, p, _, least in KINDS)
-RUN = r"()([A-Za-z0-9+/_=-]{20,})"
+RUN = "[A-Za-z0-9+/_=-]{20,}"
 MARKOV = "markov"
 #: Characters a run may hold are counted by code, from 32 on, in a square table.
 CODES = 96
 #: Documents and strings of each label that the models are trained from, at most.
 SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 20000
-#: Mean log-likelihood ratio a character from which on a run counts as random.
-THRESHOLD = 0.35
+#: Mean log-likelihood ratio a character from which on a run with a digit counts as random, and one without.
+THRESHOLD, THRESHOLD_LETTERS = 0.35, 0.7
+#: Elements that a running value is folded over at a time, and code points of a block of text.
+FOLD, BLOCK = 64, 256
+SPANS = "array<struct<start:int,order:int,end:int,kind:string,value:string>>"
 
 
-def match_spans(text: Column, pattern: str, kind: str, order: int, group: int = 2, least: int = 0) -> Column:
-    """Leftmost, non-overlapping matches as array<struct<start, order, end, kind, value>>, in code
-    points, those whose group is shorter than `least` left out.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Each match is taken with the gap before it (anchored where the last one ended), so the sums of
-    lengths are the places."""
-    anchored = rf"(?s)\G(.*?)({pattern})"
-    gaps, found = F.regexp_extract_all(text, F.lit(anchored), F.lit(1)), F.regexp_extract_all(text, F.lit(anchored), F.lit(2))
-    values = F.regexp_extract_all(text, F.lit(anchored), F.lit(2 + group))
-    steps = F.arrays_zip(gaps.alias("gap"), found.alias("found"), values.alias("value"))
-    empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,value:string>>")
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
-        kept = F.when(F.length(x["value"]) >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(end.alias("at"), kept.alias("spans"))
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """What op makes, from 0 on, of the numbers before each place. Arrays are folded in blocks, blocks
+    of blocks and what is left, so that no long array is copied for each of its elements."""
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda s: s["spans"])
+    def fold(xs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, start, lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def level(xs: Column, upper: Callable[[Column], Column]) -> Column:
+        cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / FOLD).cast("int")), lambda i: F.slice(v, i * FOLD + 1, FOLD))
+        whole = lambda block: F.aggregate(block, F.lit(0), op)
+        add = lambda block, base: F.transform(fold(block), lambda x: op(base, x))
+        joined = lambda v: let(cut(v), lambda blocks: F.flatten(F.zip_with(blocks, upper(F.transform(blocks, whole)), add)))
+        return let(xs, lambda v: F.when(F.size(v) > FOLD, joined(v)).otherwise(fold(v)))
+
+    return level(values, lambda sums: level(sums, fold))
+
+
+def match_spans(text: Column, pattern: str, kind: str, order: int, group: int = 0, least: int = 0) -> Column:
+    """Leftmost, non-overlapping matches as SPANS, in code points, those whose group is shorter than
+    `least` left out.
+
+    Each match is taken with the gap before it (anchored where the last one ended), so the running
+    sums of lengths are the places."""
+    anchored = F.lit(rf"(?s)\G(.*?)({pattern})")
+    every = lambda k: F.regexp_extract_all(text, anchored, F.lit(k))
+    steps = F.arrays_zip(every(1).alias("gap"), every(2).alias("found"), (every(2 + group) if group else every(2)).alias("value"))
+    sized = F.transform(steps, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["found"]).alias("found"), x["value"].alias("value")))
+
+    def span(x: Column, before: Column) -> Column:
+        start = before + x["gap"]
+        return F.struct(start.alias("start"), F.lit(order).alias("order"), (start + x["found"]).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
+
+    spans = let(sized, lambda v: F.zip_with(v, running(F.transform(v, lambda x: x["gap"] + x["found"]), lambda a, b: a + b), span))
+    return F.filter(spans, lambda x: F.length(x["value"]) >= least)
 
 
 def none_or(hint: str, text: Column, spans: Column) -> Column:
     """spans where the text holds the hint, else an empty array: most texts are read once."""
-    return F.when(text.rlike(hint), spans).otherwise(F.array().cast("array<struct<start:int,order:int,end:int,kind:string,value:string>>"))
+    return F.when(text.rlike(hint), spans).otherwise(F.array().cast(SPANS))
+
+
+def blocks(text: Column, size: int = BLOCK) -> Column:
+    """Stretches of text of `size` code points, in order."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def pair_blocks(s: Column) -> Column:
+    """Blocks of s, each with the character after it: their pairs of characters are those of s."""
+    pattern = F.lit(rf"(?s)(.{{1,{BLOCK}}})(?=(.?))")
+    return F.zip_with(F.regexp_extract_all(s, pattern, F.lit(1)), F.regexp_extract_all(s, pattern, F.lit(2)), lambda block, then: F.concat(block, then))
+
+
+def pair_codes(block: Column) -> Column:
+    """Codes of the pairs of characters of a block of two or more."""
+    code = lambda i: F.ascii(F.substring(block, i, F.lit(1))) - 32
+    return F.transform(F.sequence(F.lit(1), F.length(block) - 1), lambda i: code(i) * CODES + code(i + 1))
 
 
 def base_spans(text: Column) -> list[Column]:
     """The base spans of each kind."""
-    return [none_or(hint, text, match_spans(text, p, kind, i, group, least)) for i, ((kind, p, group, least), hint) in enumerate(zip(KINDS, HINTS, strict=True))]
+    return [none_or(hint, text, match_spans(text, p, kind, i, group, least)) for i, (kind, p, group, least, hint) in enumerate(KINDS)]
 
 
 def _pairs(strings: DataFrame) -> DataFrame:
     """label, code of the pair of characters, count."""
-    code = lambda s, i: F.ascii(F.substring(s, i, F.lit(1))) - 32
-    pair = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: code(F.col("s"), i) * CODES + code(F.col("s"), i + 1))
-    return strings.where(F.length("s") >= 2).select("label", F.explode(pair).alias("pair")).groupBy("label", "pair").agg(F.count("*").alias("n"))
+    parts = strings.select("label", F.explode(pair_blocks(F.col("s"))).alias("s")).where(F.length("s") >= 2)
+    return parts.select("label", F.explode(pair_codes(F.col("s"))).alias("pair")).groupBy("label", "pair").agg(F.count("*").alias("n"))
 
 
 def training_strings(docs: DataFrame) -> DataFrame:
@@ -87,7 +129,8 @@ def training_strings(docs: DataFrame) -> DataFrame:
     spans = sample.select("text", F.concat(*base_spans(F.col("text"))).alias("spans"))
     values = spans.select(F.explode("spans.value").alias("s")).where(F.col("s").rlike("^[ -~]+$"))
     digest = F.sha2(F.col("id").cast("string"), 256)
-    made = spark.range(1000).select(F.explode(F.array(digest, F.translate(F.base64(F.unhex(digest)), "=", ""), F.translate(F.base64(F.unhex(F.sha2(digest, 512))), "=", ""))).alias("s"))
+    plain = lambda bits: F.translate(F.base64(F.unhex(F.sha2(digest, bits))), "=", "")
+    made = spark.range(1000).select(F.explode(F.array(digest, plain(256), plain(512), F.upper(plain(384)))).alias("s"))
     outside = spans.where(F.size("spans") == 0).select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]{6,}"), F.lit(0))).alias("s"))
     first = lambda df, label: df.distinct().orderBy(F.xxhash64("s"), "s").limit(SAMPLE_STRINGS).select(F.lit(label).alias("label"), "s")
     return first(values.union(made), 1).union(first(outside, 0))
@@ -114,15 +157,17 @@ def train(docs: DataFrame) -> list[float]:
 def mean_ratio(s: Column, table: list[float]) -> Column:
     """Mean log-likelihood ratio of the pairs of s, which has two characters or more."""
     values = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
-    code = lambda i: F.ascii(F.substring(s, i, F.lit(1))) - 32
-    pairs = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.element_at(values, code(i) * CODES + code(i + 1) + 1))
-    return F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b) / (F.length(s) - 1)
+    add = lambda a, b: a + b
+    of_block = lambda block: F.aggregate(F.transform(pair_codes(block), lambda p: F.element_at(values, p + 1)), F.lit(0.0), add)
+    several = F.filter(pair_blocks(s), lambda x: F.length(x) >= 2)
+    return F.aggregate(F.transform(several, of_block), F.lit(0.0), add) / (F.length(s) - 1)
 
 
-def markov_spans(text: Column, table: list[float], threshold: float = THRESHOLD) -> Column:
-    """Long runs with a digit that the random model explains better."""
+def markov_spans(text: Column, table: list[float], threshold: float = THRESHOLD, threshold_letters: float = THRESHOLD_LETTERS) -> Column:
+    """Long runs that the random model explains better, by a wider margin if they have no digit."""
     runs = none_or(RUN, text, match_spans(text, RUN, MARKOV, len(KINDS)))
-    return F.filter(runs, lambda x: x["value"].rlike("[0-9]") & (mean_ratio(x["value"], table) > threshold))
+    least = lambda x: F.when(x["value"].rlike("[0-9]"), threshold).otherwise(threshold_letters)
+    return F.filter(runs, lambda x: mean_ratio(x["value"], table) > least(x))
 
 
 def with_spans(docs: DataFrame, base: str, spans: str, table: list[float] | None = None) -> DataFrame:
@@ -155,15 +200,27 @@ def redact(docs: DataFrame, table: list[float] | None = None, mark: str = "[SECR
     found = with_spans(docs, base, spans, table)
     text = F.coalesce("text", F.lit(""))
 
-    def step(state: Column, x: Column) -> Column:
-        apart = x["start"] >= state["at"]
-        added = F.concat(state["out"], F.substring(text, state["at"] + 1, x["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(apart, added).otherwise(state["out"]).alias("out"))
+    def piece(parts: Column, start: Column, end: Column) -> Column:
+        """The text from start up to end, from its blocks."""
+
+        def of_block(k: Column) -> Column:
+            low = F.greatest(start - k * BLOCK, F.lit(0))
+            return F.substring(F.get(parts, k), low + 1, F.least(end - k * BLOCK, F.lit(BLOCK)) - low)
+
+        at = lambda x: F.floor(x / BLOCK).cast("int")
+        return F.when(end > start, F.array_join(F.transform(F.sequence(at(start), at(end - 1)), of_block), "")).otherwise("")
+
+    def cut(parts: Column, xs: Column) -> Column:
+        # covered: up to where the spans before each reach
+        covered = running(F.transform(xs, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        marked = lambda x, before: F.when(x["start"] >= before, F.concat(piece(parts, before, x["start"]), F.lit(mark))).otherwise("")
+        rest = piece(parts, F.array_max(F.transform(xs, lambda x: x["end"])), F.length(text))
+        return F.concat(F.array_join(F.zip_with(xs, covered, marked), ""), rest)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
     changed = F.size(spans) > 0
-    out = found.withColumn("text", F.when(changed, cut).otherwise(F.col("text")))
+    redacted = let(blocks(text), lambda parts: let(F.col(spans), lambda xs: cut(parts, xs)))
+    out = found.withColumn("text", F.when(changed, redacted).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

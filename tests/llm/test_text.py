@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import struct
 import zlib
@@ -260,6 +261,58 @@ def test_secrets_in_tricky_texts(spark, sf):
     assert last == "markov:0:44"
 
 
+def brute_markov(text, table):
+    """Markov spans of a text by a loop over its runs and their pairs."""
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        pairs = list(zip(m[0], m[0][1:]))
+        mean = sum(table[(ord(a) - 32) * secrets.CODES + ord(b) - 32] for a, b in pairs) / len(pairs)
+        if mean > (secrets.THRESHOLD if re.search("[0-9]", m[0]) else secrets.THRESHOLD_LETTERS):
+            out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
+def test_markov_spans_equal_brute_force_and_tell_held_out_strings(spark, sf):
+    table = secrets.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    rng = random.Random(5)
+    alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    keys = [["".join(rng.choices(a, k=rng.randint(24, 60))) for _ in range(200)] for a in alphabets]
+    names = "request handler total count index value reader buffer config server error message parse token stream update".split()
+    plain = ["_".join(rng.choices(names, k=4)) for _ in range(200)] + ["".join(x.capitalize() for x in rng.choices(names, k=5)) + str(rng.randint(1, 99)) for _ in range(200)]
+    texts = [*itertools.chain(*keys), *plain, *TRICKY, "".join(rng.choices(alphabets[0], k=300_000)), "some words " + "x" * 700 + "7 é🙂 " + keys[0][0]]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), table).collect()
+    marked = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("markov")] for r in rows}
+    for i, text in enumerate(texts):
+        assert marked[i] == brute_markov(text, table), text[:60]
+    share = lambda a, b: sum(map(bool, (marked[i] for i in range(a, b)))) / (b - a)
+    assert share(0, 200) > 0.95 and share(200, 400) > 0.8 and share(400, 600) > 0.8 and share(600, 1000) < 0.01
+
+
+def test_many_secrets_in_one_text(spark):
+    n, table = 50_000, [0.0] * secrets.CODES**2
+    text = " ".join(f"token = abcdefgh{i:08d}" for i in range(n))
+    docs = spark.createDataFrame([(1, text, 5), (2, "\n" * 2_000_000, 1), (3, "x" * 2_000_000, 1), (4, "word 7 " * 300_000, 1)], "doc_id long, text string, n_chars int")
+    rows = {r["doc_id"]: r for r in secrets.scan(docs, table).collect()}
+    assert rows[1]["n_assign"] == n and hashlib.sha256(",".join(f"assign:{a}:{e}" for a, _, e, _ in base_of(text)[0]).encode()).hexdigest() == rows[1]["base_sha256"]
+    assert all(rows[k]["spans"] == "" for k in (2, 3, 4))
+    out = {r["doc_id"]: r for r in secrets.redact(docs, table).collect()}
+    assert out[1]["text"] == " ".join(["[SECRET]"] * n) and out[1]["n_chars"] == len(out[1]["text"]) and secrets.redact(docs, table).schema == docs.schema
+
+
+def test_redaction_of_overlapping_spans(spark):
+    table = [0.0] * secrets.CODES**2
+    inner = "token = AKIA" + "Z" * 20 + "=" + "0a" * 20
+    texts = {1: f"é🙂 {inner} and secret:{'f' * 40}. end", 2: inner * 3, 3: "secret=" + "0" * 5000 + " tail " * 200}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in secrets.redact(docs, table).collect():
+        text, out, at = texts[r["doc_id"]], "", 0
+        for start, _, end, _ in sorted(itertools.chain(*base_of(text))):
+            if start >= at:
+                out += text[at:start] + "[SECRET]"
+            at = max(at, end)
+        assert r["text"] == out + text[at:]
+
+
 def test_redaction(spark, odd_docs, no_docs):
     table = [0.0] * secrets.CODES**2
     docs = spark.createDataFrame([(1, "a token = \"abcdefgh12\" b", 1), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
