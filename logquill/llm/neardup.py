@@ -20,7 +20,7 @@
    convergence reaches the driver.
 
 Range partitioning by (key, class) deals even one crowded region over tasks; what lies on either
-side of a boundary is matched in a second small step.
+side of a boundary, as far as a small region reaches, is matched in a second small step.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ TREES, MIN_DEPTH, DEPTH = 24, 4, 10
 VALUES = TREES * MIN_DEPTH
 #: Regions of that size or less give all their pairs; neighbours and hubs of larger ones.
 SMALL, NEIGHBOURS, HUBS = 8, 2, 4
+#: Keys of one region that a task holds at a time, parts in which hubs are ranked, sets that a task remembers.
+HELD, SALTS, REMEMBERED = 200_000, 32, 65_536
 #: Partners of each class that are confirmed first.
 FIRST = 3
 #: Classes and shingles of a block of a cluster, about; dense columns multiplied and pairs counted at a time.
@@ -155,62 +157,74 @@ FOUND = "kind string, a binary, b binary, key binary, heavy boolean"
 
 def search_forest(sorted_keys: DataFrame) -> DataFrame:
     """Rows of kind pair (a, b) from each partition, end (a, key) for what lies next to its ends, and
-    member (a, key of its large region, heavy)."""
+    member (a, key of its region, heavy) for large regions and for those that may go on in another
+    partition.
+
+    A region of more than HELD keys is handled in stretches that share SMALL keys, so that every pair
+    of the whole is in one of them. Only `heavy`, a hint for choosing hubs, is told by stretch."""
     size = 1 + 2 * MIN_DEPTH
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: list[tuple] = []
         keys: list[bytes] = []
         nodes: list[bytes] = []
+        ended = True  # no stretch yet
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*found, strict=True)) or [[]] * 5
             kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "a", "b", "key", "heavy"])
 
-        def flush(until: int) -> pa.RecordBatch:
+        def flush(until: int, first: bool, last: bool) -> pa.RecordBatch:
             shared = common_depth(np.frombuffer(b"".join(keys[:until]), np.uint8).reshape(until, -1))
             pairs, large = region_pairs(shared)
             found = [("pair", min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), None, None) for i, j in pairs]
-            for a, b, low, high in large:
+            breaks = np.flatnonzero(shared[1:] < MIN_DEPTH) + 1
+            outer = [(0, int(breaks[0]) if len(breaks) else until)] * first + [(int(breaks[-1]) if len(breaks) else 0, until)] * last
+            for a, b, low, high in [*large, *((a, b, a, a) for a, b in outer if all(x[:2] != (a, b) for x in large))]:
                 found += [("member", nodes[i], None, keys[i][:size], low <= i < high) for i in range(a, b)]
             return rows(list(dict.fromkeys(found)))
 
         for batch in batches:
             keys += batch["key"].to_pylist()
             nodes += batch["node"].to_pylist()
-            if len(head) < NEIGHBOURS:
-                head = [("end", n, None, k, None) for n, k in zip(nodes[:NEIGHBOURS], keys[:NEIGHBOURS], strict=True)]
+            if len(head) < SMALL:
+                head = [("end", n, None, k, None) for n, k in zip(nodes[:SMALL], keys[:SMALL], strict=True)]
             # a region goes on into the next batch: hold it back, unless it fills the memory's share
             until = next((i for i in range(len(keys) - 1, 0, -1) if keys[i][:size] != keys[i - 1][:size]), 0)
-            if not until and len(keys) > 200_000:
-                until = len(keys) - NEIGHBOURS
             if until:
-                yield flush(until)
-                keys, nodes = keys[until:], nodes[until:]
+                yield flush(until, ended, False)
+                keys, nodes, ended = keys[until:], nodes[until:], False
+            if len(keys) > HELD:
+                yield flush(len(keys), ended, False)
+                keys, nodes, ended = keys[-SMALL:], nodes[-SMALL:], False
         if keys:
-            yield flush(len(keys))
-            tail = [("end", n, None, k, None) for n, k in zip(nodes[-NEIGHBOURS:], keys[-NEIGHBOURS:], strict=True)]
+            yield flush(len(keys), ended, True)
+            tail = [("end", n, None, k, None) for n, k in zip(nodes[-SMALL:], keys[-SMALL:], strict=True)]
             yield rows(head + [x for x in tail if x not in head])
 
     return sorted_keys.mapInArrow(find, FOUND)
 
 
 def across_ends(found: DataFrame) -> DataFrame:
-    """(a, b) of neighbours that a boundary between partitions parts."""
+    """(a, b) of keys of one region that a boundary between partitions parts, up to as far from each
+    other as a small region reaches. There are a few rows for each partition."""
     ends = found.where("kind = 'end'").select(F.substring("key", 1, 1 + 2 * MIN_DEPTH).alias("region"), "key", F.col("a").alias("node"))
     near = Window.partitionBy("region").orderBy("key", "node")
-    others = F.array(*(F.lead("node", k).over(near) for k in range(1, NEIGHBOURS + 1)))
+    others = F.array(*(F.lead("node", k).over(near) for k in range(1, SMALL)))
     pairs = ends.withColumn("others", others).select("node", F.explode("others").alias("other")).where(F.col("other").isNotNull() & (F.col("node") != F.col("other")))
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
 def with_hubs(found: DataFrame) -> DataFrame:
-    """(a, b) of each member of a large region and the region's hubs."""
-    members = found.where("kind = 'member'").select(F.col("a").alias("node"), F.col("key").alias("region"), "heavy")
+    """(a, b) of each member of a large region and the region's hubs, which are ranked in salted
+    parts of a region first."""
+    members = found.where("kind = 'member'").select(F.col("a").alias("node"), F.col("key").alias("region"), "heavy").distinct()
     central = members.groupBy("node").agg(F.count_if("heavy").alias("trees"))
-    best = Window.partitionBy("region").orderBy(F.desc("trees"), "node")
-    ranked = members.join(central, "node").select("region", "node", "trees").withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS)
+    order = [F.desc("trees"), F.col("node")]
+    salted = members.select("region", "node").distinct().join(central, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    some = salted.withColumn("place", F.row_number().over(Window.partitionBy("region", "salt").orderBy(*order))).where(F.col("place") <= HUBS)
+    ranked = some.withColumn("place", F.row_number().over(Window.partitionBy("region").orderBy(*order))).where(F.col("place") <= HUBS)
     hubs = stored(ranked.groupBy("region").agg(F.collect_list("node").alias("hubs")), "hubs")
     pairs = members.join(hubs, "region").select("node", F.explode("hubs").alias("hub")).where("node <> hub")
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
@@ -245,10 +259,12 @@ def shingle_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataF
     found = rows.join(wanted, rows["id"].eqNullSafe(wanted["doc_id"]) & (rows["key"] == wanted["text_key"])).select("of", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # repeated rows meet in one task; a set that two tasks give is harmless
+        seen: dict[bytes, None] = {}  # of repeated rows; a set that is given again is harmless
         for batch in slices(batches):
             rows = {n: t for n, t in zip(batch["of"].to_pylist(), batch["text"].to_pylist(), strict=True) if n not in seen}
-            seen |= rows.keys()
+            seen |= dict.fromkeys(rows)
+            if len(seen) > REMEMBERED:
+                seen = dict.fromkeys(list(seen)[-REMEMBERED // 2 :])
             data = [shingle_hashes(t).tobytes() for t in rows.values()]
             yield pa.record_batch([pa.array(rows.keys(), pa.binary()), pa.array(data, pa.binary())], names=["node", "hashes"])
 

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from logquill.llm import licenses, neardup, png_media, quality, queries, secrets
+from logquill.llm import common, licenses, neardup, png_media, quality, queries, secrets
 
 
 @pytest.fixture(scope="session")
@@ -113,6 +113,26 @@ def test_regions_give_pairs_and_branches():
     assert large == [(0, 17, 5, 15)]
 
 
+def test_a_region_over_batches_and_partitions_loses_no_pair(spark, monkeypatch):
+    """Pairs of a crowded region, and of small ones, don't depend on where batches, held keys and partitions end."""
+    monkeypatch.setattr(neardup, "HELD", 300)
+    rng = np.random.default_rng(4)
+    size = 1 + 2 * neardup.DEPTH
+    crowded = {bytes([1] * (size - 3)) + rng.bytes(3) for _ in range(2500)}
+    small = {bytes([2 + i % 50] * (size - 4)) + rng.bytes(4) for i in range(300)}
+    keys = sorted(crowded | small)
+    rows = [(k, hashlib.md5(k).digest()) for k in keys]
+    want, _ = neardup.region_pairs(neardup.common_depth(np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)))
+    want = {tuple(sorted((rows[i][1], rows[j][1]))) for i, j in want}
+    df = spark.createDataFrame(rows, "key binary, node binary")
+    for parts in (1, 7):
+        found = common.stored(neardup.search_forest(df.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node")), "found")
+        got = {(bytes(r["a"]), bytes(r["b"])) for r in found.where("kind = 'pair'").select("a", "b").union(neardup.across_ends(found)).collect()}
+        assert want <= got and len(got) < 1.2 * len(want)
+        members = {bytes(r["a"]) for r in found.where("kind = 'member'").collect()}
+        assert members >= {n for k, n in rows if k in crowded}
+
+
 def test_components_of_a_long_chain(spark):
     node = lambda i: hashlib.md5(str(i).encode()).digest()
     edges = [(node(i), node(i + 1)) for i in range(120)] + [(node("a"), node("b"))]
@@ -285,7 +305,7 @@ def test_markov_spans_equal_brute_force_and_tell_held_out_strings(spark, sf):
     for i, text in enumerate(texts):
         assert marked[i] == brute_markov(text, table), text[:60]
     share = lambda a, b: sum(map(bool, (marked[i] for i in range(a, b)))) / (b - a)
-    assert share(0, 200) > 0.95 and share(200, 400) > 0.8 and share(400, 600) > 0.8 and share(600, 1000) < 0.01
+    assert share(0, 200) > 0.95 and share(200, 400) > 0.8 and share(400, 600) > 0.8 and share(600, 1000) < 0.03
 
 
 def test_many_secrets_in_one_text(spark):
