@@ -3,29 +3,31 @@ licence templates.
 
 A block is a window of WIDTH times as many words as a template has, wherever it starts, across line
 ends too; as a set of lower-cased words it matches if it holds at least `threshold` of the template's
-words, telling ones among them. Template words are ordered by the number of documents they occur in,
-over all documents, rarest first. A text with a matching block must hold one of the first
-|T| - needed + 1 words of that order (prefix filter) and as many of its words as are needed (length
-filter). What passes is verified on all windows that start at one of the template's words, which
-hold what any other does, so the join misses nothing. One text per digest is looked at.
-
-Templates are a parameter of a few dozen short notices, so their tables have a fixed size, which is
-what makes broadcasting them safe.
+words, and its telling ones among them. Texts are read once: what is kept of them is where words of
+any template stand, and everything else is told from those places. Template words are ordered by the
+number of documents they occur in, over all documents, rarest first. A text with a matching block
+must hold one of the first |T| - needed + 1 words of that order (prefix filter), of which as many
+words are left from there on as are needed (positional filter), and in all as many of the template's
+words as are needed (length filter). What passes is verified on all windows that start at one of the
+template's words, which hold what any other does, so the join misses nothing. One text per digest is
+joined.
+
+Templates are a parameter of a few dozen notices, so their tables have a fixed size, which is what
+makes broadcasting them safe.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word with capitals, and what isn't part of one.
-ANY_WORD, ANY_GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+from logquill.llm.common import stored
+
+#: A word, capitals among its letters.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Fixed phrases of the base and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Licence notices by label.
@@ -39,6 +41,19 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mpl-2.0", "subject to the terms of the mozilla public license version 2 0"),
     ("proprietary", "all rights reserved"),
+    ("mit", """the above copyright notice and this permission notice shall be included in all copies or substantial portions of
+        the software the software is provided as is without warranty of any kind express or implied including but not limited to
+        the warranties of merchantability fitness for a particular purpose and noninfringement"""),
+    ("bsd", """redistributions of source code must retain the above copyright notice this list of conditions and the following
+        disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the
+        following disclaimer in the documentation and or other materials provided with the distribution"""),
+    ("isc", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+        provided that the above copyright notice and this permission notice appear in all copies"""),
+    ("apache-2.0", """you may not use this file except in compliance with the license you may obtain a copy of the license at
+        http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed
+        under the license is distributed on an as is basis without warranties or conditions of any kind"""),
+    ("gpl", """this program is free software you can redistribute it and or modify it under the terms of the gnu general public
+        license as published by the free software foundation either version of the license or at your option any later version"""),
 )
 #: Words without which a notice is another licence or version, by label.
 TELLING = {"apache-2.0": "apache 2", "cc-by-nc": "nc", "cc-by-sa": "sa", "gpl-3.0": "3", "mpl-2.0": "mozilla 2"}
@@ -52,62 +67,48 @@ def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def words(text: Column) -> Column:
-    """Words of a lower-cased text, in order."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-
-
-def phrase_places(text: Column, phrase: str) -> Column:
-    """Starts, in words, of the places where the words of phrase stand consecutively (they may
-    overlap). Texts without such a place are told by one look."""
-    parts = phrase.split(" ")
-    either = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
-    hint = rf"(?<={ANY_GAP}|^)" + f"{ANY_GAP}+".join(map(either, parts)) + rf"(?={ANY_GAP}|\z)"
-    all_words = words(lowered(text))
-
-    def places(ws: Column) -> Column:
-        last = F.size(ws) - len(parts)
-
-        def here(x: Column, i: Column) -> Column:
-            same = x == parts[0]
-            for k, part in enumerate(parts[1:], 1):
-                same = same & F.coalesce(F.get(ws, i + k) == part, F.lit(False))
-            return F.when(same & (i <= last), i.cast("long"))
+def template_rows(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> list[tuple[int, str, str, int, int, bool]]:
+    """(template, label, word, number of distinct words of its notice, number needed, telling) for each
+    distinct word."""
+    out = []
+    for i, (label, notice) in enumerate(templates):
+        ws = sorted(set(re.findall("[0-9a-z]+", notice)))
+        need, telling = math.ceil(threshold * len(ws) - 1e-9), TELLING.get(label, "").split()
+        out += [(i, label, w, len(ws), need, w in telling) for w in ws]
+    return out
 
-        return F.array_compact(F.transform(ws, here))
 
-    return F.when(text.rlike(hint), places(all_words)).otherwise(F.array().cast("array<bigint>"))
+def with_places(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """doc_id, digest of the text, n_words and held (array<struct<at, word>>): where words of the
+    templates or of the base phrases stand, told by one look at each text."""
+    text = F.coalesce("text", F.lit(""))
+    known = sorted({w for _, notice in templates for w in re.findall("[0-9a-z]+", notice)} | {w for p, _ in PHRASES for w in p.split(" ")})
+    # words of other letters that become one of those in lower case are told apart by lowered()
+    hit = lambda w, i: F.when(F.lower(w).isin(known), F.struct(i.cast("long").alias("at"), lowered(w).alias("word")))
+    found = docs.select("doc_id", F.unhex(F.md5(text)).alias("digest"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    held = F.filter(F.transform("words", hit), lambda x: x["word"].isin(known))
+    return found.select("doc_id", "digest", F.size("words").cast("long").alias("n_words"), held.alias("held"))
 
 
-def base_columns(text: Column) -> list[Column]:
-    """n_words, places by phrase (array of arrays)."""
-    count = F.size(F.regexp_extract_all(text, F.lit(ANY_WORD), F.lit(0))).cast("long")
-    return [count.alias("n_words"), F.array(*(phrase_places(text, p) for p, _ in PHRASES)).alias("_places")]
+def phrase_places(held: Column, phrase: str) -> Column:
+    """Starts, in words, of the places where the words of phrase stand consecutively (they may
+    overlap), from the places of known words."""
+    parts = phrase.split(" ")
 
+    def here(x: Column, j: Column) -> Column:
+        same = x["word"] == parts[0]
+        for k, part in enumerate(parts[1:], 1):
+            later = F.get(held, j + k)
+            same = same & F.coalesce((later["word"] == part) & (later["at"] == x["at"] + k), F.lit(False))
+        return F.when(same, x["at"])
 
-def template_rows(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> list[tuple[int, str, str, int, int]]:
-    """(template, label, word, number of distinct words of its notice, number needed) for each distinct
-    word. A notice with telling words gives a template for each choice of enough words with those
-    among them, all of which are needed."""
-    out = []
-    count = itertools.count()
-    for label, notice in templates:
-        ws = sorted(set(re.findall("[0-9a-z]+", notice)))
-        need = math.ceil(threshold * len(ws) - 1e-9)
-        telling = set(TELLING.get(label, "").split()) & set(ws)
-        free = [w for w in ws if w not in telling]
-        sets = [sorted({*telling, *some}) for k in range(max(0, need - len(telling)), len(free) + 1) for some in itertools.combinations(free, k)] if telling else [ws]
-        for some in sets:
-            i = next(count)
-            out += [(i, label, w, len(ws), len(some) if telling else need) for w in some]
-    return out
+    return F.array_compact(F.transform(held, here))
 
 
-def word_frequencies(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Number of texts that hold each word of the templates, over all of them; one row per word of
-    the vocabulary reaches the driver. Only those words are counted: others are in no template."""
-    known = F.array(*map(F.lit, vocabulary))
-    hits = texts.select(F.explode(F.array_intersect(words(lowered(F.col("text"))), known)).alias("word"))
+def word_frequencies(texts: DataFrame) -> dict[str, int]:
+    """Number of texts that hold each word of the templates, over all of texts (held); one row per
+    word of the vocabulary reaches the driver."""
+    hits = texts.select(F.explode(F.array_distinct("held.word")).alias("word"))
     return {r["word"]: r["n"] for r in hits.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
@@ -116,41 +117,33 @@ def ordered_templates(texts: DataFrame, templates: tuple[tuple[str, str], ...] =
     over all templates, rarest first) and its position in its template."""
     rows = template_rows(templates, threshold)
     vocabulary = sorted({r[2] for r in rows})
-    counts = word_frequencies(texts, vocabulary)
+    counts = word_frequencies(texts)
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     sets: dict[int, list[str]] = {}
-    for i, _, w, _, _ in rows:
+    for i, _, w, *_ in rows:
         sets.setdefault(i, []).append(w)
     place = {(i, w): k for i, ws in sets.items() for k, w in enumerate(sorted(ws, key=rank.get))}
-    out = [(i, label, w, size, need, len(sets[i]), rank[w], place[i, w]) for i, label, w, size, need in rows]
-    return texts.sparkSession.createDataFrame(out, "template int, label string, word string, size int, need int, words int, rank int, place int")
+    out = [(i, label, w, size, need, telling, rank[w], place[i, w]) for i, label, w, size, need, telling in rows]
+    return texts.sparkSession.createDataFrame(out, "template int, label string, word string, size int, need int, telling boolean, rank int, place int")
 
 
 def matching_blocks(texts: DataFrame, templates: DataFrame) -> DataFrame:
     """(digest, block, label, containment) of the best block, by the place of its first word, of every
-    text of texts (digest, text) for every template whose threshold it meets."""
-    rows = [r.asDict() for r in templates.collect()]  # a few dozen notices
-    prefix = templates.where(F.col("place") <= F.col("words") - F.col("need")).select("rank", "template")
-    heads = sorted({r["word"] for r in rows if r["place"] <= r["words"] - r["need"]})
-    if not heads:
-        return texts.select("digest", F.lit(0).alias("block"), F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
-    either = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
-    has_head = rf"(?<={ANY_GAP}|^)(?:{'|'.join(map(either, heads))})(?={ANY_GAP}|\z)"
-    # places of words that any template has; others can't be shared
-    order = F.create_map(*(x for r in {r["word"]: r["rank"] for r in rows}.items() for x in (F.lit(r[0]), F.lit(r[1]))))
-    places = F.transform(words(lowered(F.col("text"))), lambda w, i: F.struct(i.alias("at"), F.element_at(order, w).alias("rank")))
-    held = texts.where(F.col("text").rlike(has_head)).select("digest", F.filter(places, lambda x: x["rank"].isNotNull()).alias("held"))
-    tokens = held.select("digest", "held", F.explode(F.array_distinct("held.rank")).alias("rank"))
-    candidates = tokens.join(F.broadcast(prefix), "rank").dropDuplicates(["digest", "template"])  # as small as the templates are
-    whole = templates.groupBy("template", "label", "size", "need").agg(F.collect_set("rank").alias("whole"))
-    own = F.filter("held", lambda x: F.array_contains("whole", x["rank"])).alias("own")
-    enough = F.size(F.array_intersect("held.rank", "whole")) >= F.col("need")
-    pairs = candidates.join(F.broadcast(whole), "template").where(enough).select("digest", "label", "size", "need", own)
+    text of texts (digest, held) for every template whose threshold it meets."""
+    prefix = templates.where(F.col("place") <= F.col("size") - F.col("need")).select("word", "template")
+    tokens = texts.select("digest", "held", F.explode(F.array_distinct("held.word")).alias("word"))
+    candidates = tokens.join(F.broadcast(prefix), "word").drop("word").dropDuplicates(["digest", "template"])  # as small as the templates are
+    whole = templates.groupBy("template", "label", "size", "need").agg(F.collect_set("word").alias("whole"), F.collect_set(F.when(F.col("telling"), F.col("word"))).alias("telling"))
+    own = F.filter("held", lambda x: F.array_contains("whole", x["word"])).alias("own")
+    enough = F.size(F.array_intersect("held.word", "whole")) >= F.col("need")
+    pairs = candidates.join(F.broadcast(whole), "template").where(enough).select("digest", "label", "size", "need", "telling", own)
     width = F.col("size") * WIDTH
 
     def block(x: Column, i: Column) -> Column:
         inside = F.filter(F.slice("own", i + 1, width), lambda y: y["at"] < x["at"] + width)
-        return F.struct(F.size(F.array_distinct(F.transform(inside, lambda y: y["rank"]))).alias("shared"), (-x["at"]).alias("back"))
+        shared = F.array_distinct(F.transform(inside, lambda y: y["word"]))
+        told = F.size(F.array_intersect(shared, "telling")) == F.size("telling")
+        return F.struct(F.when(told, F.size(shared)).otherwise(0).alias("shared"), (-x["at"]).alias("back"))
 
     best = pairs.select("digest", "label", "size", "need", F.array_max(F.transform("own", block)).alias("best"))
     return best.where(F.col("best.shared") >= F.col("need")).select("digest", (-F.col("best.back")).alias("block"), "label", (F.col("best.shared") / F.col("size")).alias("containment"))
@@ -160,15 +153,15 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     """One row per row of docs (doc_id, text): words, base places and labels, and labels with those
     of the matching blocks; score is the best containment of a block, 0 without one.
 
-    Null texts are empty; null ids and repeated rows are kept; an empty table gives an empty
-    result; other columns are not read."""
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
-    texts = keyed.select("digest", "text")
+    Null texts are empty; null ids and repeated rows are kept; texts of any length are read whole; an
+    empty table gives an empty result; other columns are not read."""
+    # with only known words left, a small table
+    read = stored(with_places(docs, templates), "license-words")
+    texts = read.select("digest", "held").where(F.size("held") > 0)
     # only texts with a match give rows here: few, and as many for copies as for one
     blocks = matching_blocks(texts, ordered_templates(texts, templates, threshold))
     found = blocks.groupBy("digest").agg(F.collect_set("label").alias("found"), F.max("containment").alias("score"))
-    base = keyed.select("doc_id", "digest", *base_columns(F.col("text")))
+    base = read.select("doc_id", "digest", "n_words", F.array(*(phrase_places(F.col("held"), p) for p, _ in PHRASES)).alias("_places"))
     joined = base.join(found, "digest", "left")
     starts = F.flatten("_places")
     labels = F.array_compact(F.array(*(F.when(F.size(F.col("_places")[i]) > 0, label) for i, (_, label) in enumerate(PHRASES))))
@@ -178,14 +171,3 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
         "doc_id", "n_words", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         join(labels).alias("base_labels"), join(both).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )
-
-
-def with_spans_of_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """The matching blocks themselves: doc_id, block (place of its first word from 0), label, containment, and
-    rank of the match in its document, best first. For reports."""
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
-    texts = keyed.select("digest", "text")
-    blocks = matching_blocks(texts, ordered_templates(texts, templates, threshold)).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.desc("containment"), "block", "label")
-    return keyed.select("doc_id", "digest").join(blocks, "digest").drop("digest").withColumn("match", F.row_number().over(order))
