@@ -1,10 +1,10 @@
 """Quality classifier: a generalised additive model with pairwise interactions.
 
-Features of whole texts are computed once and written. A bounded sample of labelled rows (the
-smallest digests of doc_id, SAMPLE rows at most) trains the model: feature by feature in a cycle, a
+A bounded sample of labelled rows (the smallest digests of doc_id, SAMPLE rows at most) trains the
+model from features of their whole texts: feature by feature in a cycle, a
 shallow tree over the feature's bins is boosted onto the feature's lookup table; then the pairs with
-the largest gain get tables in the same way. Scoring adds one table entry for each feature and pair
-to every row, in vectors.
+the largest gain get tables in the same way. Scoring
+computes each text's features once and adds one table entry for each feature and pair, in vectors.
 """
 
 from __future__ import annotations
@@ -179,47 +179,44 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
-def train(features: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of the rows of features that labels (doc_id, quality) marks, held-out rows left
-    out. Null ids and labels don't count; of several labels of a document the smallest does."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model of the rows of docs that labels (doc_id, quality) marks, held-out rows left out; only
+    their features are computed. Null ids and labels don't count; of several labels, or of several
+    rows, of a document the smallest does."""
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # of ids and labels only
-    rows = features.join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("features").alias("features")).orderBy("doc_id").toArrow()
+    chosen = stored(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "chosen")  # of ids and labels only
+    features = with_features(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))  # `sample` ids at most
+    rows = features.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("features").alias("features")).orderBy("doc_id").toArrow()
     x = np.array(rows["features"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, rows["quality"].to_numpy().astype(float))
 
 
-def score(features: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row of features."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch["features"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-            yield pa.record_batch([batch["doc_id"], batch["held_out"], pa.array(model.score(x))], names=["doc_id", "held_out", "score"])
-
-    scored = features.select("doc_id", held_out().alias("held_out"), "features").mapInArrow(add, "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+def scores(texts: list[str | None], model: Model) -> np.ndarray:
+    return model.score(np.array([text_features(t or "") for t in texts], dtype=float).reshape(-1, len(FEATURES)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text), as labels.quality marks.
 
     Only text enters a score. Null texts are empty ones, null ids are scored and count as not held
-    out, repeated rows are scored each; without any label every score is 0.5; an empty table gives
-    an empty result; other columns are not read."""
-    features = stored(with_features(docs), "quality-features")
-    return score(features, train(features, labels, sample))
+    out, repeated rows are scored each, texts of any length whole; without any label every score is
+    0.5; an empty table gives an empty result; other columns are not read."""
+    model = train(docs, labels, sample)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.record_batch([batch["doc_id"], batch["held_out"], pa.array(scores(batch["text"].to_pylist(), model))], names=["doc_id", "held_out", "score"])
+
+    scored = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(add, "doc_id long, held_out boolean, score double")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that the classifier accepts, with all their columns."""
-    features = stored(with_features(docs), "quality-features")
-    model = train(features, labels, sample)
-    columns = docs.columns
+    model = train(docs, labels, sample)
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x = np.array([text_features(t or "") for t in batch["text"].to_pylist()], dtype=float).reshape(-1, len(FEATURES))
-            yield batch.filter(pa.array(model.score(x) >= 0.5))
+            yield batch.filter(pa.array(scores(batch["text"].to_pylist(), model) >= 0.5))
 
-    return docs.mapInArrow(accept, docs.schema).select(columns)
+    return docs.mapInArrow(accept, docs.schema).select(docs.columns)
