@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logquill.functions import stats as s
-from logquill.operators.detectors import MIN_DELTA, MIN_N, QUIET, Z_FAST
+from logquill.operators.detectors import (
+    CUSUM_LIMIT, CUSUM_SLACK, K_FAST, K_SLOW, MIN_DELTA, MIN_N, QUIET, WILSON_KEYS, WILSON_N, WILSON_RATE, Z_FAST, Z_SLOW, with_least, with_thresholds,
+)
 from logquill.sources import vocabulary as voc
 
 SPAN_S, WARMUP_S = 300, 120
 
 
 def ewma(sums: DataFrame, span_s: int = SPAN_S) -> DataFrame:
-    """key, seconds, ewma, lower and upper of the band at the last second.
+    """key, seconds and ewma at the last second, of an average that starts at 0 and never stops learning.
 
     The value after the last second is a weighted sum, with weights that fall by a constant factor a
     second, so it needs one aggregate with partial sums and no pass in order."""
@@ -28,41 +31,98 @@ def ewma(sums: DataFrame, span_s: int = SPAN_S) -> DataFrame:
     return rows.groupBy("key", "seconds").agg(F.round(total, 6).alias("ewma"))
 
 
-FOLDED = "key string, sec long, ewma double, sigma double, frozen boolean, z double"
+NUMBERS = ("tot10", "err10", "tot30", "err30", "tot60", "err60", "tot300", "err300", "t_tot", "t_err", "limit_rate", "min_n", "least", "base")
+FOLDED = "key string, sec long, tot10 long, err10 long, tot30 long, err30 long, tot60 long, err60 long, t_tot long, t_err long, window_s int, base double, ewma double, sigma double, warming boolean, z10 double, z60 double, cusum double, rule string, open boolean, opened_now boolean"
 
 
-def adaptive(sums: DataFrame, span_s: int = SPAN_S) -> DataFrame:
-    """key, sec, ewma, sigma, frozen, z of each second, with learning stopped while the component's
-    fast alert is open, which depends on the baseline itself.
+@dataclass
+class _Key:
+    """What is carried from one second of a component to the next."""
 
-    Learning starts at the vocabulary's rate; the warm-up only holds alerts back. A fold along each
-    key's seconds: they stream through sorted, so a task holds one key's state."""
+    mean: float
+    var: float = s.FLOOR**2
+    seen: int = 0
+    run: int = 0
+    quiet: int = 0
+    cusum: float = 0.0
+    open: bool = False
+
+
+def _z(err: int, tot: int, base: float) -> float:
+    spread = tot * base * (1 - base)
+    return (err - tot * base) / spread**0.5 if spread >= 1e-9 else 64.0 * (err > 0 and tot > 0)
+
+
+def _wilson(err: int, tot: int) -> float:
+    share, zz = err / tot, 1.96**2
+    return max((share + zz / (2 * tot) - 1.96 * ((share * (1 - share) + zz / (4 * tot)) / tot) ** 0.5) / (1 + zz / tot), 0.0)
+
+
+def step(k: _Key, key: str, x: dict, alpha: float) -> tuple:
+    """Moves k on by the second x; (base, ewma, sigma, warming, z10, z60, cusum, rule, open, opened_now).
+
+    Every rule is judged by the baseline as it was before the second, and the baseline learns from the
+    second only if no alert of the component is open."""
+    base, warming, active = max(k.mean, s.FLOOR), k.seen < WARMUP_S, x["tot300"] > 0
+    z10, z60 = _z(x["err10"], x["tot10"], base), _z(x["err60"], x["tot60"], base)
+    rates = {w: x[f"err{w}"] / max(x[f"tot{w}"], 1) for w in (10, 60, 300)}
+    k.cusum = max(k.cusum + rates[60] - base - CUSUM_SLACK * max(k.var, 1e-12) ** 0.5, 0.0) if x["tot60"] >= MIN_N and active else 0.0
+    rule = None
+    if not warming:
+        if x["tot10"] >= x["least"] and z10 > Z_FAST and rates[10] > base + MIN_DELTA and active:
+            rule = "fast"
+        elif x["tot60"] >= x["least"] and z60 > Z_SLOW and rates[60] > base + MIN_DELTA and active:
+            rule = "slow"
+        elif key in WILSON_KEYS and x["tot30"] >= WILSON_N and _wilson(x["err30"], x["tot30"]) > WILSON_RATE:
+            rule = "wilson"
+        elif x["t_tot"] >= x["min_n"] and x["t_err"] / max(x["t_tot"], 1) > x["limit_rate"] and active:
+            rule = "threshold"
+        elif k.cusum > CUSUM_LIMIT:
+            rule = "cusum"
+    k.run, k.quiet = (0, 0) if warming else (k.run + 1, 0) if rule else (0, k.quiet + 1)
+    still = k.open and k.quiet <= QUIET
+    opened = not still and rule is not None and k.run >= (K_SLOW if rule in ("slow", "cusum") else K_FAST)
+    k.open = still or opened
+    if active:
+        k.seen += 1
+        if not k.open:
+            gap = rates[300] - k.mean
+            k.mean += alpha * gap
+            k.var += alpha * (gap * gap - k.var)
+    return base, k.mean, max(k.var, 0.0) ** 0.5, warming, z10, z60, k.cusum, rule, k.open, opened
+
+
+def learned(sums: DataFrame, span_s: int = SPAN_S) -> DataFrame:
+    """Every second of every component with its learned baseline (base before the second, ewma and
+    sigma after it), the rule that breaches, and whether an alert is open or opens.
+
+    Learning starts at the vocabulary's rate and stops while an alert of the component is open, which
+    depends on the baseline itself, so no window can tell it: a fold along each key's seconds, which
+    stream through sorted, with one key's state in a task. Its tasks are as many as components."""
     alpha = 2 / (span_s + 1)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = None
+        key, state = None, None
         for batch in batches:
+            keys, columns = batch["key"].to_pylist(), [batch[c].to_pylist() for c in NUMBERS]
             out = []
-            for k, sec, tot10, err10, tot300, err300, seed in zip(*(batch[c].to_pylist() for c in ("key", "sec", "tot10", "err10", "tot300", "err300", "base")), strict=True):
+            for k, *values in zip(keys, *columns, strict=True):
+                x = dict(zip(NUMBERS, values, strict=True))
                 if k != key:
-                    key, mean, var, run, quiet, is_open, seen = k, seed, s.FLOOR**2, 0, 0, False, 0
-                base = max(mean, s.FLOOR)
-                spread = tot10 * base * (1 - base)
-                z = (err10 - tot10 * base) / spread**0.5 if spread >= 1e-9 else 64.0 * (err10 > 0 and tot10 > 0)
-                hit = seen >= WARMUP_S and tot10 >= MIN_N and z > Z_FAST and err10 / max(tot10, 1) > base + MIN_DELTA
-                run, quiet = (run + 1, 0) if hit else (0, quiet + 1)
-                is_open = (is_open and quiet <= QUIET) or run >= 2
-                if tot300 > 0:
-                    seen += 1
-                    if not is_open:
-                        gap = err300 / tot300 - mean
-                        mean += alpha * gap
-                        var += alpha * (gap * gap - var)
-                out.append((k, sec, mean, max(var, 0.0) ** 0.5, is_open, z))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.float64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "sec", "ewma", "sigma", "frozen", "z"])
-
-    base = voc.components(sums.sparkSession).select("key", "err")
-    rows = sums.join(F.broadcast(base.toDF("key", "base")), "key").select("key", "sec", "tot10", "err10", "tot300", "err300", "base")
+                    key, state = k, _Key(x["base"])
+                out.append(step(state, k, x, alpha))
+            own = list(zip(*out, strict=True)) or [[]] * 10
+            kinds = (pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_(), pa.bool_())
+            kept = [batch[c] for c in ("key", "sec", "tot10", "err10", "tot30", "err30", "tot60", "err60", "t_tot", "t_err", "window_s")]
+            yield pa.record_batch([*kept, *(pa.array(c, t) for c, t in zip(own, kinds, strict=True))], names=[c.split(" ")[0] for c in FOLDED.split(", ")])
+
+    seed = voc.components(sums.sparkSession).select("key", F.col("err").alias("base"))
+    rows = with_thresholds(with_least(sums)).join(F.broadcast(seed), "key").select("key", "sec", "window_s", *NUMBERS)
     return rows.repartition("key").sortWithinPartitions("key", "sec").mapInArrow(fold, FOLDED)
+
+
+def band(states: DataFrame, sigmas: float = 3.0) -> DataFrame:
+    """key, sec, lower, upper, warming: the band around the learned baseline."""
+    spread = sigmas * F.col("sigma")
+    floored = F.greatest("ewma", F.lit(s.FLOOR))
+    return states.select("key", "sec", F.greatest(floored - spread, F.lit(0.0)).alias("lower"), (floored + spread).alias("upper"), "warming")

@@ -10,7 +10,7 @@ from logquill.operators.parse import counted, rejected
 from logquill.sources import vocabulary as voc
 
 ADOPT_WINDOW_S, ADOPT_LINES, KEY_CAP, SAMPLES = 30, 20, 1000, 3
-OVERFLOW = "<overflow>"
+OVERFLOW, HOUR_S = "<overflow>", 3600
 
 
 def _level_counts() -> list:
@@ -81,31 +81,51 @@ def latency_histogram(parsed: DataFrame, by_second: bool = False) -> DataFrame:
     return counted(parsed).withColumn("bin", p.latency_bin(F.col("latency_ms"))).groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def skew_filter(parsed: DataFrame, bound_s: int = 300) -> DataFrame:
-    """median_sec (upper median of event seconds), kept and dropped lines within bound_s of it.
+def median_second(by_second: DataFrame) -> DataFrame:
+    """median_sec, the upper median of the seconds of by_second (sec, n), in two steps: the hour it lies
+    in from a row for each hour, then the second from that hour's rows."""
+    hours = by_second.groupBy((F.floor(F.col("sec") / HOUR_S) * HOUR_S).alias("hour")).agg(F.sum("n").alias("n"))
+    running = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)  # a row for each hour
+    placed = hours.withColumns({"upto": F.sum("n").over(running), "half": F.floor(F.sum("n").over(Window.partitionBy()) / 2)})
+    held = placed.where((F.col("upto") > F.col("half")) & (F.col("upto") - F.col("n") <= F.col("half"))).select("hour", (F.col("half") - F.col("upto") + F.col("n")).alias("left"))
+    inside = by_second.join(F.broadcast(held), (F.col("sec") >= F.col("hour")) & (F.col("sec") < F.col("hour") + HOUR_S))  # one row
+    upto = F.sum("n").over(Window.orderBy("sec").rowsBetween(Window.unboundedPreceding, 0))  # of one hour
+    return inside.withColumn("upto", upto).where(F.col("upto") > F.col("left")).agg(F.min("sec").alias("median_sec"))
+
 
-    Counted by second first, so the ordered pass sees a row for each second."""
+def skew_filter(parsed: DataFrame, bound_s: int = 300) -> DataFrame:
+    """median_sec (upper median of event seconds), kept and dropped lines within bound_s of it."""
     by_second = parsed.where("sec IS NOT NULL").groupBy("sec").agg(F.count("*").alias("n"))
-    every = Window.partitionBy(F.lit(0))
-    running = by_second.select("sec", "n", F.sum("n").over(every.orderBy("sec")).alias("upto"), F.sum("n").over(every).alias("total"))
-    median = F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("sec"))).over(every)
-    rows = running.select("sec", "n", median.alias("median_sec"))
+    rows = by_second.crossJoin(F.broadcast(median_second(by_second)))  # one row
     near = F.abs(F.col("sec") - F.col("median_sec")) <= bound_s
     return rows.groupBy("median_sec").agg(F.sum(F.when(near, F.col("n")).otherwise(0)).alias("kept"), F.sum(F.when(near, 0).otherwise(F.col("n"))).alias("dropped"))
 
 
-def unknown_keys(parsed: DataFrame) -> DataFrame:
-    """key, n, first and last timestamp, first samples of unknown components; beyond KEY_CAP keys the
-    rest is summed as one."""
-    lines = rejected(parsed).where("class = 'unknown_component'").select("key", "ts_ms", F.substring("value", 1, 200).alias("line"))
-    stats = lines.groupBy("key").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.min_by("line", "ts_ms").alias("sample"))
-    place = F.row_number().over(Window.orderBy(F.desc("n"), "key"))
-    capped = stats.withColumn("key", F.when(place <= KEY_CAP, F.col("key")).otherwise(OVERFLOW))
-    return capped.groupBy("key").agg(F.sum("n").alias("n"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.min_by("sample", "first_ms").alias("sample"))
+def without_skew(parsed: DataFrame, bound_s: int = 300) -> DataFrame:
+    """The lines of parsed whose second lies within bound_s of the median one."""
+    seconds = parsed.where("sec IS NOT NULL").groupBy("sec").agg(F.count("*").alias("n"))
+    near = F.abs(F.col("sec") - F.col("median_sec")) <= bound_s
+    return parsed.join(F.broadcast(median_second(seconds)), near).drop("median_sec")
+
+
+def unknown_keys(parsed: DataFrame, cap: int | None = None) -> DataFrame:
+    """key, n, first and last timestamp and the first SAMPLES lines, cut to 200 bytes, of unknown
+    components. With a cap, keys beyond the cap largest are summed as one."""
+    line = F.decode(F.substring(F.col("value").cast("binary"), 1, 200), "UTF-8").alias("line")
+    lines = rejected(parsed).where("class = 'unknown_component'").select("key", "ts_ms", line)
+    stats = lines.groupBy("key").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("ts_ms", "line"))
+    first = lines.withColumn("place", place).where(F.col("place") <= SAMPLES).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "line"))).alias("first"))
+    rows = stats.join(first, "key").select("key", "n", "first_ms", "last_ms", F.array_join("first.line", " / ").alias("samples"))
+    if cap is None:
+        return rows
+    top = F.broadcast(stats.orderBy(F.desc("n"), "key").limit(cap).select("key", F.lit(True).alias("top")))
+    named = rows.join(top, "key", "left").withColumn("key", F.when(F.col("top"), F.col("key")).otherwise(OVERFLOW))
+    return named.groupBy("key").agg(F.sum("n").alias("n"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.min_by("samples", "first_ms").alias("samples"))
 
 
 def top_unknown_keys(parsed: DataFrame, limit: int = 10) -> DataFrame:
-    return unknown_keys(parsed).orderBy(F.col("key") == OVERFLOW, F.desc("n"), "key").limit(limit)
+    return unknown_keys(parsed, KEY_CAP).orderBy(F.col("key") == OVERFLOW, F.desc("n"), "key").limit(limit)
 
 
 def adopt_candidates(parsed: DataFrame, window_s: int = ADOPT_WINDOW_S, least: int = ADOPT_LINES) -> DataFrame:

@@ -15,16 +15,22 @@ K_FAST, K_SLOW, QUIET = 2, 5, 30
 ROLLUP_RATE, ROLLUP_N = 0.05, {"service": 80, "system": 400}
 
 
+def with_least(sums: DataFrame) -> DataFrame:
+    """sums with least: the lines that a window of the component needs for a z-score."""
+    own = voc.thresholds(sums.sparkSession).select("key", F.col("min_n").alias("least"))
+    return sums.join(F.broadcast(own), "key", "left").fillna({"least": MIN_N})
+
+
 def with_baseline(sums: DataFrame) -> DataFrame:
-    """sums with base: the vocabulary's error rate of the component, floored."""
+    """sums with base, the vocabulary's error rate of the component, floored, and least."""
     base = voc.components(sums.sparkSession).select("key", F.greatest("err", F.lit(s.FLOOR)).alias("base"))
-    return sums.join(F.broadcast(base), "key")
+    return with_least(sums).join(F.broadcast(base), "key")
 
 
 def z_rule(rows: DataFrame, window: int, limit: float) -> Column:
     tot, err, base = F.col(f"tot{window}"), F.col(f"err{window}"), F.col("base")
     z = s.binomial_z(err, tot, base)
-    return (tot >= MIN_N) & (z > limit) & (s.rate(err, tot) > base + MIN_DELTA) & (F.col("tot300") > 0)
+    return (tot >= F.col("least")) & (z > limit) & (s.rate(err, tot) > base + MIN_DELTA) & (F.col("tot300") > 0)
 
 
 def wilson_rule() -> Column:

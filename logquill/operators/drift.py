@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from logquill.functions import parse as p
 from logquill.functions import stats as s
 from logquill.operators import counting, windows
+from logquill.operators.detectors import hysteresis
 from logquill.sources import vocabulary as voc
 from logquill.sources.tables import written
 
-MIX_WINDOW, MIX_LINES, MIX_LIMIT = 60, 50, 0.02
+MIX_WINDOW, MIX_LINES, MIX_LIMIT, MIX_KEYS = 60, 50, 0.15, ("CLM.EDT",)
+ADVANCED_BREACHES, ADVANCED_QUIET = 2, 30
 LATENCY_LINES, LATENCY_FACTOR, WARMUP_S = 20, 2.0, 60
 SILENT_S, SILENT_RATE = 30, 0.5
 NEW_LINES, NEW_SHARE, NEW_WINDOW = 5, 0.01, 60
@@ -87,6 +89,23 @@ def new_codes(code_seconds: DataFrame, per_second: DataFrame) -> DataFrame:
     return unknown.join(lines, ["key", "window_start"]).select("key", "code", "window_start", "n", "lines", told.alias("is_new"))
 
 
+def advanced_alerts(dense: DataFrame, mixed: DataFrame, shifts: DataFrame, new: DataFrame, silent: DataFrame) -> DataFrame:
+    """key, rule, opened_sec of the openings of the four rules of shape, each with hysteresis of its own
+    by component: dense has every second, the others what mix_drift, latency_shift, new_codes and
+    silence_runs give. What is told by minute holds for the minute's seconds."""
+    minute = lambda rows, rule: rows.distinct().select("key", F.lit(rule).alias("rule"), F.explode(F.sequence("window_start", F.col("window_start") + 59)).alias("sec"))
+    hits = (
+        mixed.where("drifted").where(F.col("key").isin(*MIX_KEYS)).select("key", F.lit("mix").alias("rule"), "sec")
+        .union(minute(shifts.where("shifted").select("key", "window_start"), "latency"))
+        .union(minute(new.where("is_new").select("key", "window_start"), "new_code"))
+        .union(silent.where("silent").select("key", F.lit("silence").alias("rule"), F.explode(F.sequence(F.col("first_sec") + SILENT_S - 1, "last_sec")).alias("sec")))
+    )
+    ruled = F.broadcast(hits.select("key", "rule").distinct())  # four rules of each component at most
+    rows = dense.select("key", "sec").join(ruled, "key").join(hits.distinct().withColumn("hit", F.lit(True)), ["key", "rule", "sec"], "left")
+    states = hysteresis(rows, F.col("hit"), F.lit(ADVANCED_BREACHES), ("key", "rule"), ADVANCED_QUIET)
+    return states.where("opened_now").select("key", "rule", F.col("sec").alias("opened_sec"))
+
+
 def unidentified_ratio(parsed: DataFrame, window: int = 60) -> DataFrame:
     """sec, lines and bad lines of the last minute, their ratio: lines with a readable time that can't be
     told to a component or code."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logquill.operators.severity import LEVELS
 from logquill.sources import vocabulary as voc
 
 DEDUPE_S, GROUPING_S, IDLE_S, COOLDOWN_S = 60, 120, 120, 300
@@ -28,8 +29,10 @@ def suspected_origins(alerts: DataFrame, window_s: int = GROUPING_S) -> DataFram
     """key, rule, opened_sec, origin, origin_sec: the earliest alert of the component or of what it
     depends on, in the window up to the alert; itself if none is earlier."""
     up = closure(alerts.sparkSession).select(F.col("src").alias("origin"), F.col("dst").alias("key"))
-    others = alerts.select(F.col("key").alias("origin"), F.col("opened_sec").alias("origin_sec"))
-    pairs = alerts.select("key", "rule", "opened_sec").join(F.broadcast(up), "key").join(others, "origin")
+    # only alerts of the same and the previous stretch of time meet
+    bucket = lambda c: F.floor(F.col(c) / window_s)
+    others = alerts.select(F.col("key").alias("origin"), F.col("opened_sec").alias("origin_sec"), F.explode(F.array(bucket("opened_sec"), bucket("opened_sec") + 1)).alias("bucket"))
+    pairs = alerts.select("key", "rule", "opened_sec", bucket("opened_sec").alias("bucket")).join(F.broadcast(up), "key").join(others, ["origin", "bucket"])
     near = pairs.where((F.col("origin_sec") < F.col("opened_sec")) & (F.col("origin_sec") >= F.col("opened_sec") - window_s))
     own = alerts.select(F.col("key").alias("origin"), "key", "rule", "opened_sec", F.col("opened_sec").alias("origin_sec"))
     rows = near.select(own.columns).unionByName(own)
@@ -72,7 +75,23 @@ def incident_state(incidents: DataFrame, now_sec: int) -> DataFrame:
     return incidents.withColumns({"status": status, "cooldown_until_sec": F.when(idle > IDLE_S, F.col("last_sec") + IDLE_S + COOLDOWN_S)})
 
 
-def max_severity(scored: DataFrame) -> DataFrame:
-    """key, rule, worst severity by rank (not by letter)."""
-    rank = F.array_position(F.array(F.lit("INFO"), F.lit("WARNING"), F.lit("HIGH"), F.lit("CRITICAL")), F.col("severity"))
-    return scored.groupBy("key", "rule").agg(F.max_by("severity", rank).alias("max_severity"))
+def worst(severity: Column) -> Column:
+    """The worst level of a group, by rank (not by letter)."""
+    return F.max_by(severity, F.array_position(F.array(*map(F.lit, LEVELS)), severity))
+
+
+def records(incidents: DataFrame, scored: DataFrame, origins: DataFrame, now_sec: int) -> DataFrame:
+    """A row for each of incidents (incident_sessions) with an id by time of opening, the worst severity
+    of its alerts, the origin of its first one, status and end of cooldown."""
+    alert = scored.join(origins, ["key", "rule", "opened_sec"]).select("key", "rule", F.col("opened_sec").alias("at"), "severity", "origin")
+    own = incidents.join(alert, ["key", "rule"]).where((F.col("at") >= F.col("opened_sec")) & (F.col("at") <= F.col("last_sec")))
+    rows = own.groupBy(*incidents.columns).agg(worst(F.col("severity")).alias("max_severity"), F.min_by("origin", "at").alias("origin"))
+    numbered = rows.withColumn("id", F.format_string("inc_%04d", F.row_number().over(Window.orderBy("opened_sec", "key", "rule"))))  # a row for each incident
+    return incident_state(numbered, now_sec).drop("incident")
+
+
+def acknowledged(records: DataFrame, acks: DataFrame) -> DataFrame:
+    """records after acks (id, ack_sec): an acknowledged incident isn't resolved by time alone."""
+    rows = records.join(acks.groupBy("id").agg(F.min("ack_sec").alias("ack_sec")), "id", "left")
+    told = F.col("ack_sec").isNotNull() & (F.col("ack_sec") <= F.col("last_sec") + IDLE_S)
+    return rows.withColumns({"status": F.when(told, "ACKNOWLEDGED").otherwise(F.col("status")), "cooldown_until_sec": F.when(~told, F.col("cooldown_until_sec"))})

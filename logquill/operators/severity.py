@@ -45,6 +45,35 @@ def reasons(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("reason", told)
 
 
+def breaches(states: DataFrame) -> DataFrame:
+    """key, rule, opened_sec, window_s, seconds_in_breach, z, observed, baseline of each open stretch of
+    alert states, at its last breaching second: with the peaks of z and of the rate up to then."""
+    rate10 = s.rate(F.col("err10"), F.col("tot10"))
+    breach = F.col("rule").isNotNull()
+    rows = states.where("open").groupBy("key", "segment").agg(
+        F.min("sec").alias("opened_sec"), F.max(F.when(breach, F.col("sec"))).alias("last_sec"), F.min_by("rule", F.when(breach, F.col("sec"))).alias("rule"),
+        F.max("z10").alias("z"), F.max(rate10).alias("observed"), F.max("base").alias("baseline"),
+    )
+    return rows.select("key", "rule", "opened_sec", F.lit(10).alias("window_s"), (F.col("last_sec") - F.col("opened_sec")).alias("seconds_in_breach"), "z", "observed", "baseline")
+
+
+def explained(scored: DataFrame, page: float = 14.4, ticket: float = 6.0) -> DataFrame:
+    """scored alerts (with seconds_in_breach) with reason, all parts that apply joined by semicolons."""
+    percent = lambda c: F.format_string("%.1f%%", F.round(F.col(c) * 100, 1))
+    burn = F.format_string("burn rate %.1fx: ", F.round("burn_rate", 1))
+    told = F.concat_ws(
+        "; ",
+        F.when(F.col("z") > 0, F.format_string("z=%.1f over %ds", F.round("z", 1), F.col("window_s"))),
+        F.concat(F.col("key"), F.lit(" error rate "), percent("observed"), F.lit(" vs baseline "), percent("baseline")),
+        F.when(F.col("seconds_in_breach") > 0, F.concat(F.lit("breaching for "), F.col("seconds_in_breach").cast("string"), F.lit("s"))),
+        F.when(F.col("criticality") >= 0.9, "component is critical to the payment cycle"),
+        F.when(F.col("burn_rate") >= page, F.concat(burn, F.lit("page"))).when(F.col("burn_rate") >= ticket, F.concat(burn, F.lit("ticket"))),
+        F.when(F.col("rule") == "cusum", "slow drift told by a running sum"),
+        F.concat(F.format_string("score %.2f -> ", F.round("score", 2)), F.col("severity")),
+    )
+    return scored.withColumn("reason", told)
+
+
 def hold_levels(proposed: DataFrame, hold_s: int = HOLD_S) -> DataFrame:
     """proposed (key, sec, severity) with held: a level rises at once and falls after hold_s seconds
     in a row below it. A fold along each key's seconds, which stream through in order."""

@@ -104,7 +104,7 @@ CTES: dict[str, tuple[str, str]] = {
         SELECT k.key, c.sec, coalesce(p.tot, 0) AS tot, coalesce(p.err, 0) AS err, coalesce(p.warn, 0) AS warn
         FROM (SELECT DISTINCT key FROM per_second) k CROSS JOIN calendar c LEFT JOIN per_second p ON p.key = k.key AND p.sec = c.sec"""),
     "sums": ("dense", _sliding(("tot", "err", "warn"), (10, 30, 60, 300), "dense")),
-    "based": ("sums components", "SELECT s.*, greatest(c.err, 1e-4) AS base FROM sums s JOIN components c ON s.key = c.key"),
+    "based": ("sums components thresholds", "SELECT s.*, greatest(c.err, 1e-4) AS base, coalesce(t.min_n, 20) AS least FROM sums s JOIN components c ON s.key = c.key LEFT JOIN thresholds t ON s.key = t.key"),
     "limited": ("based thresholds", f"""
         SELECT *, CASE window_s WHEN 30 THEN tot30 WHEN 60 THEN tot60 ELSE tot10 END AS t_tot, CASE window_s WHEN 30 THEN err30 WHEN 60 THEN err60 ELSE err10 END AS t_err
         FROM (SELECT b.*, coalesce(t.limit_rate, {_LIMIT}) AS limit_rate, coalesce(t.window_s, {_WINDOW}) AS window_s, coalesce(t.min_n, {_LEAST}) AS min_n FROM based b LEFT JOIN thresholds t ON b.key = t.key)"""),
@@ -115,8 +115,8 @@ CTES: dict[str, tuple[str, str]] = {
                     CASE WHEN tot60 < 20 THEN 0.0 ELSE {_rate('err60', 'tot60')} - base - 0.5 * 1e-4 END AS step FROM limited))"""),
     "ruled": ("cusums", f"""
         SELECT *, {_z('err10', 'tot10', 'base')} AS z10, {_z('err60', 'tot60', 'base')} AS z60, CASE
-            WHEN tot10 >= 20 AND {_z('err10', 'tot10', 'base')} > 6 AND {_rate('err10', 'tot10')} > base + 0.01 AND tot300 > 0 THEN 'fast'
-            WHEN tot60 >= 20 AND {_z('err60', 'tot60', 'base')} > 4 AND {_rate('err60', 'tot60')} > base + 0.01 AND tot300 > 0 THEN 'slow'
+            WHEN tot10 >= least AND {_z('err10', 'tot10', 'base')} > 6 AND {_rate('err10', 'tot10')} > base + 0.01 AND tot300 > 0 THEN 'fast'
+            WHEN tot60 >= least AND {_z('err60', 'tot60', 'base')} > 4 AND {_rate('err60', 'tot60')} > base + 0.01 AND tot300 > 0 THEN 'slow'
             WHEN key = 'PAY.BNK' AND tot30 >= 5 AND greatest((err30 / tot30 + 3.8416 / (2 * tot30) - 1.96 * sqrt((err30 / tot30 * (1 - err30 / tot30) + 3.8416 / (4 * tot30)) / tot30)) / (1 + 3.8416 / tot30), 0.0) > 0.05 THEN 'wilson'
             WHEN t_tot >= min_n AND {_rate('t_err', 't_tot')} > limit_rate THEN 'threshold'
             WHEN cusum > 5 THEN 'cusum' END AS rule
@@ -191,6 +191,78 @@ CTES: dict[str, tuple[str, str]] = {
     "outbox": ("alerts", """
         SELECT sha256(concat_ws('|', key, rule, CAST(opened_sec AS VARCHAR))) AS idempotency_key, CASE WHEN opened_sec % 4 = 0 THEN 'delivered' ELSE 'pending' END AS status,
             CASE WHEN opened_sec % 5 = 0 THEN 1 ELSE 0 END AS attempts, opened_sec AS next_attempt_s, opened_sec AS created_s FROM alerts"""),
+    "learned": ("limited components", f"""
+        WITH RECURSIVE walk AS (
+            SELECT l.key, min(l.sec) - 1 AS sec, any_value(c.err) AS mean, 1e-8::DOUBLE AS var, 0 AS seen, 0 AS run, 0 AS quiet, 0.0::DOUBLE AS cusum, false AS open,
+                0.0::DOUBLE AS base, false AS warming, 0.0::DOUBLE AS z10, 0.0::DOUBLE AS z60, CAST(NULL AS VARCHAR) AS rule, false AS opened_now
+            FROM limited l JOIN components c ON l.key = c.key GROUP BY l.key
+            UNION ALL
+            SELECT key, sec, CASE WHEN tot300 > 0 AND NOT now_open THEN mean + (2.0 / 301) * gap ELSE mean END,
+                CASE WHEN tot300 > 0 AND NOT now_open THEN var + (2.0 / 301) * (gap * gap - var) ELSE var END,
+                CASE WHEN tot300 > 0 THEN seen + 1 ELSE seen END, run, quiet, cusum, now_open, base, warming, z10, z60, rule, now_open AND NOT still
+            FROM (
+                SELECT *, still OR (rule IS NOT NULL AND run >= CASE WHEN rule IN ('slow', 'cusum') THEN 5 ELSE 2 END) AS now_open, err300 / greatest(tot300, 1) - mean AS gap
+                FROM (
+                    SELECT *, was_open AND quiet <= 30 AS still FROM (
+                        SELECT *, CASE WHEN warming OR rule IS NULL THEN 0 ELSE old_run + 1 END AS run, CASE WHEN warming OR rule IS NOT NULL THEN 0 ELSE old_quiet + 1 END AS quiet
+                        FROM (
+                            SELECT *, CASE WHEN warming THEN NULL
+                                WHEN tot10 >= least AND z10 > 6 AND {_rate('err10', 'tot10')} > base + 0.01 AND tot300 > 0 THEN 'fast'
+                                WHEN tot60 >= least AND z60 > 4 AND {_rate('err60', 'tot60')} > base + 0.01 AND tot300 > 0 THEN 'slow'
+                                WHEN key = 'PAY.BNK' AND tot30 >= 5 AND greatest((err30 / tot30 + 3.8416 / (2 * tot30) - 1.96 * sqrt((err30 / tot30 * (1 - err30 / tot30) + 3.8416 / (4 * tot30)) / tot30)) / (1 + 3.8416 / tot30), 0.0) > 0.05 THEN 'wilson'
+                                WHEN t_tot >= min_n AND {_rate('t_err', 't_tot')} > limit_rate AND tot300 > 0 THEN 'threshold'
+                                WHEN cusum > 5 THEN 'cusum' END AS rule
+                            FROM (
+                                SELECT *, {_z('err10', 'tot10', 'base')} AS z10, {_z('err60', 'tot60', 'base')} AS z60,
+                                    CASE WHEN tot60 >= 20 AND tot300 > 0 THEN greatest(old_cusum + {_rate('err60', 'tot60')} - base - 0.5 * sqrt(greatest(var, 1e-12)), 0.0) ELSE 0.0 END AS cusum
+                                FROM (
+                                    SELECT l.* EXCLUDE (base), w.mean, w.var, w.seen, w.run AS old_run, w.quiet AS old_quiet, w.cusum AS old_cusum, w.open AS was_open,
+                                        greatest(w.mean, 1e-4) AS base, w.seen < 120 AS warming
+                                    FROM walk w JOIN limited l ON l.key = w.key AND l.sec = w.sec + 1))))))
+        )
+        SELECT w.key, w.sec, w.mean AS ewma, sqrt(greatest(w.var, 0.0)) AS sigma, w.warming, w.base, w.z10, w.z60, w.rule, w.open, w.opened_now,
+            l.tot10, l.err10, l.tot30, l.err30, l.tot60, l.err60, l.t_tot, l.t_err, l.window_s
+        FROM walk w JOIN limited l ON l.key = w.key AND l.sec = w.sec"""),
+    "learned_openings": ("learned", f"""
+        SELECT *, {_rate('errors', 'total')} AS observed, {_z('errors', 'total', 'baseline')} AS z FROM (
+            SELECT key, CASE rule WHEN 'wilson' THEN 'threshold' ELSE rule END AS rule, sec AS opened_sec,
+                CAST(CASE rule WHEN 'fast' THEN 10 WHEN 'wilson' THEN 30 WHEN 'threshold' THEN window_s ELSE 60 END AS INTEGER) AS window_s,
+                CASE rule WHEN 'fast' THEN tot10 WHEN 'wilson' THEN tot30 WHEN 'threshold' THEN t_tot ELSE tot60 END AS total,
+                CASE rule WHEN 'fast' THEN err10 WHEN 'wilson' THEN err30 WHEN 'threshold' THEN t_err ELSE err60 END AS errors, base AS baseline
+            FROM learned WHERE opened_now)"""),
+    "levels": ("sums", """
+        SELECT key, sec, CASE WHEN burn >= 0.55 THEN 3 WHEN burn >= 0.35 THEN 2 WHEN burn >= 0.18 THEN 1 ELSE 0 END AS level
+        FROM (SELECT key, sec, round(err60 / greatest(tot60, 1) * 5, 6) AS burn FROM sums)"""),
+    "held": ("levels", """
+        WITH RECURSIVE walk AS (
+            SELECT key, sec, level, level AS held, 0 AS below FROM (SELECT *, min(sec) OVER (PARTITION BY key) AS first FROM levels) WHERE sec = first
+            UNION ALL
+            SELECT key, sec, level, CASE WHEN changes THEN level ELSE old END, CASE WHEN changes THEN 0 ELSE below END FROM (
+                SELECT *, level > old OR below >= 15 AS changes FROM (
+                    SELECT l.key, l.sec, l.level, w.held AS old, CASE WHEN l.level < w.held THEN w.below + 1 ELSE 0 END AS below
+                    FROM walk w JOIN levels l ON l.key = w.key AND l.sec = w.sec + 1))
+        ) SELECT * FROM walk"""),
+    "settled": ("based counted per_second", f"""
+        SELECT b.*, CASE WHEN tot10 >= least AND {_z('err10', 'tot10', 'base')} > 6 AND {_rate('err10', 'tot10')} > base + 0.01 AND tot300 > 0 THEN 1 ELSE 0 END AS hit
+        FROM based b JOIN (SELECT key, min(sec) AS first, max(sec) AS last FROM per_second WHERE sec <= (SELECT max(sec) FROM counted) - 2 GROUP BY key) p
+        ON b.key = p.key AND b.sec BETWEEN p.first AND p.last"""),
+    "settled_states": ("settled", """
+        SELECT *, sum(ready) OVER (PARTITION BY key, segment ORDER BY sec) AS opened FROM (
+            SELECT *, CASE WHEN hit = 1 AND breach_run >= 2 THEN 1 ELSE 0 END AS ready, sum(CASE WHEN quiet_run = 31 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY sec) AS segment FROM (
+                SELECT *, sum(hit) OVER (PARTITION BY key, calm ORDER BY sec) AS breach_run, sum(1 - hit) OVER (PARTITION BY key, hits ORDER BY sec) AS quiet_run FROM (
+                    SELECT *, sum(1 - hit) OVER (PARTITION BY key ORDER BY sec) AS calm, sum(hit) OVER (PARTITION BY key ORDER BY sec) AS hits FROM settled)))"""),
+    "levelled": ("base_scores", """
+        SELECT *, CASE WHEN score >= 0.55 THEN 'CRITICAL' WHEN score >= 0.35 THEN 'HIGH' WHEN score >= 0.18 THEN 'WARNING' ELSE 'INFO' END AS severity
+        FROM (SELECT *, round(least(greatest(plain, 0.0), 1.0), 6) AS score FROM base_scores)"""),
+    "stretches": ("states crit", f"""
+        SELECT *, CASE WHEN score >= 0.55 THEN 'CRITICAL' WHEN score >= 0.35 THEN 'HIGH' WHEN score >= 0.18 THEN 'WARNING' ELSE 'INFO' END AS severity FROM (
+            SELECT *, round(least(greatest(0.40 * (0.5 * least(greatest(z, 0.0) / 30, 1.0) + 0.5 * least(greatest((observed / baseline - 1) / 99, 0.0), 1.0))
+                + 0.18 * least(greatest(seconds_in_breach, 0) / 120, 1.0) + 0.22 * criticality + 0.10 * least(greatest(burn_rate, 0.0) / 14.4, 1.0), 0.0), 1.0), 6) AS score
+            FROM (
+                SELECT t.key, rule, opened_sec, last_sec - opened_sec AS seconds_in_breach, z, observed, baseline, coalesce(c.criticality, 0.5) AS criticality, observed / 0.99 AS burn_rate FROM (
+                    SELECT key, segment, min(sec) AS opened_sec, max(CASE WHEN rule IS NOT NULL THEN sec END) AS last_sec, arg_min(rule, CASE WHEN rule IS NOT NULL THEN sec END) AS rule,
+                        max(z10) AS z, max({_rate('err10', 'tot10')}) AS observed, max(base) AS baseline FROM states WHERE open GROUP BY key, segment) t
+                LEFT JOIN crit c ON c.key = t.key))"""),
 }
 
 
@@ -262,11 +334,11 @@ FINALS: dict[str, str] = {
     "error_rates": f"SELECT key, sec, {', '.join(f'{_r6(_rate(f"err{w}", f"tot{w}"))} AS rate{w}' for w in (10, 60, 300))} FROM sums",
     "service_system_rollup": "SELECT * FROM rolled",
     "unidentified_ratio_60s": "SELECT * FROM ratios",
-    "top_unknown_keys": """SELECT key, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, arg_min(substr(value, 1, 200), ts_ms) AS sample FROM parsed
+    "top_unknown_keys": """SELECT key, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, array_to_string(list_transform(list_sort(list({'ts_ms': ts_ms, 'line': substr(value, 1, 200)}))[1:3], lambda x: x.line), ' / ') AS samples FROM parsed
         WHERE class = 'unknown_component' GROUP BY key ORDER BY n DESC, key LIMIT 10""",
     "adopt_candidates": "SELECT key, sec // 600 * 600 AS window_start, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM parsed WHERE class = 'unknown_component' GROUP BY ALL HAVING count(*) >= 2",
-    "zscore_fast": f"SELECT key, sec, tot10, err10, {_r6(_z('err10', 'tot10', 'base'))} AS z10, tot10 >= 20 AND {_z('err10', 'tot10', 'base')} > 6 AND {_rate('err10', 'tot10')} > base + 0.01 AND tot300 > 0 AS breach FROM based",
-    "zscore_slow": f"SELECT key, sec, tot60, err60, {_r6(_z('err60', 'tot60', 'base'))} AS z60, tot60 >= 20 AND {_z('err60', 'tot60', 'base')} > 4 AND {_rate('err60', 'tot60')} > base + 0.01 AND tot300 > 0 AS breach FROM based",
+    "zscore_fast": f"SELECT key, sec, tot10, err10, {_r6(_z('err10', 'tot10', 'base'))} AS z10, tot10 >= least AND {_z('err10', 'tot10', 'base')} > 6 AND {_rate('err10', 'tot10')} > base + 0.01 AND tot300 > 0 AS breach FROM based",
+    "zscore_slow": f"SELECT key, sec, tot60, err60, {_r6(_z('err60', 'tot60', 'base'))} AS z60, tot60 >= least AND {_z('err60', 'tot60', 'base')} > 4 AND {_rate('err60', 'tot60')} > base + 0.01 AND tot300 > 0 AS breach FROM based",
     "wilson_low_volume": f"""SELECT key, sec, tot30, err30, {_r6('lb')} AS lower_bound, tot30 >= 5 AND lb > 0.05 AS breach FROM (
         SELECT *, CASE WHEN tot30 <= 0 THEN 0.0 ELSE greatest((err30 / tot30 + 3.8416 / (2 * tot30) - 1.96 * sqrt((err30 / tot30 * (1 - err30 / tot30) + 3.8416 / (4 * tot30)) / tot30)) / (1 + 3.8416 / tot30), 0.0) END AS lb
         FROM sums WHERE key = 'PAY.BNK')""",
@@ -276,11 +348,11 @@ FINALS: dict[str, str] = {
     "hysteresis_open_intervals": f"SELECT key, segment, min(sec) AS opened_sec, max(CASE WHEN rule IS NOT NULL THEN sec END) AS last_breach_sec, count(*) AS open_seconds, {_r6('max(z10)')} AS peak_z FROM states WHERE open GROUP BY key, segment",
     "alerts_opened": f"SELECT key, rule, opened_sec, window_s, total, errors, {_r6('baseline')} AS baseline, {_r6('observed')} AS observed, {_r6('z')} AS z FROM alerts",
     "rollup_alerts": f"SELECT scope, key, sec AS opened_sec, tot60, err60, {_r6(_rate('err60', 'tot60'))} AS observed FROM rolled_states WHERE ready = 1 AND opened = 1",
-    "js_code_mix": f"SELECT key, sec, js, js > 0.02 AS drifted FROM ({_MIX})",
+    "js_code_mix": f"SELECT key, sec, js, js > 0.15 AS drifted FROM ({_MIX})",
     "moved_code": f"SELECT key, sec, lead.code AS moved_code, {_r6('lead.d')} AS moved_by FROM ({_MIX})",
     "p95_upper": _percentile("upper"),
     "p95_lower": _percentile("lower"),
-    "latency_shift": f"""SELECT *, upper_ms > 1.5 * baseline_ms AS shifted FROM (
+    "latency_shift": f"""SELECT *, upper_ms > 2.0 * baseline_ms AS shifted FROM (
         SELECT p.key, p.window_start, l.lines, p.upper_ms, first_value(p.upper_ms) OVER (PARTITION BY p.key ORDER BY p.window_start) AS baseline_ms FROM ({_SHIFT}) p
         JOIN (SELECT key, sec // 60 * 60 AS window_start, CAST(sum(n) AS BIGINT) AS lines FROM histogram GROUP BY ALL) l ON p.key = l.key AND p.window_start = l.window_start WHERE l.lines >= 20)""",
     "silence_runs": """SELECT r.key, min(r.sec) AS first_sec, max(r.sec) AS last_sec, count(*) AS seconds, count(*) >= 30 AS silent FROM (
@@ -323,6 +395,43 @@ FINALS: dict[str, str] = {
     "trace_fanout": "SELECT substr(trace, 1, 7) AS trace_group, count(*) AS lines, count(DISTINCT key) AS components, array_to_string(list_sort(list(DISTINCT key)), ',') AS keys FROM counted GROUP BY 1",
     "ewma_static": f"""SELECT s.key, t.seconds, {_r6('sum(power(1 - 2.0 / 301, t.t1 - s.sec) * (2.0 / 301) * (s.err300 / greatest(s.tot300, 1)))')} AS ewma
         FROM sums s JOIN (SELECT key, max(sec) AS t1, count(*) AS seconds FROM sums GROUP BY key) t ON s.key = t.key GROUP BY s.key, t.seconds""",
+    "ewma_adaptive": f"SELECT key, sec, {_r6('ewma')} AS ewma, {_r6('sigma')} AS sigma, open AS frozen, {_r6('z10')} AS z FROM learned",
+    "baseline_band": f"SELECT key, sec, {_r6('greatest(greatest(ewma, 1e-4) - 3 * sigma, 0.0)')} AS lower, {_r6('greatest(ewma, 1e-4) + 3 * sigma')} AS upper, warming FROM learned",
+    "learned_alerts": f"SELECT key, rule, opened_sec, window_s, total, errors, {_r6('baseline')} AS baseline, {_r6('observed')} AS observed, {_r6('z')} AS z FROM learned_openings",
+    "component_table": f"""SELECT l.key, round({_rate('err10', 'tot10')}, 5) AS rate_10s, round({_rate('err60', 'tot60')}, 5) AS rate_60s, round(base, 5) AS baseline, round(z10, 2) AS z,
+        CASE WHEN open THEN 'open' ELSE 'ok' END AS state, NOT warming AS warm, c.criticality FROM learned l JOIN components c ON l.key = c.key WHERE sec = (SELECT max(sec) FROM learned)""",
+    "open_components": "SELECT sec, count(*) AS n_open, string_agg(key, ',' ORDER BY key) AS keys FROM learned WHERE open GROUP BY sec",
+    "alerts_since": f"SELECT key, rule, opened_sec FROM alerts WHERE opened_sec > {FIRST_SEC + 60}",
+    "last_alerts": "SELECT key, rule, opened_sec FROM alerts ORDER BY opened_sec DESC, key, rule LIMIT 1000",
+    "last_seconds": "SELECT * FROM dense WHERE sec > (SELECT max(sec) FROM dense) - 60",
+    "rolling_rate": f"""SELECT key, sec, total, {_r6('total / greatest(sec - first, 1)')} AS rate FROM (
+        SELECT key, sec, CAST(sum(tot) OVER w AS BIGINT) AS total, min(sec) OVER w AS first FROM per_second WINDOW w AS (PARTITION BY key ORDER BY sec RANGE BETWEEN 60 PRECEDING AND CURRENT ROW))""",
+    "severity_counts": "SELECT 'AlertCount_' || s.severity AS metric, count(l.severity) AS n FROM (VALUES ('INFO'), ('WARNING'), ('HIGH'), ('CRITICAL')) s(severity) LEFT JOIN levelled l ON l.severity = s.severity GROUP BY s.severity",
+    "routed_alerts": "SELECT key, rule, opened_sec, severity, CASE severity WHEN 'CRITICAL' THEN 'sms' WHEN 'INFO' THEN 'none' ELSE 'email' END AS route FROM levelled",
+    "alert_neighbours": """SELECT a.key, a.n, coalesce(u.keys, '') AS upstream, coalesce(d.keys, '') AS downstream FROM (SELECT key, count(*) AS n FROM alerts GROUP BY key) a
+        LEFT JOIN (SELECT dst, string_agg(src, ',' ORDER BY src) AS keys FROM edges GROUP BY dst) u ON u.dst = a.key
+        LEFT JOIN (SELECT src, string_agg(dst, ',' ORDER BY dst) AS keys FROM edges GROUP BY src) d ON d.src = a.key""",
+    "breach_severity": f"""SELECT key, rule, opened_sec, seconds_in_breach, {_r6('z')} AS z, {_r6('observed')} AS observed, score, severity, concat_ws('; ',
+            CASE WHEN z > 0 THEN 'z=' || printf('%.1f', round(z, 1)) || ' over 10s' END,
+            key || ' error rate ' || printf('%.1f', round(observed * 100, 1)) || '% vs baseline ' || printf('%.1f', round(baseline * 100, 1)) || '%',
+            CASE WHEN seconds_in_breach > 0 THEN 'breaching for ' || CAST(seconds_in_breach AS VARCHAR) || 's' END,
+            CASE WHEN criticality >= 0.9 THEN 'component is critical to the payment cycle' END,
+            CASE WHEN burn_rate >= 14.4 THEN 'burn rate ' || printf('%.1f', round(burn_rate, 1)) || 'x: page' WHEN burn_rate >= 6 THEN 'burn rate ' || printf('%.1f', round(burn_rate, 1)) || 'x: ticket' END,
+            CASE WHEN rule = 'cusum' THEN 'slow drift told by a running sum' END,
+            'score ' || printf('%.2f', round(score, 2)) || ' -> ' || severity) AS reason FROM stretches""",
+    "redacted_reasons": f"SELECT key, rule, opened_sec, {_redacted('reason')} AS reason FROM (SELECT a.key, a.rule, a.opened_sec, concat_ws('; ', CASE WHEN z > 0 THEN 'z=' || printf('%.1f', round(z, 1)) || ' over ' || CAST(window_s AS VARCHAR) || 's' END, key || ' error rate ' || printf('%.1f', round(observed * 100, 1)) || '% vs baseline ' || printf('%.1f', round(baseline * 100, 1)) || '% (' || CAST(CAST(round(observed / baseline, 0) AS BIGINT) AS VARCHAR) || 'x)') || '; seen with MBR-' || CAST(total AS VARCHAR) AS reason FROM alerts a)",
+    "incident_records": f"""SELECT key, rule, opened_sec, last_sec, n, ['INFO', 'WARNING', 'HIGH', 'CRITICAL'][rank] AS max_severity, origin, 'inc_' || lpad(CAST(row_number() OVER (ORDER BY opened_sec, key, rule) AS VARCHAR), 4, '0') AS id,
+        CASE WHEN {FIRST_SEC + 400} - last_sec > 120 THEN 'RESOLVED' ELSE 'OPEN' END AS status, CASE WHEN {FIRST_SEC + 400} - last_sec > 120 THEN last_sec + 420 END AS cooldown_until_sec FROM (
+            SELECT s.key, s.rule, s.opened_sec, s.last_sec, s.n, max(list_position(['INFO', 'WARNING', 'HIGH', 'CRITICAL'], l.severity)) AS rank, arg_min(o.origin, o.opened_sec) AS origin
+            FROM sessions s JOIN levelled l ON l.key = s.key AND l.rule = s.rule AND l.opened_sec BETWEEN s.opened_sec AND s.last_sec
+            JOIN origins o ON o.key = l.key AND o.rule = l.rule AND o.opened_sec = l.opened_sec GROUP BY ALL)""",
+    "metric_events": f"""SELECT key, sec, '{{"_aws":{{"Timestamp":' || CAST(sec * 1000 AS VARCHAR) || ',"CloudWatchMetrics":[{{"Namespace":"LogQuill","Dimensions":[["Service","Component"],["Service"]],"Metrics":[{{"Name":"ErrorRate","Unit":"None"}}]}}]}},"Service":"'
+        || split_part(key, '.', 1) || '","Component":"' || split_part(key, '.', 2) || '","ErrorRate":' || CAST({_r6(_rate('err60', 'tot60'))} AS VARCHAR) || '}}' AS event FROM sums""",
+    "sample_summaries": f"SELECT event_id, class, length(value)::INTEGER AS n_bytes, substr(value, 1, 120) AS preview FROM parsed WHERE class IN {REJECTED}",
+    "parser_health": "SELECT count(*) AS lines, count(*) FILTER (class = 'valid') AS valid, count(DISTINCT CASE WHEN class = 'unknown_component' THEN key END) AS unknown_keys, (SELECT arg_max(ratio, sec) FROM ratios) AS ratio_60s FROM parsed",
+    "skew_kept_lines": "SELECT event_id, sec FROM (SELECT event_id, sec, (SELECT list_sort(list(sec))[count(*) // 2 + 1] FROM parsed WHERE sec IS NOT NULL) AS median_sec FROM parsed) WHERE abs(sec - median_sec) <= 30",
+    "severity_hold": "SELECT key, sec, ['INFO', 'WARNING', 'HIGH', 'CRITICAL'][level + 1] AS severity, ['INFO', 'WARNING', 'HIGH', 'CRITICAL'][held + 1] AS held FROM held",
+    "stream_alerts": f"SELECT key, sec AS opened_sec, tot10 AS total, err10 AS errors, {_r6(_z('err10', 'tot10', 'base'))} AS z FROM settled_states WHERE ready = 1 AND opened = 1",
     "outbox_pending": f"SELECT idempotency_key, attempts, next_attempt_s FROM outbox WHERE status = 'pending' AND next_attempt_s <= {FIRST_SEC + 100_000} ORDER BY next_attempt_s, idempotency_key LIMIT 50",
     "outbox_stats": "SELECT s.status, count(o.status) AS n FROM (VALUES ('pending'), ('in_progress'), ('delivered'), ('failed')) s(status) LEFT JOIN outbox o ON o.status = s.status GROUP BY s.status",
     "alert_dedupe": "SELECT idempotency_key, 'pending' AS status, created_s FROM outbox",
@@ -330,4 +439,18 @@ FINALS: dict[str, str] = {
     "error_rate_alarms": f"SELECT key, sec // 60 * 60 AS window_start, {_r6('avg(err / greatest(tot, 1))')} AS mean_rate FROM dense GROUP BY ALL HAVING avg(err / greatest(tot, 1)) > 0.05",
 }
 
+FINALS["routed_lines"] = f"SELECT reason, 'malformed_header' AS class, n FROM ({FINALS['reject_reasons']})"
+_ADVANCED = f"""
+    SELECT key, 'mix' AS rule, sec FROM ({FINALS['js_code_mix']}) WHERE drifted AND key = 'CLM.EDT'
+    UNION SELECT key, 'latency', unnest(generate_series(window_start, window_start + 59)) FROM ({FINALS['latency_shift']}) WHERE shifted
+    UNION SELECT key, 'new_code', unnest(generate_series(window_start, window_start + 59)) FROM ({FINALS['new_code']}) WHERE is_new
+    UNION SELECT key, 'silence', unnest(generate_series(first_sec + 29, last_sec)) FROM ({FINALS['silence_runs']}) WHERE silent"""
+FINALS["advanced_alerts"] = f"""SELECT key, rule, sec AS opened_sec FROM (
+    SELECT *, sum(ready) OVER (PARTITION BY key, rule, segment ORDER BY sec) AS opened FROM (
+        SELECT *, CASE WHEN hit = 1 AND breach_run >= 2 THEN 1 ELSE 0 END AS ready, sum(CASE WHEN quiet_run = 31 THEN 1 ELSE 0 END) OVER (PARTITION BY key, rule ORDER BY sec) AS segment FROM (
+            SELECT *, sum(hit) OVER (PARTITION BY key, rule, calm ORDER BY sec) AS breach_run, sum(1 - hit) OVER (PARTITION BY key, rule, hits ORDER BY sec) AS quiet_run FROM (
+                SELECT *, sum(1 - hit) OVER (PARTITION BY key, rule ORDER BY sec) AS calm, sum(hit) OVER (PARTITION BY key, rule ORDER BY sec) AS hits FROM (
+                    SELECT d.key, r.rule, d.sec, CASE WHEN h.sec IS NULL THEN 0 ELSE 1 END AS hit FROM dense d JOIN (SELECT DISTINCT key, rule FROM ({_ADVANCED})) r ON r.key = d.key
+                    LEFT JOIN ({_ADVANCED}) h ON h.key = d.key AND h.rule = r.rule AND h.sec = d.sec))))) WHERE ready = 1 AND opened = 1"""
+
 ORACLE_SQL = {name: with_ctes(sql) for name, sql in FINALS.items()}

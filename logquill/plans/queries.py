@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquill.functions import stats as s
-from logquill.operators import baseline, counting, detectors, drift, faults, incidents, redaction, severity, windows
+from logquill.operators import baseline, counting, detectors, drift, faults, incidents, redaction, reporting, severity, windows
 from logquill.operators.parse import parse
 from logquill.sources import outbox
 from logquill.sources.loglines import EPOCH_MS, lines_from_events
@@ -232,7 +232,7 @@ def p95_lower(spark, d):
 
 @query
 def latency_shift(spark, d):
-    return drift.latency_shift(parsed(spark, d), factor=1.5)
+    return drift.latency_shift(parsed(spark, d))
 
 
 @query
@@ -351,9 +351,119 @@ def ewma_static(spark, d):
     return baseline.ewma(sums(spark, d))
 
 
+def learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baseline.learned(sums(spark, sf_dir))
+
+
 @query
 def ewma_adaptive(spark, d):
-    return rounded(baseline.adaptive(sums(spark, d)), "ewma", "sigma", "z")
+    return rounded(learned(spark, d).select("key", "sec", "ewma", "sigma", F.col("open").alias("frozen"), F.col("z10").alias("z")), "ewma", "sigma", "z")
+
+
+@query
+def baseline_band(spark, d):
+    return rounded(baseline.band(learned(spark, d)), "lower", "upper")
+
+
+@query
+def learned_alerts(spark, d):
+    return rounded(detectors.alerts(learned(spark, d)), "observed", "z", "baseline")
+
+
+@query
+def component_table(spark, d):
+    return reporting.component_table(learned(spark, d))
+
+
+@query
+def open_components(spark, d):
+    return reporting.open_components(learned(spark, d))
+
+
+@query
+def alerts_since(spark, d):
+    return reporting.alerts_since(alerts(spark, d), FIRST_SEC + 60).select("key", "rule", "opened_sec")
+
+
+@query
+def last_alerts(spark, d):
+    return reporting.last_alerts(alerts(spark, d)).select("key", "rule", "opened_sec")
+
+
+@query
+def last_seconds(spark, d):
+    return reporting.last_seconds(dense(spark, d))
+
+
+@query
+def rolling_rate(spark, d):
+    return rounded(reporting.rolling_rate(counting.per_second(parsed(spark, d))), "rate")
+
+
+@query
+def severity_counts(spark, d):
+    return reporting.severity_counts(severity.scored(alerts(spark, d)))
+
+
+@query
+def routed_alerts(spark, d):
+    return reporting.routed(severity.scored(alerts(spark, d))).select("key", "rule", "opened_sec", "severity", "route")
+
+
+@query
+def alert_neighbours(spark, d):
+    return reporting.neighbours(alerts(spark, d))
+
+
+@query
+def breach_severity(spark, d):
+    rows = severity.explained(severity.scored(severity.breaches(states(spark, d))))
+    return rounded(rows.select("key", "rule", "opened_sec", "seconds_in_breach", "z", "observed", "score", "severity", "reason"), "z", "observed")
+
+
+@query
+def redacted_reasons(spark, d):
+    rows = severity.reasons(alerts(spark, d)).withColumn("reason", F.concat("reason", F.lit("; seen with MBR-"), F.col("total").cast("string")))
+    return redaction.redact_all(rows.select("key", "rule", "opened_sec", "reason"), keep=("key", "rule", "opened_sec"))
+
+
+@query
+def incident_records(spark, d):
+    found = alerts(spark, d)
+    return incidents.records(incidents.incident_sessions(found), severity.scored(found), incidents.suspected_origins(found), FIRST_SEC + 400)
+
+
+@query
+def advanced_alerts(spark, d):
+    p, every = parsed(spark, d), dense(spark, d)
+    new = drift.new_codes(counting.code_counts(p, by_second=True), counting.per_second(p))
+    return drift.advanced_alerts(every, mix(spark, d), drift.latency_shift(p), new, drift.silence_runs(every))
+
+
+@query
+def sample_summaries(spark, d):
+    return reporting.sample_summaries(parsed(spark, d))
+
+
+@query
+def parser_health(spark, d):
+    p = parsed(spark, d)
+    return reporting.parser_health(p, drift.unidentified_ratio(p))
+
+
+@query
+def routed_lines(spark, d):
+    return reporting.routed_lines(counting.reject_reasons(lines(spark, d)))
+
+
+@query
+def skew_kept_lines(spark, d):
+    return counting.without_skew(parsed(spark, d), bound_s=30).select("event_id", "sec")
+
+
+@query
+def metric_events(spark, d):
+    return outbox.metric_events(sums(spark, d))
 
 
 @query

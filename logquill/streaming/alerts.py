@@ -26,7 +26,7 @@ def _start() -> dict:
     return {"sec": None, "tot": [], "err": [], "spoken": None, "run": 0, "quiet": 0, "open": False}
 
 
-def advance(state: dict, sec: int, tot: int, err: int, base: float) -> tuple | None:
+def advance(state: dict, sec: int, tot: int, err: int, base: float, least: int = MIN_N) -> tuple | None:
     """Moves state to the next second; an opening as (second, lines, errors, z)."""
     state["tot"], state["err"] = (state["tot"] + [tot])[-WINDOW:], (state["err"] + [err])[-WINDOW:]
     state["sec"], state["spoken"] = sec, sec if tot else state["spoken"]
@@ -34,7 +34,7 @@ def advance(state: dict, sec: int, tot: int, err: int, base: float) -> tuple | N
     spread = n * base * (1 - base)
     z = (bad - n * base) / spread**0.5 if spread >= 1e-9 else 64.0 * (bad > 0 and n > 0)
     active = state["spoken"] is not None and sec - state["spoken"] < 300
-    hit = n >= MIN_N and z > Z_FAST and bad / max(n, 1) > base + MIN_DELTA and active
+    hit = n >= least and z > Z_FAST and bad / max(n, 1) > base + MIN_DELTA and active
     state["run"], state["quiet"] = (state["run"] + 1, 0) if hit else (0, state["quiet"] + 1)
     if state["quiet"] > QUIET:
         state["open"] = False
@@ -46,6 +46,7 @@ def advance(state: dict, sec: int, tot: int, err: int, base: float) -> tuple | N
 
 def fast_alerts(counts: DataFrame, vocabulary: voc.Vocabulary = voc.DEFAULT) -> DataFrame:
     """Openings of the fast rule from a stream of settled counts (key, sec, tot, err)."""
+    least = {key: n for key, _, _, n in voc.THRESHOLDS}
     bases = {r[1]: max(r[6], FLOOR) for r in vocabulary.component_rows()}
 
     def fold(key: tuple, chunks: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,7 +57,7 @@ def fast_alerts(counts: DataFrame, vocabulary: voc.Vocabulary = voc.DEFAULT) ->
             last = state["sec"]
             gap = range(max(last + 1, sec - 400), sec) if last is not None else ()
             for t, n, bad in (*((t, 0, 0) for t in gap), (sec, tot, err)):
-                if found := advance(state, t, n, bad, bases[key[0]]):
+                if found := advance(state, t, n, bad, bases[key[0]], least.get(key[0], MIN_N)):
                     opened.append((key[0], *found))
         group.update((json.dumps(state),))
         yield pd.DataFrame(opened, columns=["key", "opened_sec", "total", "errors", "z"])

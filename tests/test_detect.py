@@ -94,8 +94,8 @@ def test_rules_come_in_order(spark):
 def test_learned_baseline_freezes_while_open(spark):
     rows = [("CLM.STR", t, 100, 40 if 600 <= t < 700 else 1, 0) for t in range(1000)]
     sums = windows.sliding(windows.dense(spark.createDataFrame(rows, "key string, sec long, tot long, err long, warn long")))
-    got = {x["sec"]: x for x in baseline.adaptive(sums).collect()}
-    assert 0.005 < got[599]["ewma"] < 0.015 and any(got[t]["frozen"] for t in range(602, 700)) and not got[900]["frozen"]
+    got = {x["sec"]: x for x in baseline.learned(sums).collect()}
+    assert 0.005 < got[599]["ewma"] < 0.015 and any(got[t]["open"] for t in range(602, 700)) and not got[900]["open"]
     assert got[699]["ewma"] == got[650]["ewma"]
     value = 0.0
     for x in sums.orderBy("sec").collect():
