@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     Only where that setting is absent (tests, a single machine) a local folder is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="logquill-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -230,6 +230,9 @@ CTES: dict[str, tuple[str, str]] = {
                 CASE rule WHEN 'fast' THEN tot10 WHEN 'wilson' THEN tot30 WHEN 'threshold' THEN t_tot ELSE tot60 END AS total,
                 CASE rule WHEN 'fast' THEN err10 WHEN 'wilson' THEN err30 WHEN 'threshold' THEN t_err ELSE err60 END AS errors, base AS baseline
             FROM learned WHERE opened_now)"""),
+    "streamed_openings": ("learned_openings counted per_second", """
+        SELECT o.* FROM learned_openings o JOIN (SELECT key, max(sec) AS last FROM per_second WHERE sec <= (SELECT max(sec) FROM counted) - 2 GROUP BY key) p
+        ON o.key = p.key AND o.opened_sec <= p.last"""),
     "levels": ("sums", """
         SELECT key, sec, CASE WHEN burn >= 0.55 THEN 3 WHEN burn >= 0.35 THEN 2 WHEN burn >= 0.18 THEN 1 ELSE 0 END AS level
         FROM (SELECT key, sec, round(err60 / greatest(tot60, 1) * 5, 6) AS burn FROM sums)"""),
@@ -432,6 +435,12 @@ FINALS: dict[str, str] = {
     "skew_kept_lines": "SELECT event_id, sec FROM (SELECT event_id, sec, (SELECT list_sort(list(sec))[count(*) // 2 + 1] FROM parsed WHERE sec IS NOT NULL) AS median_sec FROM parsed) WHERE abs(sec - median_sec) <= 30",
     "severity_hold": "SELECT key, sec, ['INFO', 'WARNING', 'HIGH', 'CRITICAL'][level + 1] AS severity, ['INFO', 'WARNING', 'HIGH', 'CRITICAL'][held + 1] AS held FROM held",
     "stream_alerts": f"SELECT key, sec AS opened_sec, tot10 AS total, err10 AS errors, {_r6(_z('err10', 'tot10', 'base'))} AS z FROM settled_states WHERE ready = 1 AND opened = 1",
+    "stream_learned_alerts": f"SELECT key, rule, opened_sec, window_s, total, errors, {_r6('baseline')} AS baseline FROM streamed_openings",
+    "stream_incidents": """SELECT key, rule, min(opened_sec) AS opened_sec, max(opened_sec) AS last_sec, count(*) AS n FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY key, rule ORDER BY opened_sec) AS incident FROM (
+            SELECT *, CASE WHEN opened_sec - lag(opened_sec) OVER (PARTITION BY key, rule ORDER BY opened_sec) < 120 THEN 0 ELSE 1 END AS fresh FROM streamed_openings))
+        GROUP BY key, rule, incident HAVING max(opened_sec) + 120 <= (SELECT max(opened_sec) FROM streamed_openings)""",
+    "future_lines": "SELECT event_id, sec FROM parsed WHERE sec > (SELECT (min(sec) + max(sec)) // 2 FROM parsed) + 60",
     "outbox_pending": f"SELECT idempotency_key, attempts, next_attempt_s FROM outbox WHERE status = 'pending' AND next_attempt_s <= {FIRST_SEC + 100_000} ORDER BY next_attempt_s, idempotency_key LIMIT 50",
     "outbox_stats": "SELECT s.status, count(o.status) AS n FROM (VALUES ('pending'), ('in_progress'), ('delivered'), ('failed')) s(status) LEFT JOIN outbox o ON o.status = s.status GROUP BY s.status",
     "alert_dedupe": "SELECT idempotency_key, 'pending' AS status, created_s FROM outbox",

@@ -14,6 +14,7 @@ from logquill.sources import outbox
 from logquill.sources.loglines import EPOCH_MS, lines_from_events
 from logquill.sources.tables import written
 from logquill.streaming import alerts as stream
+from logquill.streaming import monitor
 from logquill.streaming.per_second import drained, event_stream, per_second_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -514,3 +515,26 @@ def stream_alerts(spark, d):
     counts, path = drained(streamed_counts(spark, d), "stream-counts")
     settled = spark.readStream.schema(counts.schema).parquet(path)
     return rounded(drained(stream.fast_alerts(settled), "stream-alerts")[0], "z")
+
+
+@query
+def stream_learned_alerts(spark, d):
+    counts, path = drained(streamed_counts(spark, d), "stream-counts")
+    settled = spark.readStream.schema(counts.schema).parquet(path)
+    return rounded(drained(stream.learned_alerts(settled), "stream-learned")[0], "baseline")
+
+
+@query
+def stream_incidents(spark, d):
+    counts, path = drained(streamed_counts(spark, d), "stream-counts")
+    settled = spark.readStream.schema(counts.schema).parquet(path)
+    opened, path = drained(stream.learned_alerts(settled), "stream-learned")
+    return drained(stream.incident_windows(spark.readStream.schema(opened.schema).parquet(path)), "stream-incidents")[0]
+
+
+@query
+def future_lines(spark, d):
+    """Lines of which the clock was ahead, if the log had been read when half of its time was over."""
+    p = parsed(spark, d)
+    now = p.agg(F.floor((F.min("sec") + F.max("sec")) / 2)).first()[0]
+    return monitor.split_future(p, now, bound_s=60)[1].select("event_id", "sec")

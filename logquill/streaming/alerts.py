@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logquill.functions.stats import FLOOR
+from logquill.operators import baseline
+from logquill.operators.incidents import IDLE_S
 from logquill.operators.detectors import K_FAST, MIN_DELTA, MIN_N, QUIET, Z_FAST
 from logquill.sources import vocabulary as voc
 
@@ -64,3 +67,56 @@ def fast_alerts(counts: DataFrame, vocabulary: voc.Vocabulary = voc.DEFAULT) ->
 
     keyed = counts.select("key", "sec", "tot", "err").where(F.col("key").isin(list(bases)))
     return keyed.groupBy("key").applyInPandasWithState(fold, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+LEARNED = "key string, rule string, opened_sec long, window_s int, total long, errors long, baseline double"
+LONGEST = 300
+
+
+def learned_alerts(counts: DataFrame, vocabulary: voc.Vocabulary = voc.DEFAULT) -> DataFrame:
+    """Openings of all rules, by the learned baseline, from a stream of settled counts (key, sec, tot,
+    err). The state of a component is its counts of the last 300 seconds and what the baseline's fold
+    carries on."""
+    limits = {key: own for key, *own in voc.THRESHOLDS}
+    rates = {r[1]: r[6] for r in vocabulary.component_rows()}
+    alpha = 2 / (baseline.SPAN_S + 1)
+
+    def second(state: dict, fold: baseline._Key, key: str, sec: int, tot: int, err: int) -> tuple | None:
+        rate, window, least = limits.get(key, voc.DEFAULT_THRESHOLD)
+        state["sec"], state["ring"] = sec, [*state["ring"], (tot, err)][-LONGEST:]
+        x = {"min_n": least, "limit_rate": rate, "least": limits[key][2] if key in limits else MIN_N}
+        for w in (10, 30, 60, LONGEST):
+            x[f"tot{w}"], x[f"err{w}"] = (sum(c) for c in zip(*state["ring"][-w:], strict=True))
+        x["t_tot"], x["t_err"] = x[f"tot{window}"], x[f"err{window}"]
+        base, *_, rule, _, opened = baseline.step(fold, key, x, alpha)
+        if not opened:
+            return None
+        size = {"fast": 10, "wilson": 30, "threshold": window}.get(rule, 60)
+        return "threshold" if rule == "wilson" else rule, sec, size, x[f"tot{size}"], x[f"err{size}"], base
+
+    def fold(key: tuple, chunks: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        state = json.loads(group.get[0]) if group.exists else {"sec": None, "ring": [], "fold": asdict(baseline._Key(rates[key[0]]))}
+        carried = baseline._Key(**state["fold"])
+        rows = sorted(r for chunk in chunks for r in zip(chunk["sec"].tolist(), chunk["tot"].tolist(), chunk["err"].tolist(), strict=True))
+        opened = []
+        for sec, tot, err in rows:
+            last = state["sec"]
+            # after 300 seconds without lines nothing but the quiet seconds' number changes
+            gap = range(max(last + 1, sec - LONGEST - 100), sec) if last is not None else ()
+            for t, n, bad in (*((t, 0, 0) for t in gap), (sec, tot, err)):
+                if found := second(state, carried, key[0], t, n, bad):
+                    opened.append((key[0], *found))
+        state["fold"] = asdict(carried)
+        group.update((json.dumps(state),))
+        yield pd.DataFrame(opened, columns=["key", "rule", "opened_sec", "window_s", "total", "errors", "baseline"])
+
+    keyed = counts.select("key", "sec", "tot", "err").where(F.col("key").isin(list(rates)))
+    return keyed.groupBy("key").applyInPandasWithState(fold, LEARNED, "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+def incident_windows(alerts: DataFrame, idle: str = f"{IDLE_S} seconds") -> DataFrame:
+    """key, rule, opened_sec, last_sec, n of incidents that ended: sessions of a stream of alerts, told
+    once no alert has come for `idle`."""
+    timed = alerts.withColumn("at", F.timestamp_seconds("opened_sec")).withWatermark("at", "0 seconds")
+    rows = timed.groupBy(F.session_window("at", idle), "key", "rule").agg(F.min("opened_sec").alias("opened_sec"), F.max("opened_sec").alias("last_sec"), F.count("*").alias("n"))
+    return rows.drop("session_window")

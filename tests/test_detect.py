@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logquill.functions import redact as r
 from logquill.functions import stats as s
-from logquill.operators import baseline, detectors, faults, incidents, redaction, severity, windows
+from logquill.operators import baseline, detectors, drift, faults, incidents, redaction, reporting, severity, windows
 from logquill.sources import outbox
 from logquill.sources import vocabulary as voc
 
@@ -95,7 +95,7 @@ def test_learned_baseline_freezes_while_open(spark):
     rows = [("CLM.STR", t, 100, 40 if 600 <= t < 700 else 1, 0) for t in range(1000)]
     sums = windows.sliding(windows.dense(spark.createDataFrame(rows, "key string, sec long, tot long, err long, warn long")))
     got = {x["sec"]: x for x in baseline.learned(sums).collect()}
-    assert 0.005 < got[599]["ewma"] < 0.015 and any(got[t]["open"] for t in range(602, 700)) and not got[900]["open"]
+    assert 0.005 < got[599]["ewma"] < 0.015 and any(got[t]["open"] for t in range(602, 700)) and got[900]["rule"] == "cusum"  # the sum of a burst holds on
     assert got[699]["ewma"] == got[650]["ewma"]
     value = 0.0
     for x in sums.orderBy("sec").collect():
@@ -130,6 +130,58 @@ def test_incidents(some_alerts):
     assert {x["key"]: x["status"] for x in state if x["last_sec"] == 500} == {"ELG.MBR": "OPEN"}
 
 
+def test_records_and_acknowledgement(spark, some_alerts):
+    scored = some_alerts.withColumn("severity", F.when(F.col("opened_sec") == 140, "CRITICAL").otherwise("WARNING"))
+    rows = incidents.records(incidents.incident_sessions(some_alerts), scored, incidents.suspected_origins(some_alerts), 300)
+    got = {(x["key"], x["opened_sec"]): x for x in rows.collect()}
+    first = got["ELG.MBR", 110]
+    assert (first["id"], first["max_severity"], first["origin"], first["status"], first["cooldown_until_sec"]) == ("inc_0003", "CRITICAL", "ELG.CCH", "RESOLVED", 560)
+    acks = spark.createDataFrame([("inc_0003", 150), ("inc_0003", 155), ("inc_0001", 900)], "id string, ack_sec long")
+    after = {x["id"]: x for x in incidents.acknowledged(rows, acks).collect()}
+    assert after["inc_0003"]["status"] == "ACKNOWLEDGED" and after["inc_0003"]["ack_sec"] == 150 and after["inc_0003"]["cooldown_until_sec"] is None
+    assert after["inc_0001"]["status"] == "RESOLVED" and len(after) == rows.count()
+
+
+def test_origins_of_far_alerts_do_not_meet(spark):
+    """Alerts on either side of a stretch's end meet if they are near enough, and only then."""
+    rows = [("ELG.CCH", "fast", 119), ("ELG.MBR", "fast", 121), ("CLM.EDT", "fast", 239), ("CLM.PRC", "fast", 240), ("ELG.X12", "fast", 1000)]
+    got = {x["key"]: x["origin"] for x in incidents.suspected_origins(spark.createDataFrame(rows, "key string, rule string, opened_sec long")).collect()}
+    assert got == {"ELG.CCH": "ELG.CCH", "ELG.MBR": "ELG.CCH", "CLM.EDT": "ELG.CCH", "CLM.PRC": "ELG.MBR", "ELG.X12": "ELG.X12"}
+
+
+def test_severity_by_hand(spark):
+    """Literal answers: weights 0.40, 0.18, 0.22, 0.10 and 0.10."""
+    rows = [("CLM.STR", "fast", 5, 10, 60, 15.0, 0.5, 0.005), ("PAY.BNK", "cusum", 5, 10, 0, 0.0, 0.002, 0.002)]
+    df = spark.createDataFrame(rows, "key string, rule string, opened_sec long, window_s int, seconds_in_breach long, z double, observed double, baseline double")
+    got = {x["key"]: x for x in severity.explained(severity.scored(df)).collect()}
+    want = 0.40 * (0.5 * 0.5 + 0.5 * 1.0) + 0.18 * 0.5 + 0.22 * 1.0 + 0.10 * (0.5 / 0.99 / 14.4)
+    assert got["CLM.STR"]["score"] == pytest.approx(want, abs=1e-6) and got["CLM.STR"]["severity"] == "CRITICAL"
+    parts = got["CLM.STR"]["reason"].split("; ")
+    assert parts[:3] == ["z=15.0 over 10s", "CLM.STR error rate 50.0% vs baseline 0.5%", "breaching for 60s"] and "component is critical to the payment cycle" in parts
+    assert parts[-1] == "score 0.61 -> CRITICAL" and not any("burn" in p for p in parts)
+    burning = severity.explained(severity.scored(df).withColumn("burn_rate", F.lit(15.0))).where("key = 'CLM.STR'").first()["reason"]
+    assert "; burn rate 15.0x: page; " in burning
+    assert "slow drift" in got["PAY.BNK"]["reason"] and "breaching" not in got["PAY.BNK"]["reason"]
+
+
+def test_shape_rules_open_once_in_a_run(spark):
+    dense = spark.createDataFrame([("CLM.EDT", t, 0 if 100 <= t < 180 else 5) for t in range(400)], "key string, sec long, tot long")
+    mixed = spark.createDataFrame([("CLM.EDT", t, t in (10, 50, 51, 52, 90)) for t in range(400)], "key string, sec long, drifted boolean")
+    none = spark.createDataFrame([], "key string, window_start long, shifted boolean")
+    new = spark.createDataFrame([("CLM.EDT", 240, True)], "key string, window_start long, is_new boolean")
+    got = drift.advanced_alerts(dense, mixed, none, new, drift.silence_runs(dense)).collect()
+    assert sorted((x["rule"], x["opened_sec"]) for x in got) == [("mix", 51), ("new_code", 241), ("silence", 130)]
+
+
+def test_routes_and_reports(spark):
+    scored = spark.createDataFrame([("a", "HIGH"), ("b", "CRITICAL"), ("c", "HIGH")], "key string, severity string")
+    assert {x["key"]: x["route"] for x in reporting.routed(scored).collect()} == {"a": "email", "b": "sms", "c": "email"}
+    assert {x["metric"]: x["n"] for x in reporting.severity_counts(scored).collect()} == {"AlertCount_INFO": 0, "AlertCount_WARNING": 0, "AlertCount_HIGH": 2, "AlertCount_CRITICAL": 1}
+    counts = spark.createDataFrame([("k", 0, 4), ("k", 30, 2), ("k", 61, 6), ("k", 3600, 1), ("k", 3630, 5)], "key string, sec long, tot long")
+    got = {x["sec"]: (x["total"], x["rate"]) for x in reporting.rolling_rate(counts).collect()}
+    assert got == {0: (4, 4.0), 30: (6, 0.2), 61: (8, 8 / 31), 3600: (1, 1.0), 3630: (6, 0.2)}
+
+
 @pytest.mark.parametrize(("text", "marks"), [("ssn 123-45-6789 and 123456789", 2), ("born 1990-05-15 or 05/15/1990", 2), ("john.doe@example.com", 1), ("555-123-4567, (555) 123-4567", 2), ("MBR-12345 CLM-88213 NPI-1234567890", 3), ("nothing here", 0)])
 def test_redaction(spark, text, marks):
     row = spark.range(1).select(r.redact(F.lit(text)).alias("t"), r.has_personal_data(F.lit(text)).alias("f")).first()
