@@ -450,7 +450,7 @@ def near_duplicates(docs: DataFrame, with_text_key: bool = False) -> DataFrame:
     Texts link if 100 * |A & B| >= 75 * |A | B| for their sets of shingles; a component's id is its
     smallest doc_id and its document with that id is kept. Null texts and texts without words have
     no shingles and are their own component; null ids are smaller than none: such a row is kept only
-    if its whole component has no id. Repeated rows share their fate; an empty table gives an empty
+    if its whole component has no id. Repeated rows share their fate; texts of any length count whole; an empty table gives an empty
     result; other columns are not read. with_text_key adds the MD5 of the text."""
     rows = stored(with_signatures(docs), "signatures")
     one = F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("one")

@@ -33,8 +33,8 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID)
     """The pieces of each document: its ids and end_id, cut if longer than the capacity.
 
     All pieces but the first are full; the first takes the remainder. A null text counts as empty
-    (one piece of one id); a null doc_id is kept; repeated rows give repeated pieces. Other columns
-    are not read."""
+    (one piece of one id); a null doc_id is kept; repeated rows give repeated pieces; texts
+    of any length are encoded whole, in stretches. Other columns are not read."""
 
     closing = np.array([end_id], "<u4").tobytes()
 

@@ -125,7 +125,7 @@ def cosine_hash(pixels: np.ndarray) -> str:
 
 def write_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media of docs (doc_id, text): the text's UTF-8 bytes, padded, as PNG. A null
-    text is empty; null ids and repeated rows are kept; an empty table gives an empty one."""
+    text is empty; null ids and repeated rows are kept; texts of any length are stored whole; an empty table gives an empty one."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -185,7 +185,8 @@ def written(spans: Column) -> Column:
 
 def scan(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): counts of base kinds, digest of the base spans, all
-    spans. Null texts are empty, null ids and repeated rows are kept, an empty table gives an empty
+    spans. Null texts are empty, null ids and repeated rows are kept, texts of any length and with any
+    number of matches are scanned whole, an empty table gives an empty
     result; columns of docs with other names are not read."""
     found = with_spans(docs.select("doc_id", "text"), "_base", "_spans", table)
     counts = [F.size(F.col("_base")[i]).cast("long").alias(f"n_{kind}") for i, (kind, *_) in enumerate(KINDS)]
@@ -195,7 +196,7 @@ def scan(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, table: list[float] | None = None, mark: str = "[SECRET]") -> DataFrame:
     """docs with each stretch of text that spans cover replaced by mark; overlapping spans count as
-    one stretch. Texts without spans, null ones too, stay as they are, as do all other columns; n_chars follows the text."""
+    one stretch, however long the text. Texts without spans, null ones too, stay as they are, as do all other columns; n_chars follows the text."""
     base, spans = free_name(docs, "base_spans"), free_name(docs, "spans")
     found = with_spans(docs, base, spans, table)
     text = F.coalesce("text", F.lit(""))

@@ -287,6 +287,18 @@ def test_cosine_hash_equals_its_definition():
         assert png_media.cosine_hash(pixels) == f"{int(bits, 2):016x}"
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "x" * 2_000_000, "word " * 400_000, "Some words, and more.\n" * 90_000])
+def test_very_long_texts_are_taken_whole(text):
+    words = text.lower().split()
+    hashes = neardup.shingle_hashes(text)
+    assert len(hashes) == len({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else ())
+    assert neardup.signature(hashes).shape == (neardup.VALUES,)
+    features = quality.text_features(text)
+    assert len(features) == len(quality.FEATURES) and np.isfinite(features).all() and features[0] == pytest.approx(math.log1p(len(text)))
+    payload = png_media.padded(text.encode())
+    assert png_media.decode_png(png_media.encode_png(payload)).tobytes() == payload
+
+
 def test_media_of_odd_rows(odd_docs, no_docs):
     rows = png_media.media_of_documents(odd_docs).collect()
     by = {r["doc_id"]: r for r in rows}
