@@ -1,8 +1,8 @@
 """A training corpus from documents: quality classifier, near-duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as
-the next stage's docs. Null texts, null ids, repeated rows and empty tables pass through as the
-operators define; columns beside doc_id and text are carried along by all stages but the last.
+the next stage's docs. Null texts, null ids, repeated rows, very long texts and empty tables pass through as
+the operators define; columns beside doc_id and text are carried along by all stages but the last.
 """
 
 from __future__ import annotations
