@@ -135,9 +135,9 @@ def adopt_candidates(parsed: DataFrame, window_s: int = ADOPT_WINDOW_S, least: i
     return lines.groupBy("key", window).agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms")).where(F.col("n") >= least)
 
 
-def trace_fanout(parsed: DataFrame, digits: int = 7) -> DataFrame:
-    """trace_group, lines, components: how many components the lines of a trace (its first digits)
-    touch."""
+def trace_fanout(parsed: DataFrame, digits: int = 8) -> DataFrame:
+    """trace_group, lines, components: how many components the lines of a trace (or of traces with
+    the same first digits) touch."""
     group = F.substring("trace", 1, digits).alias("trace_group")
     keys = F.array_sort(F.collect_set("key"))
     return counted(parsed).groupBy(group).agg(F.count("*").alias("lines"), F.size(keys).cast("long").alias("components"), F.array_join(keys, ",").alias("keys"))
