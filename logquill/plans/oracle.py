@@ -403,7 +403,7 @@ FINALS: dict[str, str] = {
     "learned_alerts": f"SELECT key, rule, opened_sec, window_s, total, errors, {_r6('baseline')} AS baseline, {_r6('observed')} AS observed, {_r6('z')} AS z FROM learned_openings",
     "component_table": f"""SELECT l.key, round({_rate('err10', 'tot10')}, 5) AS rate_10s, round({_rate('err60', 'tot60')}, 5) AS rate_60s, round(base, 5) AS baseline, round(z10, 2) AS z,
         CASE WHEN open THEN 'open' ELSE 'ok' END AS state, NOT warming AS warm, c.criticality FROM learned l JOIN components c ON l.key = c.key WHERE sec = (SELECT max(sec) FROM learned)""",
-    "open_components": "SELECT sec, count(*) AS n_open, string_agg(key, ',' ORDER BY key) AS keys FROM learned WHERE open GROUP BY sec",
+    "alerting_components": "SELECT sec, count(*) AS n_open, string_agg(key, ',' ORDER BY key) AS keys FROM learned WHERE open GROUP BY sec",
     "alerts_since": f"SELECT key, rule, opened_sec FROM alerts WHERE opened_sec > {FIRST_SEC + 60}",
     "last_alerts": "SELECT key, rule, opened_sec FROM alerts ORDER BY opened_sec DESC, key, rule LIMIT 1000",
     "last_seconds": "SELECT * FROM dense WHERE sec > (SELECT max(sec) FROM dense) - 60",

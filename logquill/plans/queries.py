@@ -377,7 +377,7 @@ def component_table(spark, d):
 
 
 @query
-def open_components(spark, d):
+def alerting_components(spark, d):
     return reporting.open_components(learned(spark, d))
 
 

@@ -20,7 +20,7 @@ SOME = [
     "parse_lines", "line_classes", "reject_reasons", "unknown_component_anti", "component_counts", "latency_histogram", "skew_filter_median", "sliding_sums",
     "service_system_rollup", "unidentified_ratio_60s", "zscore_fast", "absolute_threshold", "cusum_drift", "alerts_opened", "moved_code", "p95_upper", "latency_shift",
     "silence_runs", "severity_level", "alert_reasons", "redact_documents", "phi_flags", "redact_stats", "origin_closure", "ramp_value", "propagation_rate", "daily_curve_join",
-    "ewma_adaptive", "baseline_band", "learned_alerts", "component_table", "open_components", "rolling_rate", "breach_severity", "redacted_reasons", "incident_records",
+    "ewma_adaptive", "baseline_band", "learned_alerts", "component_table", "alerting_components", "rolling_rate", "breach_severity", "redacted_reasons", "incident_records",
     "advanced_alerts", "severity_hold", "stream_alerts", "stream_learned_alerts", "parser_health", "metric_events", "hour_of_week_baseline", "trace_fanout", "ewma_static", "outbox_stats", "stream_per_second",
 ]
 
