@@ -3,8 +3,9 @@
 A word is an array of parts (the stretches between its boundaries) and an array of the ranks of
 adjacent parts. The smallest rank is looked for again and again; its boundary is deleted and the
 ranks on either side are refreshed. Words are short, so scanning beats a queue; a word of more than
-SHORT parts, such as a long run of symbols, is merged through a heap. What a word gives is kept by
-worker in two bounded generations of a memo.
+SHORT parts, such as a long run of symbols, is merged through a heap. What a stretch of text without
+white space gives is kept by worker in two bounded generations of a memo; what the words in it give,
+which many stretches share ("word", "Word,", "(word)"), in a bounded cache.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from logquill.llm.common import slices
 from logquill.llm.token_ids import sound
 
 SHORT = 96
-#: Words that a generation of the memo holds at most.
-MEMO = 150_000
+#: Stretches that a generation of the memo holds at most, and words in the cache: some 300 MB in all.
+MEMO, WORDS = 300_000, 300_000
 #: White space as the tokenizer's patterns have it (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + chr(0x2000) + "-" + chr(0x200A)
 FAR = 1 << 60
@@ -63,13 +64,14 @@ class WordBpe:
         self.find_words = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+").findall
         self.find_runs = re.compile(f"[^{SPACE}]+").findall
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
+        self.cached_forms = functools.lru_cache(WORDS)(self.word_forms)
         self.young: dict[str, tuple[str, str, int]] = {}
         self.old: dict[str, tuple[str, str, int]] = {}
 
-    def word_ids(self, letters: list[str]) -> list[int]:
-        letters[-1] += self.suffix
-        parts = [self.vocab[x] for x in letters]
+    def word_ids(self, word: str) -> list[int]:
+        parts = [self.vocab[x] for x in word[:-1]]
+        parts.append(self.vocab[word[-1] + self.suffix])
         return self.scan(parts) if len(parts) <= SHORT else self.queue(parts)
 
     def scan(self, parts: list[int]) -> list[int]:
@@ -107,19 +109,27 @@ class WordBpe:
                     heapq.heappush(heap, (r[0], k, parts[k], parts[after[k]]))
         return [p for p in parts if p >= 0]
 
-    def words_of(self, run: str) -> list[list[str]]:
-        """The words of text without white space, each as its letters of bytes. ASCII text is
+    def words_of(self, run: str) -> list[str]:
+        """The words of text without white space, written in the letters of bytes. ASCII text is
         lower-cased and cut here; what other code points compose to and which of them are letters
         or digits is the library's to say."""
         if run.isascii():
-            return [[self.letters[b] for b in word.encode()] for word in self.find_words(run.lower())]
-        return [list(word) for word, _ in self.cut_words(self.normal(run))]
+            words = self.find_words(run.lower())
+            return words if run.isprintable() else [word.translate(self.letters) for word in words]
+        return [word for word, _ in self.cut_words(self.normal(run))]
 
-    def run_forms(self, run: str) -> tuple[str, str, int]:
-        """Ids and tokens, each joined by spaces, and their number, of text without white space."""
-        ids = [i for letters in self.words_of(run) for i in self.word_ids(letters)]
+    def word_forms(self, word: str) -> tuple[str, str, int]:
+        """Ids and tokens, each joined by spaces, and their number, of a word."""
+        ids = self.word_ids(word)
         return " ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids)), len(ids)
 
+    def run_forms(self, run: str) -> tuple[str, str, int]:
+        """The same of text without white space."""
+        found = [self.cached_forms(w) if len(w) <= SHORT else self.word_forms(w) for w in self.words_of(run)]
+        if len(found) == 1:
+            return found[0]
+        return " ".join([x[0] for x in found]), " ".join([x[1] for x in found]), sum(x[2] for x in found)
+
     def forms(self, text: str) -> list[tuple[str, str, int]]:
         out = []
         for k, part in enumerate(self.cut_special(text) if "<|" in text else [text]):
