@@ -9,6 +9,7 @@ from logquill.functions import parse as p
 from logquill.operators.parse import counted, rejected
 from logquill.sources import vocabulary as voc
 
+ADOPT_CHUNK_S = 3600
 ADOPT_WINDOW_S, ADOPT_LINES, KEY_CAP, SAMPLES = 30, 20, 1000, 3
 OVERFLOW, HOUR_S = "<overflow>", 3600
 
@@ -129,10 +130,17 @@ def top_unknown_keys(parsed: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def adopt_candidates(parsed: DataFrame, window_s: int = ADOPT_WINDOW_S, least: int = ADOPT_LINES) -> DataFrame:
-    """Unknown components by tumbling window with as many lines as make them worth adopting."""
-    lines = rejected(parsed).where("class = 'unknown_component'")
-    window = (F.floor(F.col("sec") / window_s) * window_s).alias("window_start")
-    return lines.groupBy("key", window).agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms")).where(F.col("n") >= least)
+    """key, adopted_sec, n, first_ms, last_ms: unknown components with at least so many lines in window_s seconds, whichever,
+    and the first second in which that was so."""
+    lines = rejected(parsed).where("class = 'unknown_component' AND sec IS NOT NULL")
+    seconds = lines.groupBy("key", "sec").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+    # by hour with a lead-in, so that no key's history is one task
+    hour = F.floor(F.col("sec") / ADOPT_CHUNK_S)
+    dealt = seconds.withColumn("_hour", F.explode(F.sequence(hour, F.floor((F.col("sec") + window_s - 1) / ADOPT_CHUNK_S))))
+    last = Window.partitionBy("key", "_hour").orderBy("sec").rangeBetween(1 - window_s, 0)
+    told = dealt.select("key", "sec", "_hour", F.sum("n").over(last).alias("n"), F.min("first_ms").over(last).alias("first_ms"), F.max("last_ms").over(last).alias("last_ms"))
+    first = told.where((F.col("_hour") == hour) & (F.col("n") >= least)).groupBy("key").agg(F.min_by(F.struct("sec", "n", "first_ms", "last_ms"), "sec").alias("x"))
+    return first.select("key", F.col("x.sec").alias("adopted_sec"), "x.n", "x.first_ms", "x.last_ms")
 
 
 def trace_fanout(parsed: DataFrame, digits: int = 8) -> DataFrame:

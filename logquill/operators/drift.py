@@ -69,13 +69,15 @@ def latency_shift(parsed: DataFrame, factor: float = LATENCY_FACTOR) -> DataFram
 
 
 def silence_runs(dense: DataFrame, least_s: int = SILENT_S) -> DataFrame:
-    """key, first_sec, last_sec, seconds, silent: runs of seconds without a line, of components that
-    have a line in two seconds or more often."""
-    order = Window.partitionBy("key").orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
-    rows = dense.withColumn("_spoken", F.sum((F.col("tot") > 0).cast("int")).over(order)).where("tot = 0")
-    runs = rows.groupBy("key", "_spoken").agg(F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"), F.count("*").alias("seconds"))
-    usual = dense.groupBy("key").agg((F.sum("tot") / F.count("*")).alias("rate")).where(F.col("rate") > SILENT_RATE)
-    return runs.join(F.broadcast(usual), "key").select("key", "first_sec", "last_sec", "seconds", (F.col("seconds") >= least_s).alias("silent"))
+    """key, first_sec, last_sec, seconds, silent: runs of seconds with less than SILENT_RATE lines a second over the last
+    minute, of components that had more in their first minute. Only what came before a second is looked at."""
+    first = dense.where("tot > 0").groupBy("key").agg(F.min("sec").alias("_first"))
+    warm = dense.join(F.broadcast(first), "key").where(F.col("sec").between(F.col("_first"), F.col("_first") + WARMUP_S - 1))
+    usual = warm.groupBy("key", "_first").agg((F.sum("tot") / WARMUP_S).alias("rate")).where(F.col("rate") > SILENT_RATE)  # a row a component
+    low = windows.sliding(dense, ("tot",), (WARMUP_S,)).join(F.broadcast(usual), "key").where((F.col("sec") >= F.col("_first") + WARMUP_S) & (F.col(f"tot{WARMUP_S}") < SILENT_RATE * WARMUP_S))
+    order = Window.partitionBy("key").orderBy("sec")
+    runs = low.withColumn("_run", F.col("sec") - F.row_number().over(order)).groupBy("key", "_run").agg(F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"), F.count("*").alias("seconds"))
+    return runs.select("key", "first_sec", "last_sec", "seconds", (F.col("seconds") >= least_s).alias("silent"))
 
 
 def new_codes(code_seconds: DataFrame, per_second: DataFrame) -> DataFrame:

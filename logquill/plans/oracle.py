@@ -6,6 +6,7 @@ import re
 
 from logquill.functions import redact as r
 from logquill.sources import vocabulary as voc
+from logquill.sources import loglines as ll
 from logquill.sources.loglines import EPOCH_MS, FAULT_FIRST, FAULT_INDEX, FAULT_LAST, FAULT_SHARE
 
 FIRST_SEC = EPOCH_MS // 1000
@@ -39,6 +40,10 @@ def _sliding(values: tuple[str, ...], windows: tuple[int, ...], source: str, key
     return f"SELECT *, {parts} FROM {source}"
 
 
+def _during(x: tuple[int, int, int]) -> str:
+    return f"(idx = {x[0]} AND event_id * 20 // 1000 BETWEEN {x[1]} AND {x[2]})"
+
+
 REJECTED = "('oversized_line', 'malformed_header', 'bad_timestamp', 'bad_level', 'unknown_component')"
 _SCHEDULE = [(i, kind, key, float(t), float(ramp), FIRST_SEC + 10 + i * 15, FIRST_SEC + 10 + i * 15 + int(ramp + hold)) for i, (_, kind, key, t, ramp, hold) in enumerate(voc.SCENARIOS)]
 _LIMIT, _WINDOW, _LEAST = voc.DEFAULT_THRESHOLD
@@ -62,14 +67,16 @@ CTES: dict[str, tuple[str, str]] = {
             WHEN 7 THEN substr(line, 1, 46) || repeat('x', 9000)
             ELSE line END AS value
         FROM (
-            SELECT e.event_id, CAST({EPOCH_MS} + e.event_id * 20 AS VARCHAR) || '|' || e.level || '|' || c.service || '|' || c.component || '|'
-                || coalesce(k.code, '00000') || '|' || lpad(CAST(CAST(floor(e.value * 10) AS BIGINT) AS VARCHAR), 6, '0') || '|'
-                || lower(lpad(hex(e.event_id), 8, '0')) || '|' || replace(coalesce(k.template, 'ok event={{n}}'), '{{n}}', CAST(e.event_id AS VARCHAR)) AS line
+            SELECT e.event_id, CAST({EPOCH_MS} + e.event_id * 20 AS VARCHAR) || '|' || e.level || '|' || CASE WHEN e.newcomer THEN '{ll.UNKNOWN}' ELSE c.service || '|' || c.component END || '|'
+                || CASE WHEN e.unlisted THEN '{ll.UNLISTED}' ELSE coalesce(k.code, '00000') END || '|'
+                || lpad(CAST(CAST(floor(e.value * 10) AS BIGINT) * CASE WHEN e.slow THEN {ll.SLOWER} ELSE 1 END AS VARCHAR), 6, '0') || '|'
+                || lower(lpad(hex(e.event_id // {ll.TRACED}), 8, '0')) || '|' || replace(coalesce(k.template, 'ok event={{n}}'), '{{n}}', CAST(e.event_id AS VARCHAR)) AS line
             FROM (
-                SELECT *, CASE
+                SELECT *, {_during(ll.NEWCOMER)} AND k < 60 AS newcomer, {_during(ll.NEW_CODE)} AND k < 50 AS unlisted, {_during(ll.SLOW)} AS slow, CASE
+                    WHEN {_during(ll.BURST)} AND event_type = 'view' AND k < 60 THEN 'E'
                     WHEN idx = {FAULT_INDEX} AND event_id * 20 // 1000 BETWEEN {FAULT_FIRST} AND {FAULT_LAST} AND event_type IN ('error', 'view') AND k < {FAULT_SHARE} THEN 'E'
                     WHEN event_type = 'error' AND k < 6 THEN 'E' WHEN event_type = 'purchase' AND k < 30 THEN 'W' ELSE 'I' END AS level
-                FROM (SELECT event_id, event_type, value, user_id % 20 AS idx, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+                FROM (SELECT event_id, event_type, value, user_id % 20 AS idx, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) WHERE NOT {_during(ll.SILENT)}
             ) e JOIN components c ON e.idx = c.idx
             LEFT JOIN codes k ON k.key = c.key AND k.level = e.level AND e.k % k.places = k.place
         )"""),
@@ -146,6 +153,8 @@ CTES: dict[str, tuple[str, str]] = {
                 SELECT *, sum(hit) OVER (PARTITION BY scope, key, calm ORDER BY sec) AS breach_run, sum(1 - hit) OVER (PARTITION BY scope, key, hits ORDER BY sec) AS quiet_run FROM (
                     SELECT *, sum(1 - hit) OVER (PARTITION BY scope, key ORDER BY sec) AS calm, sum(hit) OVER (PARTITION BY scope, key ORDER BY sec) AS hits FROM (
                         SELECT *, CASE WHEN tot60 >= CASE scope WHEN 'service' THEN 80 ELSE 400 END AND err60 / greatest(tot60, 1) > 0.05 THEN 1 ELSE 0 END AS hit FROM rolled))))"""),
+    "warm": ("per_second", "SELECT p.key, first, sum(tot) / 60 AS usual FROM per_second p JOIN (SELECT key, min(sec) AS first FROM per_second GROUP BY key) f ON p.key = f.key WHERE sec < first + 60 GROUP BY p.key, first"),
+    "low_seconds": ("sums warm", "SELECT s.key, s.sec, s.tot60, w.usual FROM sums s JOIN warm w ON s.key = w.key WHERE usual > 0.5 AND sec >= first + 60 AND tot60 < 30"),
     "histogram": ("counted", "SELECT key, CASE WHEN latency_ms < 0 THEN 19 WHEN latency_ms = 0 THEN 0 ELSE least(length(bin(latency_ms)), 18) END AS bin, sec, count(*) AS n FROM counted GROUP BY ALL"),
     "code_seconds": ("counted", "SELECT key, code, sec, count(*) AS n FROM counted WHERE code <> '00000' GROUP BY ALL"),
     "mix": ("code_seconds sums codes", """
@@ -230,9 +239,44 @@ CTES: dict[str, tuple[str, str]] = {
                 CASE rule WHEN 'fast' THEN tot10 WHEN 'wilson' THEN tot30 WHEN 'threshold' THEN t_tot ELSE tot60 END AS total,
                 CASE rule WHEN 'fast' THEN err10 WHEN 'wilson' THEN err30 WHEN 'threshold' THEN t_err ELSE err60 END AS errors, base AS baseline
             FROM learned WHERE opened_now)"""),
+    "wrong": ("parsed", f"""
+        SELECT * REPLACE (sec + off AS sec), (sec + off) // 300 AS stretch FROM (SELECT *, CASE WHEN event_id % 997 <= {len(ll.BROKEN)} AND event_id % 997 > 0 OR event_id % 997 = 0 THEN 0
+            WHEN event_id % 499 = 3 THEN {ll.WRONG_S} WHEN event_id % 499 = 5 THEN -{ll.WRONG_S} ELSE 0 END AS off FROM parsed)"""),
+    "clocked": ("wrong", """
+        SELECT w.*, coalesce(j.clock, 'ok') AS clock FROM wrong w LEFT JOIN (
+            SELECT stretch, CASE WHEN run > centre THEN 'ahead' WHEN run < centre AND own < 0.05 * total THEN 'behind' ELSE 'ok' END AS clock FROM (
+                SELECT *, min(CASE WHEN upto > total // 2 THEN run END) OVER () AS centre, sum(n) OVER (PARTITION BY run) AS own FROM (
+                    SELECT *, sum(fresh) OVER (ORDER BY stretch) AS run, sum(n) OVER (ORDER BY stretch) AS upto, sum(n) OVER () AS total FROM (
+                        SELECT stretch, count(*) AS n, CASE WHEN stretch - lag(stretch) OVER (ORDER BY stretch) > 1 THEN 1 ELSE 0 END AS fresh FROM wrong WHERE stretch IS NOT NULL GROUP BY stretch)))) j
+        ON j.stretch = w.stretch"""),
+    "told_alerts": ("components", f"""
+        SELECT c.key, CASE WHEN e.k < 3 THEN 'fast' ELSE 'slow' END AS rule, {FIRST_SEC} + e.event_id AS sec, e.event_type
+        FROM (SELECT event_id, event_type, user_id % 20 AS idx, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) e JOIN components c ON c.idx = e.idx
+        WHERE event_type = 'error' AND k < 30 OR event_type = 'signup' AND k < 8"""),
+    "life_steps": ("told_alerts", """
+        SELECT key, rule, sec, n, alert, row_number() OVER (PARTITION BY key, rule ORDER BY sec, alert) AS i FROM (
+            SELECT key, rule, sec, event_type = 'error' AS alert, count(*) AS n FROM told_alerts GROUP BY ALL)"""),
+    "life_walk": ("life_steps", """
+        WITH RECURSIVE walk AS (
+            SELECT key, rule, 0::BIGINT AS i, 0::BIGINT AS sec, NULL::BIGINT AS incident, NULL::BIGINT AS last, 0::BIGINT AS n, false AS held, 0 AS stint, '' AS event FROM (SELECT DISTINCT key, rule FROM life_steps)
+            UNION ALL
+            SELECT key, rule, i, sec, CASE WHEN event = 'opened' THEN sec ELSE incident END, CASE WHEN alert THEN sec ELSE last END,
+                CASE WHEN event = 'opened' THEN more WHEN alert THEN n + more ELSE n END,
+                CASE WHEN event IN ('opened', 'reopened') THEN false WHEN event = 'acknowledged' THEN true ELSE held END, stint + CASE WHEN event IN ('opened', 'reopened') THEN 1 ELSE 0 END, event
+            FROM (
+                SELECT w.key, w.rule, s.i, s.sec, s.alert, s.n AS more, w.incident, w.last, w.n, w.held, w.stint, CASE
+                    WHEN s.alert AND w.incident IS NULL THEN 'opened'
+                    WHEN s.alert AND NOT w.held AND s.sec - w.last > 120 THEN CASE WHEN s.sec - w.last <= 420 THEN 'reopened' ELSE 'opened' END
+                    WHEN s.alert AND s.sec - w.last <= 60 THEN 'joined' WHEN s.alert THEN 'opened'
+                    WHEN w.incident IS NOT NULL AND NOT w.held AND s.sec - w.last <= 120 THEN 'acknowledged' ELSE 'nothing' END AS event
+                FROM walk w JOIN life_steps s ON s.key = w.key AND s.rule = w.rule AND s.i = w.i + 1)
+        ) SELECT * FROM walk"""),
+    "incident_life": ("life_walk told_alerts", """
+        SELECT key, rule, incident, event, sec, n FROM life_walk WHERE event IN ('opened', 'reopened', 'acknowledged')
+        UNION ALL SELECT key, rule, arg_max(incident, i), 'resolved', max(last) + 121, arg_max(n, i) FROM life_walk WHERE stint > 0
+            GROUP BY key, rule, stint HAVING NOT bool_or(held) AND max(last) + 120 <= (SELECT max(sec) FROM told_alerts)"""),
     "streamed_openings": ("learned_openings counted per_second", """
-        SELECT o.* FROM learned_openings o JOIN (SELECT key, max(sec) AS last FROM per_second WHERE sec <= (SELECT max(sec) FROM counted) - 2 GROUP BY key) p
-        ON o.key = p.key AND o.opened_sec <= p.last"""),
+        SELECT * FROM learned_openings WHERE opened_sec <= (SELECT max(sec) FROM per_second WHERE sec <= (SELECT max(sec) FROM counted) - 2)"""),
     "levels": ("sums", """
         SELECT key, sec, CASE WHEN burn >= 0.55 THEN 3 WHEN burn >= 0.35 THEN 2 WHEN burn >= 0.18 THEN 1 ELSE 0 END AS level
         FROM (SELECT key, sec, round(err60 / greatest(tot60, 1) * 5, 6) AS burn FROM sums)"""),
@@ -247,8 +291,8 @@ CTES: dict[str, tuple[str, str]] = {
         ) SELECT * FROM walk"""),
     "settled": ("based counted per_second", f"""
         SELECT b.*, CASE WHEN tot10 >= least AND {_z('err10', 'tot10', 'base')} > 6 AND {_rate('err10', 'tot10')} > base + 0.01 AND tot300 > 0 THEN 1 ELSE 0 END AS hit
-        FROM based b JOIN (SELECT key, min(sec) AS first, max(sec) AS last FROM per_second WHERE sec <= (SELECT max(sec) FROM counted) - 2 GROUP BY key) p
-        ON b.key = p.key AND b.sec BETWEEN p.first AND p.last"""),
+        FROM based b JOIN (SELECT key, min(sec) AS first FROM per_second GROUP BY key) p
+        ON b.key = p.key AND b.sec BETWEEN p.first AND (SELECT max(sec) FROM per_second WHERE sec <= (SELECT max(sec) FROM counted) - 2)"""),
     "settled_states": ("settled", """
         SELECT *, sum(ready) OVER (PARTITION BY key, segment ORDER BY sec) AS opened FROM (
             SELECT *, CASE WHEN hit = 1 AND breach_run >= 2 THEN 1 ELSE 0 END AS ready, sum(CASE WHEN quiet_run = 31 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY sec) AS segment FROM (
@@ -339,7 +383,10 @@ FINALS: dict[str, str] = {
     "unidentified_ratio_60s": "SELECT * FROM ratios",
     "top_unknown_keys": """SELECT key, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, array_to_string(list_transform(list_sort(list({'ts_ms': ts_ms, 'line': substr(value, 1, 200)}))[1:3], lambda x: x.line), ' / ') AS samples FROM parsed
         WHERE class = 'unknown_component' GROUP BY key ORDER BY n DESC, key LIMIT 10""",
-    "adopt_candidates": "SELECT key, sec // 600 * 600 AS window_start, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM parsed WHERE class = 'unknown_component' GROUP BY ALL HAVING count(*) >= 2",
+    "adopt_candidates": """SELECT key, min(sec) AS adopted_sec, CAST(arg_min(n, sec) AS BIGINT) AS n, arg_min(first_ms, sec) AS first_ms, arg_min(last_ms, sec) AS last_ms FROM (
+        SELECT key, sec, sum(n) OVER w AS n, min(first_ms) OVER w AS first_ms, max(last_ms) OVER w AS last_ms
+        FROM (SELECT key, sec, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM parsed WHERE class = 'unknown_component' GROUP BY key, sec)
+        WINDOW w AS (PARTITION BY key ORDER BY sec RANGE BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE n >= 20 GROUP BY key""",
     "zscore_fast": f"SELECT key, sec, tot10, err10, {_r6(_z('err10', 'tot10', 'base'))} AS z10, tot10 >= least AND {_z('err10', 'tot10', 'base')} > 6 AND {_rate('err10', 'tot10')} > base + 0.01 AND tot300 > 0 AS breach FROM based",
     "zscore_slow": f"SELECT key, sec, tot60, err60, {_r6(_z('err60', 'tot60', 'base'))} AS z60, tot60 >= least AND {_z('err60', 'tot60', 'base')} > 4 AND {_rate('err60', 'tot60')} > base + 0.01 AND tot300 > 0 AS breach FROM based",
     "wilson_low_volume": f"""SELECT key, sec, tot30, err30, {_r6('lb')} AS lower_bound, tot30 >= 5 AND lb > 0.05 AS breach FROM (
@@ -358,9 +405,8 @@ FINALS: dict[str, str] = {
     "latency_shift": f"""SELECT *, upper_ms > 2.0 * baseline_ms AS shifted FROM (
         SELECT p.key, p.window_start, l.lines, p.upper_ms, first_value(p.upper_ms) OVER (PARTITION BY p.key ORDER BY p.window_start) AS baseline_ms FROM ({_SHIFT}) p
         JOIN (SELECT key, sec // 60 * 60 AS window_start, CAST(sum(n) AS BIGINT) AS lines FROM histogram GROUP BY ALL) l ON p.key = l.key AND p.window_start = l.window_start WHERE l.lines >= 20)""",
-    "silence_runs": """SELECT r.key, min(r.sec) AS first_sec, max(r.sec) AS last_sec, count(*) AS seconds, count(*) >= 30 AS silent FROM (
-        SELECT *, sum(CASE WHEN tot > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY sec) AS spoken FROM dense) r
-        JOIN (SELECT key FROM dense GROUP BY key HAVING sum(tot) / count(*) > 0.5) u ON r.key = u.key WHERE r.tot = 0 GROUP BY r.key, r.spoken""",
+    "silence_runs": """SELECT key, min(sec) AS first_sec, max(sec) AS last_sec, count(*) AS seconds, count(*) >= 30 AS silent
+        FROM (SELECT *, sec - row_number() OVER (PARTITION BY key ORDER BY sec) AS run FROM low_seconds) GROUP BY key, run""",
     "new_code": """SELECT c.key, c.code, c.window_start, c.n, l.lines, c.n >= 5 AND c.n >= 0.01 * l.lines AS is_new FROM (
         SELECT key, code, sec // 60 * 60 AS window_start, CAST(sum(n) AS BIGINT) AS n FROM code_seconds WHERE code NOT IN (SELECT code FROM codes) GROUP BY ALL) c
         JOIN (SELECT key, sec // 60 * 60 AS window_start, CAST(sum(tot) AS BIGINT) AS lines FROM per_second GROUP BY ALL) l ON c.key = l.key AND c.window_start = l.window_start""",
@@ -395,7 +441,7 @@ FINALS: dict[str, str] = {
         SELECT CAST(dayofweek(ts) * 24 + hour(ts) AS INTEGER) AS how, count(*) AS n, median(value) AS median FROM events GROUP BY 1) m
         JOIN (SELECT e.how, median(abs(e.value - q.median)) AS mad FROM (SELECT CAST(dayofweek(ts) * 24 + hour(ts) AS INTEGER) AS how, value FROM events) e
             JOIN (SELECT CAST(dayofweek(ts) * 24 + hour(ts) AS INTEGER) AS how, median(value) AS median FROM events GROUP BY 1) q ON e.how = q.how GROUP BY e.how) o ON m.how = o.how""",
-    "trace_fanout": "SELECT substr(trace, 1, 7) AS trace_group, count(*) AS lines, count(DISTINCT key) AS components, array_to_string(list_sort(list(DISTINCT key)), ',') AS keys FROM counted GROUP BY 1",
+    "trace_fanout": "SELECT trace AS trace_group, count(*) AS lines, count(DISTINCT key) AS components, array_to_string(list_sort(list(DISTINCT key)), ',') AS keys FROM counted GROUP BY 1",
     "ewma_static": f"""SELECT s.key, t.seconds, {_r6('sum(power(1 - 2.0 / 301, t.t1 - s.sec) * (2.0 / 301) * (s.err300 / greatest(s.tot300, 1)))')} AS ewma
         FROM sums s JOIN (SELECT key, max(sec) AS t1, count(*) AS seconds FROM sums GROUP BY key) t ON s.key = t.key GROUP BY s.key, t.seconds""",
     "ewma_adaptive": f"SELECT key, sec, {_r6('ewma')} AS ewma, {_r6('sigma')} AS sigma, open AS frozen, {_r6('z10')} AS z FROM learned",
@@ -436,10 +482,14 @@ FINALS: dict[str, str] = {
     "severity_hold": "SELECT key, sec, ['INFO', 'WARNING', 'HIGH', 'CRITICAL'][level + 1] AS severity, ['INFO', 'WARNING', 'HIGH', 'CRITICAL'][held + 1] AS held FROM held",
     "stream_alerts": f"SELECT key, sec AS opened_sec, tot10 AS total, err10 AS errors, {_r6(_z('err10', 'tot10', 'base'))} AS z FROM settled_states WHERE ready = 1 AND opened = 1",
     "stream_learned_alerts": f"SELECT key, rule, opened_sec, window_s, total, errors, {_r6('baseline')} AS baseline FROM streamed_openings",
-    "stream_incidents": """SELECT key, rule, min(opened_sec) AS opened_sec, max(opened_sec) AS last_sec, count(*) AS n FROM (
-        SELECT *, sum(fresh) OVER (PARTITION BY key, rule ORDER BY opened_sec) AS incident FROM (
-            SELECT *, CASE WHEN opened_sec - lag(opened_sec) OVER (PARTITION BY key, rule ORDER BY opened_sec) < 120 THEN 0 ELSE 1 END AS fresh FROM streamed_openings))
-        GROUP BY key, rule, incident HAVING max(opened_sec) + 120 <= (SELECT max(opened_sec) FROM streamed_openings)""",
+    "stream_incidents": "SELECT * FROM incident_life",
+    "stream_silence": f"""SELECT key, sec AS opened_sec, tot60 AS total, {_r6('usual')} AS usual FROM (
+        SELECT *, count(*) OVER (PARTITION BY key, run ORDER BY sec) AS low FROM (SELECT *, sec - row_number() OVER (PARTITION BY key ORDER BY sec) AS run FROM low_seconds))
+        WHERE low = 31 AND sec <= (SELECT max(sec) FROM per_second WHERE sec <= (SELECT max(sec) FROM counted) - 2)""",
+    "stream_clock_guard": """
+        SELECT 'ok' AS clock, key, sec, count(*) AS tot, count(*) FILTER (level_class BETWEEN 2 AND 3) AS err FROM clocked WHERE clock = 'ok' AND class NOT IN REJECTED_CLASSES
+            AND sec <= (SELECT max(sec) FROM clocked WHERE clock = 'ok' AND class NOT IN REJECTED_CLASSES) - 2 GROUP BY key, sec
+        UNION ALL SELECT clock, key, sec, count(*), count(*) FILTER (level_class BETWEEN 2 AND 3) FROM clocked WHERE clock <> 'ok' GROUP BY clock, key, sec""".replace("REJECTED_CLASSES", REJECTED),
     "future_lines": "SELECT event_id, sec FROM parsed WHERE sec > (SELECT (min(sec) + max(sec)) // 2 FROM parsed) + 60",
     "outbox_pending": f"SELECT idempotency_key, attempts, next_attempt_s FROM outbox WHERE status = 'pending' AND next_attempt_s <= {FIRST_SEC + 100_000} ORDER BY next_attempt_s, idempotency_key LIMIT 50",
     "outbox_stats": "SELECT s.status, count(o.status) AS n FROM (VALUES ('pending'), ('in_progress'), ('delivered'), ('failed')) s(status) LEFT JOIN outbox o ON o.status = s.status GROUP BY s.status",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,13 @@ from logquill.functions import stats as s
 from logquill.operators import baseline, counting, detectors, drift, faults, incidents, redaction, reporting, severity, windows
 from logquill.operators.parse import parse
 from logquill.sources import outbox
-from logquill.sources.loglines import EPOCH_MS, lines_from_events
-from logquill.sources.tables import written
+from logquill.sources import vocabulary as voc
+from logquill.sources.loglines import EPOCH_MS, lines_from_events, with_wrong_clocks
+from logquill.sources.tables import shared_folder, written
 from logquill.streaming import alerts as stream
-from logquill.streaming import monitor
-from logquill.streaming.per_second import drained, event_stream, per_second_stream
+from logquill.streaming import clock, lifecycle, monitor
+from logquill.streaming.per_second import drained, event_stream, per_second_stream, settled_counts
+from logquill.streaming.timed import stream_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FIRST_SEC = EPOCH_MS // 1000
@@ -149,7 +152,7 @@ def top_unknown_keys(spark, d):
 
 @query
 def adopt_candidates(spark, d):
-    return counting.adopt_candidates(parsed(spark, d), window_s=600, least=2)
+    return counting.adopt_candidates(parsed(spark, d))
 
 
 @query
@@ -344,7 +347,7 @@ def hour_of_week_baseline(spark, d):
 
 @query
 def trace_fanout(spark, d):
-    return counting.trace_fanout(parsed(spark, d), digits=7)  # every line of `events` has a trace of its own
+    return counting.trace_fanout(parsed(spark, d))
 
 
 @query
@@ -505,31 +508,54 @@ def streamed_counts(spark, d):
     return per_second_stream(lines_from_events(event_stream(spark, f"{d}/events.parquet")))
 
 
+def settled(spark, d):
+    """Settled counts as a stream, in a session for streams."""
+    own = stream_session(spark)
+    counts, path = drained(streamed_counts(own, d), "stream-counts")
+    return own.readStream.schema(counts.schema).parquet(path)
+
+
 @query
 def stream_per_second(spark, d):
-    return drained(streamed_counts(spark, d), "stream-counts")[0]
+    return drained(streamed_counts(stream_session(spark), d), "stream-counts")[0]
 
 
 @query
 def stream_alerts(spark, d):
-    counts, path = drained(streamed_counts(spark, d), "stream-counts")
-    settled = spark.readStream.schema(counts.schema).parquet(path)
-    return rounded(drained(stream.fast_alerts(settled), "stream-alerts")[0], "z")
+    return rounded(drained(stream.fast_alerts(settled(spark, d)), "stream-alerts")[0], "z")
 
 
 @query
 def stream_learned_alerts(spark, d):
-    counts, path = drained(streamed_counts(spark, d), "stream-counts")
-    settled = spark.readStream.schema(counts.schema).parquet(path)
-    return rounded(drained(stream.learned_alerts(settled), "stream-learned")[0], "baseline")
+    return rounded(drained(stream.learned_alerts(settled(spark, d)), "stream-learned")[0], "baseline")
+
+
+@query
+def stream_silence(spark, d):
+    return rounded(drained(stream.silence_alerts(settled(spark, d)), "stream-silence")[0], "usual")
+
+
+@query
+def stream_clock_guard(spark, d):
+    """Settled counts of lines with right clocks, and counts of those with wrong ones."""
+    own = stream_session(spark)
+    path = f"{shared_folder(own)}/logquill/stream-clocks-{uuid.uuid4().hex}"
+    clock.guard(with_wrong_clocks(lines_from_events(event_stream(own, f"{d}/events.parquet"))), path, f"{path}/checkpoint")
+    good, aside = clock.guarded(own, path)
+    counts = drained(settled_counts(good), "stream-counts")[0].select(F.lit("ok").alias("clock"), "key", "sec", "tot", "err")
+    return counts.unionByName(aside.groupBy("clock", "key", "sec").agg(F.count("*").alias("tot"), F.count_if(F.col("level_class").between(2, 3)).alias("err")))
 
 
 @query
 def stream_incidents(spark, d):
-    counts, path = drained(streamed_counts(spark, d), "stream-counts")
-    settled = spark.readStream.schema(counts.schema).parquet(path)
-    opened, path = drained(stream.learned_alerts(settled), "stream-learned")
-    return drained(stream.incident_windows(spark.readStream.schema(opened.schema).parquet(path)), "stream-incidents")[0]
+    """Incidents' lives over days: some events told as alerts of their components, a second each, and some as
+    acknowledgements."""
+    own = stream_session(spark)
+    k = F.get_json_object("props", "$.k").cast("int")
+    events = event_stream(own, f"{d}/events.parquet").select("event_type", k.alias("k"), F.pmod("user_id", F.lit(20)).cast("int").alias("idx"), (F.lit(FIRST_SEC) + F.col("event_id")).alias("sec"))
+    told = events.join(F.broadcast(voc.components(own).select("idx", "key")), "idx").withColumn("rule", F.when(F.col("k") < 3, "fast").otherwise("slow"))
+    life = lifecycle.incident_life(told.where("event_type = 'error' AND k < 30"), told.where("event_type = 'signup' AND k < 8"))
+    return drained(life, "stream-incidents")[0]
 
 
 @query

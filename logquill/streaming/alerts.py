@@ -1,50 +1,69 @@
-"""Streaming alerts: the fast rule on settled seconds, with state by component.
+"""Streaming alerts: rules on settled seconds, with state by component.
 
-The state is what the rule needs and no more: the last ten seconds' counts, whether the component had
-lines in the last 300, and the hysteresis counters. Seconds without lines count as zeros once a later
-second has settled."""
+Every second up to the watermark is judged for every component that has spoken in the last FORGET_S, lines or
+none, so an alert that falls due in a silence is told in it. The state is what a rule needs and no more: counts of
+its longest window, counters, and what the baseline's fold carries on. FORGET_S after its last line a component's
+state is gone and it starts anew."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import asdict
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logquill.functions.stats import FLOOR
 from logquill.operators import baseline
-from logquill.operators.incidents import IDLE_S
 from logquill.operators.detectors import K_FAST, MIN_DELTA, MIN_N, QUIET, Z_FAST
+from logquill.operators.drift import ADVANCED_BREACHES, ADVANCED_QUIET, SILENT_RATE, SILENT_S, WARMUP_S
 from logquill.sources import vocabulary as voc
+from logquill.streaming.timed import Fold, settled_fold
 
 OUTPUT = "key string, opened_sec long, total long, errors long, z double"
-WINDOW = 10
-
+LEARNED = "key string, rule string, opened_sec long, window_s int, total long, errors long, baseline double"
+SILENCE = "key string, opened_sec long, total long, usual double"
+WINDOW, LONGEST, FORGET_S = 10, 300, 900
+
+
+def each_second(start: Callable[[str], dict], step: Callable[[dict, str, int, int, int], tuple | None], forget_s: int = FORGET_S) -> Fold:
+    """A fold that hands every second from a key's first line to the last settled one to step."""
+
+    def fold(key: tuple, state: dict | None, due: list[tuple[int, tuple]], settled: int) -> tuple[list[tuple], dict | None, int | None]:
+        out, rows = [], iter([*due, (settled + 1, (0, 0))])
+        at, counts = next(rows)
+        sec = state["sec"] + 1 if state else at
+        while sec <= settled:
+            state = state or start(key[0]) | {"spoken": sec}
+            now = counts if sec == at else (0, 0)
+            if sec == at:
+                at, counts = next(rows)
+            if now[0]:
+                state["spoken"] = sec
+            elif sec - state["spoken"] >= forget_s:
+                state, sec = None, at  # to its next line, if there is one
+                continue
+            state["sec"] = sec
+            if found := step(state, key[0], sec, *now):
+                out.append((key[0], *found))
+            sec += 1
+        return out, state, settled + 1 if state else None
+
+    return fold
+
+
+def opens(state: dict, hit: bool, needed: int, quiet: int) -> bool:
+    """Moves the counters of a state on; whether an alert opens."""
+    state["run"], state["quiet"] = (state["run"] + 1, 0) if hit else (0, state["quiet"] + 1)
+    state["open"] = state["open"] and state["quiet"] <= quiet
+    if state["open"] or state["run"] < needed:
+        return False
+    state["open"] = True
+    return True
 
-def _start() -> dict:
-    return {"sec": None, "tot": [], "err": [], "spoken": None, "run": 0, "quiet": 0, "open": False}
 
-
-def advance(state: dict, sec: int, tot: int, err: int, base: float, least: int = MIN_N) -> tuple | None:
-    """Moves state to the next second; an opening as (second, lines, errors, z)."""
-    state["tot"], state["err"] = (state["tot"] + [tot])[-WINDOW:], (state["err"] + [err])[-WINDOW:]
-    state["sec"], state["spoken"] = sec, sec if tot else state["spoken"]
-    n, bad = sum(state["tot"]), sum(state["err"])
-    spread = n * base * (1 - base)
-    z = (bad - n * base) / spread**0.5 if spread >= 1e-9 else 64.0 * (bad > 0 and n > 0)
-    active = state["spoken"] is not None and sec - state["spoken"] < 300
-    hit = n >= least and z > Z_FAST and bad / max(n, 1) > base + MIN_DELTA and active
-    state["run"], state["quiet"] = (state["run"] + 1, 0) if hit else (0, state["quiet"] + 1)
-    if state["quiet"] > QUIET:
-        state["open"] = False
-    if not state["open"] and state["run"] >= K_FAST:
-        state["open"] = True
-        return sec, n, bad, z
-    return None
+def _judged(counts: DataFrame, keys: list[str], fold: Fold, schema: str) -> DataFrame:
+    return settled_fold(counts.where(F.col("key").isin(keys)), ("key",), ("sec",), ("tot", "err"), fold, schema)
 
 
 def fast_alerts(counts: DataFrame, vocabulary: voc.Vocabulary = voc.DEFAULT) -> DataFrame:
@@ -52,25 +71,14 @@ def fast_alerts(counts: DataFrame, vocabulary: voc.Vocabulary = voc.DEFAULT) ->
     least = {key: n for key, _, _, n in voc.THRESHOLDS}
     bases = {r[1]: max(r[6], FLOOR) for r in vocabulary.component_rows()}
 
-    def fold(key: tuple, chunks: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(group.get[0]) if group.exists else _start()
-        rows = sorted(r for chunk in chunks for r in zip(chunk["sec"].tolist(), chunk["tot"].tolist(), chunk["err"].tolist(), strict=True))
-        opened = []
-        for sec, tot, err in rows:
-            last = state["sec"]
-            gap = range(max(last + 1, sec - 400), sec) if last is not None else ()
-            for t, n, bad in (*((t, 0, 0) for t in gap), (sec, tot, err)):
-                if found := advance(state, t, n, bad, bases[key[0]], least.get(key[0], MIN_N)):
-                    opened.append((key[0], *found))
-        group.update((json.dumps(state),))
-        yield pd.DataFrame(opened, columns=["key", "opened_sec", "total", "errors", "z"])
-
-    keyed = counts.select("key", "sec", "tot", "err").where(F.col("key").isin(list(bases)))
-    return keyed.groupBy("key").applyInPandasWithState(fold, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
+    def step(state: dict, key: str, sec: int, tot: int, err: int) -> tuple | None:
+        state["ring"] = [*state["ring"], (tot, err)][-WINDOW:]
+        n, bad = (sum(c) for c in zip(*state["ring"], strict=True))
+        z, base = baseline._z(bad, n, bases[key]), bases[key]
+        hit = n >= least.get(key, MIN_N) and z > Z_FAST and bad / max(n, 1) > base + MIN_DELTA and sec - state["spoken"] < LONGEST
+        return (sec, n, bad, z) if opens(state, hit, K_FAST, QUIET) else None
 
-
-LEARNED = "key string, rule string, opened_sec long, window_s int, total long, errors long, baseline double"
-LONGEST = 300
+    return _judged(counts, list(bases), each_second(lambda key: {"ring": [], "run": 0, "quiet": 0, "open": False}, step), OUTPUT)
 
 
 def learned_alerts(counts: DataFrame, vocabulary: voc.Vocabulary = voc.DEFAULT) -> DataFrame:
@@ -81,42 +89,37 @@ def learned_alerts(counts: DataFrame, vocabulary: voc.Vocabulary = voc.DEFAULT)
     rates = {r[1]: r[6] for r in vocabulary.component_rows()}
     alpha = 2 / (baseline.SPAN_S + 1)
 
-    def second(state: dict, fold: baseline._Key, key: str, sec: int, tot: int, err: int) -> tuple | None:
+    def step(state: dict, key: str, sec: int, tot: int, err: int) -> tuple | None:
         rate, window, least = limits.get(key, voc.DEFAULT_THRESHOLD)
-        state["sec"], state["ring"] = sec, [*state["ring"], (tot, err)][-LONGEST:]
+        state["ring"] = [*state["ring"], (tot, err)][-LONGEST:]
         x = {"min_n": least, "limit_rate": rate, "least": limits[key][2] if key in limits else MIN_N}
         for w in (10, 30, 60, LONGEST):
             x[f"tot{w}"], x[f"err{w}"] = (sum(c) for c in zip(*state["ring"][-w:], strict=True))
         x["t_tot"], x["t_err"] = x[f"tot{window}"], x[f"err{window}"]
-        base, *_, rule, _, opened = baseline.step(fold, key, x, alpha)
+        carried = baseline._Key(**state["fold"])
+        base, *_, rule, _, opened = baseline.step(carried, key, x, alpha)
+        state["fold"] = asdict(carried)
         if not opened:
             return None
         size = {"fast": 10, "wilson": 30, "threshold": window}.get(rule, 60)
         return "threshold" if rule == "wilson" else rule, sec, size, x[f"tot{size}"], x[f"err{size}"], base
 
-    def fold(key: tuple, chunks: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(group.get[0]) if group.exists else {"sec": None, "ring": [], "fold": asdict(baseline._Key(rates[key[0]]))}
-        carried = baseline._Key(**state["fold"])
-        rows = sorted(r for chunk in chunks for r in zip(chunk["sec"].tolist(), chunk["tot"].tolist(), chunk["err"].tolist(), strict=True))
-        opened = []
-        for sec, tot, err in rows:
-            last = state["sec"]
-            # after 300 seconds without lines nothing but the quiet seconds' number changes
-            gap = range(max(last + 1, sec - LONGEST - 100), sec) if last is not None else ()
-            for t, n, bad in (*((t, 0, 0) for t in gap), (sec, tot, err)):
-                if found := second(state, carried, key[0], t, n, bad):
-                    opened.append((key[0], *found))
-        state["fold"] = asdict(carried)
-        group.update((json.dumps(state),))
-        yield pd.DataFrame(opened, columns=["key", "rule", "opened_sec", "window_s", "total", "errors", "baseline"])
+    return _judged(counts, list(rates), each_second(lambda key: {"ring": [], "fold": asdict(baseline._Key(rates[key]))}, step), LEARNED)
+
 
-    keyed = counts.select("key", "sec", "tot", "err").where(F.col("key").isin(list(rates)))
-    return keyed.groupBy("key").applyInPandasWithState(fold, LEARNED, "state string", "append", GroupStateTimeout.NoTimeout)
+def silence_alerts(counts: DataFrame, vocabulary: voc.Vocabulary = voc.DEFAULT) -> DataFrame:
+    """Openings of the silence rule from a stream of settled counts (key, sec, tot, err): a component that had more than
+    SILENT_RATE lines a second in its first minute (`usual`) has had less over the last one, for SILENT_S seconds."""
 
+    def step(state: dict, key: str, sec: int, tot: int, err: int) -> tuple | None:
+        state["ring"] = [*state["ring"], tot][-WARMUP_S:]
+        state["seen"] += 1
+        total = sum(state["ring"])
+        if state["seen"] == WARMUP_S:
+            state["usual"] = total / WARMUP_S
+        low = state["seen"] > WARMUP_S and state["usual"] > SILENT_RATE and total < SILENT_RATE * WARMUP_S
+        state["low"] = state["low"] + 1 if low else 0
+        return (sec, total, state["usual"]) if opens(state, state["low"] >= SILENT_S, ADVANCED_BREACHES, ADVANCED_QUIET) else None
 
-def incident_windows(alerts: DataFrame, idle: str = f"{IDLE_S} seconds") -> DataFrame:
-    """key, rule, opened_sec, last_sec, n of incidents that ended: sessions of a stream of alerts, told
-    once no alert has come for `idle`."""
-    timed = alerts.withColumn("at", F.timestamp_seconds("opened_sec")).withWatermark("at", "0 seconds")
-    rows = timed.groupBy(F.session_window("at", idle), "key", "rule").agg(F.min("opened_sec").alias("opened_sec"), F.max("opened_sec").alias("last_sec"), F.count("*").alias("n"))
-    return rows.drop("session_window")
+    start = {"ring": [], "seen": 0, "usual": 0.0, "low": 0, "run": 0, "quiet": 0, "open": False}
+    return _judged(counts, [r[1] for r in vocabulary.component_rows()], each_second(lambda key: dict(start), step), SILENCE)
