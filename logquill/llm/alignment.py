@@ -1,9 +1,9 @@
 """Alignment of two tokenizers over whole texts: a byte-level BPE (A) and a piece BPE (B).
 
 A text is cut before each space that follows a character that isn't white space: there tokens of both end,
-since a byte-level word never goes on over such a space and no piece has one inside. Each stretch is encoded by both
-libraries once per worker, and its two lists of token ends are intersected by galloping: the shorter
-list drives an exponential and then a binary search into the longer one. Common ends cut a stretch
+since a byte-level word never goes on over such a space and no piece has one inside. Stretches that a worker hasn't
+seen are encoded by both libraries, many at a time, and the two lists of token ends are intersected by galloping: the
+shorter list drives an exponential and then a binary search into the longer one, for all its ends at once. Common ends cut the tokens
 into groups, and differences of ranks give the tokens of each side in a group. A document's figures are
 those of its stretches, from a bounded memo.
 
@@ -18,6 +18,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from logquill.llm.common import slices, stored
 from logquill.llm.token_ids import sound
 
-#: Stretches that the memo holds at most between batches, the longest that it keeps, and stretches encoded at a time.
-MEMO, LONGEST, AT_A_TIME = 300_000, 64, 20_000
+#: Stretches and linked pairs that the memo holds at most between batches, stretches encoded at a time, characters of texts at a time.
+MEMO, HELD, AT_A_TIME, CHARACTERS = 400_000, 8_000_000, 20_000, 1 << 20
 #: Different pairs of documents that a chunk holds (about; one document may have more), and its documents at most.
 CHUNK_PAIRS, CHUNK_DOCS = 1 << 18, 1 << 13
 #: An id pair is one number: A's id times this, plus B's.
@@ -39,43 +40,66 @@ _CUT = re.compile(r" (?<=\S )(?=.)", re.S).split
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
-def gallop(keys: list[int], within: list[int]) -> list[tuple[int, int]]:
-    """(i, j) of all keys[i] == within[j], both ascending: from where the last search ended, steps double
-    until they pass the key, and the last step is halved."""
-    out, low, n = [], 0, len(within)
-    for i, key in enumerate(keys):
-        step, high = 1, low
-        while high < n and within[high] < key:
-            low, high, step = high + 1, high + step, step * 2
-        high = min(high, n)
-        while low < high:
-            middle = (low + high) // 2
-            low, high = (middle + 1, high) if within[middle] < key else (low, middle)
-        if low == n:
-            break
-        if within[low] == key:
-            out.append((i, low))
-    return out
-
-
-def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """(rank in a, rank in b) of the ends that both have; the shorter list drives."""
-    if len(a) <= len(b):
-        return gallop(a, b)
-    return [(i, j) for j, i in gallop(b, a)]
-
-
-def overlaps(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Groups as (first of a, end of a, first of b, end of b): ranges of tokens that cover the same bytes."""
-    out, last = [], (0, 0)
-    for i, j in common_ends(a, b):
-        out.append((last[0], i + 1, last[1], j + 1))
-        last = (i + 1, j + 1)
-    return out
+def gallop(keys: np.ndarray, within: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The first place of within that is not less than each key; both ascend and no place is before start. Steps from start
+    double until they pass the key, and the last step is halved."""
+    low, high, n = start.copy(), start.copy(), len(within)
+    active, step = np.arange(len(keys)), 1
+    while len(active := active[high[active] < n]) and len(active := active[within[high[active]] < keys[active]]):
+        low[active] = high[active] + 1
+        high[active] += step
+        step *= 2
+    high = np.minimum(high, n)
+    active = np.flatnonzero(low < high)
+    while len(active):
+        middle = (low[active] + high[active]) // 2
+        less = within[middle] < keys[active]
+        low[active[less]] = middle[less] + 1
+        high[active[~less]] = middle[~less]
+        active = active[low[active] < high[active]]
+    return low
+
+
+def common_ends(a: np.ndarray, b: np.ndarray, a_starts: np.ndarray | None = None, b_starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks in a and in b of the ends that both have; the shorter list drives. Starts: for each end, a rank in the other
+    list before which its equal can't be."""
+    if len(a) > len(b):
+        return common_ends(b, a, b_starts, a_starts)[::-1]
+    if not len(b):
+        return np.array([], np.int64), np.array([], np.int64)
+    at = gallop(a, b, np.zeros(len(a), np.int64) if a_starts is None else a_starts)
+    found = np.flatnonzero((at < len(b)) & (b[np.minimum(at, len(b) - 1)] == a))
+    return found, at[found]
+
+
+class _Memo(dict):
+    """Numbers of stretches; one that isn't held is given the next number and noted in todo."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.todo: list[str] = []
+
+    def __missing__(self, stretch: str) -> int:
+        self.todo.append(stretch)
+        self[stretch] = at = len(self)
+        return at
+
+
+class _Rows:
+    """A numpy array that grows."""
+
+    def __init__(self, *shape: int) -> None:
+        self.held, self.n = np.zeros((1024, *shape), np.int64), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.n + len(rows) > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros((max(len(rows), self.n), *self.held.shape[1:]), np.int64)])
+        self.held[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
 
 
 class Aligner:
-    """What stretches of texts give: token and group counts, how groups read, linked pairs."""
+    """What texts and their stretches give: token and group counts, how groups read, linked pairs."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,74 +115,107 @@ class Aligner:
         # tokens of B never go on over a space
         if any(re.search("[^▁]▁", x) for x in pieces):
             raise ValueError("a piece with a space inside")
-        self.b_bytes = [bytes([int(m[1], 16)]) if self.b.is_byte(i) and (m := _BYTE.fullmatch(x)) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
+        b_bytes = [bytes([int(m[1], 16)]) if self.b.is_byte(i) and (m := _BYTE.fullmatch(x)) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
         # the byte that each character of an entry stands for: printable ones for themselves, the others in order from 256
         alphabet = pre_tokenizers.ByteLevel.alphabet()
         own = [b for b in range(256) if chr(b) in alphabet]
         byte_of = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(own))}
         specials = {t.content for t in self.a.get_added_tokens_decoder().values()}
-        self.a_bytes = {i: x.encode() if x in specials else bytes(map(byte_of.__getitem__, x)) for x, i in self.a.get_vocab().items()}
+        vocabulary = {i: x for x, i in self.a.get_vocab().items()}
+        a_bytes = [b"" if (x := vocabulary.get(i)) is None else x.encode() if x in specials else bytes(map(byte_of.__getitem__, x)) for i in range(max(vocabulary) + 1)]
+        self.bytes = a_bytes, b_bytes
+        self.lengths = tuple(np.array([len(x) for x in own], np.int64) for own in self.bytes)
+        # an id as text with what may follow it: within a side, between sides, between groups, at a stretch's end
+        self.ids = max(map(len, self.bytes))
+        self.told = [f"{i}{x}" for x in ",|;\n" for i in range(self.ids)]
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = _Memo()
         self.groups: list[bytes | None] = []  # None: the stretch isn't what its tokens say
-        self.numbers: list[tuple[int, int, int]] = []  # tokens of A, tokens of B, groups
-        self.pairs: list[np.ndarray] = []  # linked pairs, with repetitions
-
-    def _learn(self, stretches: list[str]) -> None:
-        for start in range(0, len(stretches), AT_A_TIME):
-            some = stretches[start : start + AT_A_TIME]
-            found = self.a.encode_batch_fast([" " + x for x in some], add_special_tokens=False)
-            for x, a, b in zip(some, found, self.b.encode(some, num_threads=1), strict=True):
-                self._add(x, a.ids, b)
-
-    def _add(self, stretch: str, a: list[int], b: list[int]) -> None:
-        own = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        whole = (" " + stretch).encode()
-        self.at[stretch] = len(self.groups)
-        if b"".join(own[0]) != whole or b"".join(own[1]) != whole:
-            a, b, groups = [], [], []
-            self.groups.append(None)
-        else:
-            ends = (np.cumsum([len(t) for t in tokens]).tolist() for tokens in own)
-            groups = overlaps(*ends)
-            self.groups.append(";".join(f"{','.join(map(str, a[p:q]))}|{','.join(map(str, b[r:s]))}" for p, q, r, s in groups).encode())
-        self.numbers.append((len(a), len(b), len(groups)))
-        self.pairs.append(np.array([a[q - 1] * BASE + b[s - 1] for _, q, _, s in groups], np.int64))
-
-    def align(self, text: str | None) -> tuple[int, int, int, bytes, np.ndarray, np.ndarray]:
-        """Of a text: tokens of A and B, groups and how they read, different linked pairs and how often each is linked."""
-        none = (0, 0, 0, b"", np.array([], np.int64), np.array([], np.int64))
-        if not text:
-            return none
-        stretches = _CUT(sound(text))
-        if len(self.groups) > MEMO:
+        self.numbers = _Rows(4)  # tokens of A, tokens of B, groups, where its pairs begin
+        self.pairs = _Rows()  # linked pairs, with repetitions
+
+    def _learn(self) -> None:
+        """Aligns the stretches that are noted as new."""
+        todo, self.at.todo = self.at.todo, []
+        for start in range(0, len(todo), AT_A_TIME):
+            some = todo[start : start + AT_A_TIME]
+            a = [x.ids for x in self.a.encode_batch_fast([" " + x for x in some], add_special_tokens=False)]
+            self._add([(" " + x).encode() for x in some], a, self.b.encode(some, num_threads=1))
+
+    def _add(self, stretches: list[bytes], *sides: list[list[int]]) -> None:
+        n, whole, wrong = len(stretches), b"".join(stretches), np.zeros(len(stretches), bool)
+        sizes = np.fromiter(map(len, stretches), np.int64, n)
+        ids = [np.fromiter(chain.from_iterable(x), np.int64) for x in sides]
+        counts = [np.fromiter(map(len, x), np.int64, n) for x in sides]
+        for k in (0, 1):
+            ends = np.cumsum(np.concatenate([[0], self.lengths[k][ids[k]]]))[np.cumsum(np.concatenate([[0], counts[k]]))]
+            said = b"".join(map(self.bytes[k].__getitem__, ids[k].tolist()))
+            if said != whole or np.any(np.diff(ends) != sizes):
+                wrong |= np.array([said[p:q] != x for p, q, x in zip(ends.tolist(), ends[1:].tolist(), stretches, strict=False)], bool)
+        if wrong.any():
+            for k in (0, 1):
+                ids[k] = ids[k][np.repeat(~wrong, counts[k])]
+                counts[k] = np.where(wrong, 0, counts[k])
+        of = [np.repeat(np.arange(n), c) for c in counts]
+        first = [np.cumsum(c) - c for c in counts]
+        ends = [np.cumsum(self.lengths[k][ids[k]]) for k in (0, 1)]
+        i, j = common_ends(*ends, first[1][of[0]], first[0][of[1]])
+        # ranks where groups end, and of each token its group, place among all tokens told, and what follows it
+        stretch = of[0][i]
+        last = np.append(stretch[1:] != stretch[:-1], True)[: len(i)]
+        told = np.zeros(len(ids[0]) + len(ids[1]), np.int64)
+        for k, (own, other, after) in enumerate(((i, np.append(-1, j[:-1]), np.full(len(i), 1)), (j, i, np.where(last, 3, 2)))):
+            group = np.repeat(np.arange(len(own)), np.diff(own, prepend=-1))
+            follows = np.zeros(len(ids[k]), np.int64)
+            follows[own] = after
+            told[np.arange(len(ids[k])) + other[group] + 1] = ids[k] + self.ids * follows
+        texts = iter("".join(map(self.told.__getitem__, told.tolist())).encode().split(b"\n"))
+        n_groups = np.bincount(stretch, minlength=n)
+        self.groups.extend(None if bad else next(texts) if m else b"" for bad, m in zip(wrong.tolist(), n_groups.tolist(), strict=True))
+        self.numbers.add(np.stack([*counts, n_groups, self.pairs.n + np.cumsum(n_groups) - n_groups], 1))
+        self.pairs.add(ids[0][i] * BASE + ids[1][j])
+
+    def align(self, texts: list[str]) -> list[tuple[int, int, int, bytes, np.ndarray, np.ndarray]]:
+        """Of each text: tokens of A and B, groups and how they read, different linked pairs and how often each is linked."""
+        out, start = [], 0
+        while start < len(texts):
+            end, size = start + 1, len(texts[start])
+            while end < len(texts) and size + len(texts[end]) <= CHARACTERS:
+                size, end = size + len(texts[end]), end + 1
+            out += self._align(texts[start:end])
+            start = end
+        return out
+
+    def _align(self, texts: list[str]) -> list[tuple[int, int, int, bytes, np.ndarray, np.ndarray]]:
+        if len(self.at) > MEMO or self.pairs.n > HELD:
             self._clear()
-        new = sorted({x for x in stretches if x not in self.at}, key=lambda x: len(x) > LONGEST)
-        self._learn(new)
-        places = list(map(self.at.__getitem__, stretches))
-        different, times = np.unique(np.array(places), return_counts=True)
-        try:
-            told = b";".join(map(self.groups.__getitem__, places))
-        except TypeError:  # the tokens of a stretch say something else
-            return none
-        else:
-            numbers = times @ np.array([self.numbers[k] for k in different], np.int64)
-            own = [self.pairs[k] for k in different]
-            pairs, where = np.unique(np.concatenate(own), return_inverse=True)
-            linked = np.bincount(where, np.repeat(times, [len(x) for x in own]), len(pairs)).astype(np.int64)
-            return (*numbers.tolist(), told, pairs, linked)
-        finally:
-            self._forget([x for x in new if len(x) > LONGEST])
-
-    def _forget(self, last: list[str]) -> None:
-        """Drops the stretches that were learned last."""
-        if last:
-            for x in last:
-                del self.at[x]
-            for held in (self.groups, self.numbers, self.pairs):
-                del held[-len(last) :]
+        number = self.at.__getitem__
+        places = [list(map(number, _CUT(sound(x)))) if x else [] for x in texts]
+        self._learn()
+        sizes = np.array([len(x) for x in places], np.int64)
+        every = np.fromiter(chain.from_iterable(places), np.int64, int(sizes.sum()))
+        own = self.numbers.held[every]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(own[:, :3], axis=0)])
+        numbers = (sums[ends[1:]] - sums[ends[:-1]]).tolist()
+        # of all stretches' pairs those of each text, and how often
+        times = own[:, 2]
+        pairs = self.pairs.held[np.repeat(own[:, 3] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        text = np.repeat(np.repeat(np.arange(len(texts)), sizes), times)
+        found, linked = np.unique((text << 40) + pairs, return_counts=True)
+        cuts = np.searchsorted(found, np.arange(len(texts) + 1) << 40)
+        found &= (1 << 40) - 1
+        none = (0, 0, 0, b"", found[:0], linked[:0])
+        out = []
+        for k, at in enumerate(places):
+            groups = list(map(self.groups.__getitem__, at))
+            if not at or None in groups:
+                out.append(none)  # no text, or tokens that say something else
+            else:
+                out.append((*numbers[k], b";".join(groups), found[cuts[k] : cuts[k + 1]], linked[cuts[k] : cuts[k + 1]]))
+        return out
 
 
 @functools.cache
@@ -181,13 +238,11 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, with_groups: bool = False
         chunk, held, rows = TaskContext.get().partitionId() << 32, 0, 0
         tell = aligner(a_path, b_path).align
         for batch in slices(batches):
-            found, chunks = [], []
-            for text in batch["text"]:
-                one = tell(text.as_py())
+            found, chunks = tell([x or "" for x in batch["text"].to_pylist()]), []
+            for one in found:
                 if rows and (held + len(one[4]) > CHUNK_PAIRS or rows == CHUNK_DOCS):
                     chunk, held, rows = chunk + 1, 0, 0
                 held, rows = held + len(one[4]), rows + 1
-                found.append(one)
                 chunks.append(chunk)
             ends = pa.array(np.cumsum([0, *(len(x[4]) for x in found)]), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in found]), pa.int64())) for k in (4, 5)]
