@@ -468,9 +468,15 @@ def near_duplicates(docs: DataFrame, with_text_key: bool = False) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one document of each component, all columns as they were."""
-    kept = near_duplicates(docs, with_text_key=True).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    """The rows of docs that stay: one document of each component, all columns as they were. Of rows with the same doc_id and
+    text one stays, whichever."""
+    kept = near_duplicates(docs, with_text_key=True).where("kept").groupBy(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).agg(F.count("*").alias("n"))
+    kept = stored(kept, "kept")
     own = free_name(docs, "text_key")
     keyed = docs.withColumn(own, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     same = keyed["doc_id"].eqNullSafe(kept["kept_id"]) & (keyed[own] == kept["kept_key"])
-    return keyed.join(kept, same, "left_semi").select(*docs.columns)
+    of = lambda rows: keyed.join(rows, same, "left_semi")
+    once, again = of(kept.where("n = 1")), kept.where("n > 1")
+    # only rows that repeat are brought together
+    out = once if again.isEmpty() else once.union(of(again).dropDuplicates(["doc_id", own]))
+    return out.select(*docs.columns)

@@ -88,6 +88,7 @@ def test_stages(spark, sf, stages):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     kept = {r["doc_id"] for r in good.collect()}
     assert sum(k in kept for k, q in labels.items() if q) >= 0.95 * sum(labels.values())
+    assert sum(k in kept for k, q in labels.items() if not q) <= 0.05 * sum(not q for q in labels.values())  # junk goes
     want = {k for k, (_, c) in brute_components({r["doc_id"]: r["text"] for r in good.collect()}).items() if k == c}
     assert {r["doc_id"] for r in unique.collect()} == want
     assert clean.count() == unique.count()
