@@ -48,6 +48,13 @@ REJECTED = "('oversized_line', 'malformed_header', 'bad_timestamp', 'bad_level',
 _SCHEDULE = [(i, kind, key, float(t), float(ramp), FIRST_SEC + 10 + i * 15, FIRST_SEC + 10 + i * 15 + int(ramp + hold)) for i, (_, kind, key, t, ramp, hold) in enumerate(voc.SCENARIOS)]
 _LIMIT, _WINDOW, _LEAST = voc.DEFAULT_THRESHOLD
 
+#: Of alerts (key, rule, opened_sec): each with the first alert of those that belong together.
+_GROUPS = """
+        WITH RECURSIVE n AS (SELECT *, lpad(CAST(opened_sec AS VARCHAR), 12, '0') || '|' || key || '|' || rule AS id FROM {0}),
+        near AS (SELECT x.id AS a, y.id AS b FROM n x JOIN near_keys k ON k.key = x.key JOIN n y ON y.key = k.near AND abs(x.opened_sec - y.opened_sec) <= 120),
+        reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a)
+        SELECT n.key, n.opened_sec, n.id, (SELECT min(b) FROM reach WHERE a = n.id) AS root FROM n"""
+
 #: name: (names it needs, SQL)
 CTES: dict[str, tuple[str, str]] = {
     "components(idx, key, service, component, criticality, rps, err, warn, p50_ms)": ("", _values(voc.DEFAULT.component_rows())),
@@ -70,7 +77,8 @@ CTES: dict[str, tuple[str, str]] = {
             SELECT e.event_id, CAST({EPOCH_MS} + e.event_id * 20 AS VARCHAR) || '|' || e.level || '|' || CASE WHEN e.newcomer THEN '{ll.UNKNOWN}' ELSE c.service || '|' || c.component END || '|'
                 || CASE WHEN e.unlisted THEN '{ll.UNLISTED}' ELSE coalesce(k.code, '00000') END || '|'
                 || lpad(CAST(CAST(floor(e.value * 10) AS BIGINT) * CASE WHEN e.slow THEN {ll.SLOWER} ELSE 1 END AS VARCHAR), 6, '0') || '|'
-                || lower(lpad(hex(e.event_id // {ll.TRACED}), 8, '0')) || '|' || replace(coalesce(k.template, 'ok event={{n}}'), '{{n}}', CAST(e.event_id AS VARCHAR)) AS line
+                || lower(lpad(hex(e.event_id // {ll.TRACED}), 8, '0')) || '|' || CASE WHEN e.event_id % 499 = 7 THEN 'DEPLOY release=R-' || e.event_id
+                    ELSE replace(coalesce(k.template, 'ok event={{n}}'), '{{n}}', CAST(e.event_id AS VARCHAR)) END AS line
             FROM (
                 SELECT *, {_during(ll.NEWCOMER)} AND k < 60 AS newcomer, {_during(ll.NEW_CODE)} AND k < 50 AS unlisted, {_during(ll.SLOW)} AS slow, CASE
                     WHEN {_during(ll.BURST)} AND event_type = 'view' AND k < 60 THEN 'E'
@@ -253,6 +261,23 @@ CTES: dict[str, tuple[str, str]] = {
         SELECT c.key, CASE WHEN e.k < 3 THEN 'fast' ELSE 'slow' END AS rule, {FIRST_SEC} + e.event_id AS sec, e.event_type
         FROM (SELECT event_id, event_type, user_id % 20 AS idx, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) e JOIN components c ON c.idx = e.idx
         WHERE event_type = 'error' AND k < 30 OR event_type = 'signup' AND k < 8"""),
+    "told_openings": ("told_alerts", "SELECT DISTINCT key, rule, sec AS opened_sec FROM told_alerts WHERE event_type = 'error'"),
+    "near_keys": ("components edges", "SELECT key, key AS near FROM components UNION SELECT src, dst FROM edges UNION SELECT dst, src FROM edges"),
+    "told_groups": ("told_openings near_keys", _GROUPS.format("told_openings")),
+    "alert_groups": ("alerts near_keys", _GROUPS.format("(SELECT DISTINCT key, rule, opened_sec FROM alerts)")),
+    "told_faults": ("components", f"""
+        SELECT e.event_id AS fault, c.key, {FIRST_SEC} + e.event_id AS start_sec, {FIRST_SEC} + e.event_id + 120 + e.event_id % 7 * 60 AS end_sec
+        FROM (SELECT event_id, event_type, user_id % 20 AS idx, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) e JOIN components c ON c.idx = e.idx WHERE event_type = 'purchase' AND k < 4"""),
+    "told_order": ("told_openings", "SELECT key, opened_sec, row_number() OVER (PARTITION BY key ORDER BY opened_sec, rule) AS i FROM told_openings"),
+    "told_pairs": ("told_order told_faults", """
+        WITH RECURSIVE walk AS (
+            SELECT key, 0::BIGINT AS i, 0::BIGINT AS opened_sec, []::BIGINT[] AS used, NULL::BIGINT AS fault FROM (SELECT DISTINCT key FROM told_order)
+            UNION ALL
+            SELECT key, i, opened_sec, CASE WHEN fault IS NULL THEN used ELSE list_append(used, fault) END, fault FROM (
+                SELECT w.key, o.i, o.opened_sec, w.used, min({'d': f.end_sec + 60, 'fault': f.fault}).fault AS fault
+                FROM walk w JOIN told_order o ON o.key = w.key AND o.i = w.i + 1
+                LEFT JOIN told_faults f ON f.key = w.key AND o.opened_sec BETWEEN f.start_sec AND f.end_sec + 60 AND NOT list_contains(w.used, f.fault) GROUP BY w.key, o.i, o.opened_sec, w.used)
+        ) SELECT w.key, w.fault, f.start_sec, w.opened_sec FROM walk w JOIN told_faults f ON f.fault = w.fault"""),
     "life_steps": ("told_alerts", """
         SELECT key, rule, sec, n, alert, row_number() OVER (PARTITION BY key, rule ORDER BY sec, alert) AS i FROM (
             SELECT key, rule, sec, event_type = 'error' AS alert, count(*) AS n FROM told_alerts GROUP BY ALL)"""),
@@ -490,6 +515,26 @@ FINALS: dict[str, str] = {
         SELECT 'ok' AS clock, key, sec, count(*) AS tot, count(*) FILTER (level_class BETWEEN 2 AND 3) AS err FROM clocked WHERE clock = 'ok' AND class NOT IN REJECTED_CLASSES
             AND sec <= (SELECT max(sec) FROM clocked WHERE clock = 'ok' AND class NOT IN REJECTED_CLASSES) - 2 GROUP BY key, sec
         UNION ALL SELECT clock, key, sec, count(*), count(*) FILTER (level_class BETWEEN 2 AND 3) FROM clocked WHERE clock <> 'ok' GROUP BY clock, key, sec""".replace("REJECTED_CLASSES", REJECTED),
+    "merged_incidents": "SELECT arg_min(key, id) AS origin, min(opened_sec) AS opened_sec, max(opened_sec) AS last_sec, count(*) AS n, array_to_string(list_sort(list(DISTINCT key)), ',') AS keys FROM told_groups GROUP BY root",
+    "incident_deploy": """SELECT * FROM (
+        WITH g AS (SELECT root, arg_min(key, id) AS origin, min(opened_sec) AS opened_sec, max(opened_sec) AS last_sec, count(*) AS n, list_sort(list(DISTINCT key)) AS ks FROM alert_groups GROUP BY root),
+        d AS (SELECT key, sec, regexp_extract(substr(value, 47), 'release=([^ ]+)', 1) AS release FROM parsed WHERE sec IS NOT NULL AND starts_with(substr(value, 47), 'DEPLOY '))
+        SELECT origin, opened_sec, last_sec, n, array_to_string(ks, ',') AS keys, f.release AS deploy, f.sec AS deploy_sec
+        FROM (SELECT g.*, (SELECT max({'sec': d.sec, 'release': d.release}) FROM d WHERE list_contains(g.ks, d.key) AND d.sec <= g.opened_sec AND d.sec >= g.opened_sec - 600) AS f FROM g))""",
+    "truth_pairs": "SELECT * FROM told_pairs",
+    "truth_scores": f"""SELECT * FROM (
+        WITH a AS (SELECT o.key, EXISTS (SELECT 1 FROM told_faults f WHERE f.key = o.key AND o.opened_sec BETWEEN f.start_sec AND f.end_sec + 60) AS inside FROM told_openings o),
+        k AS (SELECT key FROM a UNION SELECT key FROM told_faults UNION SELECT 'ALL'),
+        t AS (SELECT k.key, (SELECT count(*) FROM told_faults f WHERE k.key IN (f.key, 'ALL')) AS faults, (SELECT count(*) FROM a WHERE k.key IN (a.key, 'ALL')) AS alerts,
+            (SELECT count(*) FROM told_pairs p WHERE k.key IN (p.key, 'ALL')) AS matched, (SELECT count(*) FROM a WHERE inside AND k.key IN (a.key, 'ALL')) AS in_faults,
+            (SELECT quantile_cont(opened_sec - start_sec, 0.5) FROM told_pairs p WHERE k.key IN (p.key, 'ALL')) AS m, (SELECT quantile_cont(opened_sec - start_sec, 0.95) FROM told_pairs p WHERE k.key IN (p.key, 'ALL')) AS q FROM k)
+        SELECT key, faults, alerts, matched, in_faults, alerts - in_faults AS false_alerts, CASE WHEN matched + alerts - in_faults > 0 THEN {_r6('matched / (matched + alerts - in_faults)')} END AS precision,
+            CASE WHEN faults > 0 THEN {_r6('matched / faults')} END AS recall, CASE WHEN matched + alerts - in_faults + faults > 0 THEN {_r6('2 * matched / (matched + alerts - in_faults + faults)')} END AS f1,
+            {_r6('(alerts - in_faults) / ((SELECT count(*) FROM events) / 3600)')} AS false_per_hour, CASE WHEN matched > 0 THEN {_r6('in_faults / matched')} END AS alerts_per_incident, {_r6('m')} AS delay_median, {_r6('q')} AS delay_p95 FROM t)""",
+    "outbox_after_replay": f"""
+        SELECT sha2_key AS idempotency_key, CASE WHEN opened_sec % 4 = 0 THEN 'delivered' ELSE 'pending' END AS status, CASE WHEN opened_sec % 4 < 2 THEN 1 ELSE 0 END AS attempts, opened_sec AS created_s
+        FROM (SELECT *, sha256(key || '|' || rule || '|' || opened_sec) AS sha2_key FROM told_openings)
+        WHERE NOT (opened_sec % 4 = 0 AND opened_sec < {FIRST_SEC} + 1000)""",
     "future_lines": "SELECT event_id, sec FROM parsed WHERE sec > (SELECT (min(sec) + max(sec)) // 2 FROM parsed) + 60",
     "outbox_pending": f"SELECT idempotency_key, attempts, next_attempt_s FROM outbox WHERE status = 'pending' AND next_attempt_s <= {FIRST_SEC + 100_000} ORDER BY next_attempt_s, idempotency_key LIMIT 50",
     "outbox_stats": "SELECT s.status, count(o.status) AS n FROM (VALUES ('pending'), ('in_progress'), ('delivered'), ('failed')) s(status) LEFT JOIN outbox o ON o.status = s.status GROUP BY s.status",

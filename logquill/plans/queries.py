@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquill.functions import stats as s
-from logquill.operators import baseline, counting, detectors, drift, faults, incidents, redaction, reporting, severity, windows
+from logquill.operators import baseline, counting, detectors, drift, faults, incidents, merged, redaction, reporting, severity, truth, windows
 from logquill.operators.parse import parse
 from logquill.sources import outbox
 from logquill.sources import vocabulary as voc
@@ -546,18 +546,70 @@ def stream_clock_guard(spark, d):
     return counts.unionByName(aside.groupBy("clock", "key", "sec").agg(F.count("*").alias("tot"), F.count_if(F.col("level_class").between(2, 3)).alias("err")))
 
 
+def told(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """Events of components over days, a second each, with k and rule: some are told as alerts, acknowledgements or faults."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = events.select("event_id", "event_type", k.alias("k"), F.pmod("user_id", F.lit(20)).cast("int").alias("idx"), (F.lit(FIRST_SEC) + F.col("event_id")).alias("sec"))
+    return rows.join(F.broadcast(voc.components(spark).select("idx", "key")), "idx").withColumn("rule", F.when(F.col("k") < 3, "fast").otherwise("slow"))
+
+
+def told_alerts(spark, d):
+    rows = told(spark, table(spark, d, "events")).where("event_type = 'error' AND k < 30")
+    return rows.select("key", "rule", F.col("sec").alias("opened_sec")).distinct()
+
+
+def told_faults(spark, d):
+    rows = told(spark, table(spark, d, "events")).where("event_type = 'purchase' AND k < 4")
+    return rows.select("key", F.col("event_id").alias("fault"), F.col("sec").alias("start_sec"), (F.col("sec") + 120 + F.col("event_id") % 7 * 60).alias("end_sec"))
+
+
 @query
 def stream_incidents(spark, d):
-    """Incidents' lives over days: some events told as alerts of their components, a second each, and some as
-    acknowledgements."""
+    """Incidents' lives, from a stream of alerts and acknowledgements."""
     own = stream_session(spark)
-    k = F.get_json_object("props", "$.k").cast("int")
-    events = event_stream(own, f"{d}/events.parquet").select("event_type", k.alias("k"), F.pmod("user_id", F.lit(20)).cast("int").alias("idx"), (F.lit(FIRST_SEC) + F.col("event_id")).alias("sec"))
-    told = events.join(F.broadcast(voc.components(own).select("idx", "key")), "idx").withColumn("rule", F.when(F.col("k") < 3, "fast").otherwise("slow"))
-    life = lifecycle.incident_life(told.where("event_type = 'error' AND k < 30"), told.where("event_type = 'signup' AND k < 8"))
+    rows = told(own, event_stream(own, f"{d}/events.parquet"))
+    life = lifecycle.incident_life(rows.where("event_type = 'error' AND k < 30"), rows.where("event_type = 'signup' AND k < 8"))
     return drained(life, "stream-incidents")[0]
 
 
+@query
+def merged_incidents(spark, d):
+    none = spark.createDataFrame([], "key string, sec long, release string")
+    return merged.merged_incidents(told_alerts(spark, d), none).drop("deploy", "deploy_sec")
+
+
+@query
+def incident_deploy(spark, d):
+    return merged.merged_incidents(alerts(spark, d), merged.deploy_lines(parsed(spark, d)))
+
+
+@query
+def truth_pairs(spark, d):
+    return truth.matched(told_alerts(spark, d), told_faults(spark, d))
+
+
+@query
+def truth_scores(spark, d):
+    hours = table(spark, d, "events").count() / 3600
+    return truth.scores(told_alerts(spark, d), told_faults(spark, d), hours)
+
+
+@query
+def outbox_after_replay(spark, d):
+    """An outbox filled by a stream of which every batch comes twice, after one round of deliveries and cleaning."""
+    own = stream_session(spark)
+    rows = written(told_alerts(spark, d).repartition(3, "opened_sec"), "outbox-alerts")
+    path = f"{shared_folder(own)}/logquill/outbox-{uuid.uuid4().hex}"
+    record = outbox.record_batches(path)
+    stream = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(rows.inputFiles()[0].rpartition("/")[0])
+    again = lambda batch, n: (record(batch, n), record(batch, n))
+    stream.writeStream.foreachBatch(again).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    every = outbox.add(outbox.stored_entries(spark, path).drop("batch"), outbox.entries(rows))  # none of them is new
+    results = every.where("created_s % 4 < 2").select("idempotency_key", (F.col("created_s") % 4 == 0).alias("ok"))
+    settled = outbox.settle(every, results, FIRST_SEC + 1000)
+    return outbox.clean(settled, FIRST_SEC + 1000 + outbox.KEEP_DAYS * 86400).select("idempotency_key", "status", "attempts", "created_s")
+
+
 @query
 def future_lines(spark, d):
     """Lines of which the clock was ahead, if the log had been read when half of its time was over."""

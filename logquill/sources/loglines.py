@@ -61,7 +61,7 @@ def format_line(ts_ms: Column, level: Column, service: Column, component: Column
 
 def lines_from_events(events: DataFrame) -> DataFrame:
     """event_id and value: the events table told as a log, 50 lines a second, with a fault window, what else
-    happens by component and time, and some broken lines (by event_id modulo 997)."""
+    happens by component and time, deploys (by event_id modulo 499) and some broken lines (modulo 997)."""
     spark = events.sparkSession
     components = voc.components(spark).select("idx", "service", "component", "key")
     codes = voc.codes(spark).select("key", F.col("level").alias("code_level"), "place", "places", "code", "template")
@@ -75,6 +75,7 @@ def lines_from_events(events: DataFrame) -> DataFrame:
     placed = base.join(F.broadcast(components), "idx").withColumn("level", level)
     drawn = placed.join(F.broadcast(codes), (placed["key"] == codes["key"]) & (placed["level"] == codes["code_level"]) & (F.col("k") % F.col("places") == F.col("place")), "left")
     message = F.replace(F.coalesce("template", F.lit("ok event={n}")), F.lit("{n}"), F.col("event_id").cast("string"))
+    message = F.when(F.col("event_id") % 499 == 7, F.concat(F.lit("DEPLOY release=R-"), F.col("event_id").cast("string"))).otherwise(message)
     name = F.when(during(NEWCOMER) & (F.col("k") < 60), UNKNOWN).otherwise(F.concat("service", F.lit("|"), "component"))
     code = F.when(during(NEW_CODE) & (F.col("k") < 50), UNLISTED).otherwise(F.coalesce("code", F.lit(voc.SUCCESS)))
     latency = F.floor(F.col("value") * 10) * F.when(during(SLOW), SLOWER).otherwise(1)

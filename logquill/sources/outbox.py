@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquill.functions import stats as s
@@ -76,6 +77,40 @@ def alarms(sums: DataFrame, limit: float = 0.05, period_s: int = 60) -> DataFram
     return means.where(F.col("mean_rate") > limit).withColumn("mean_rate", F.round("mean_rate", 6))
 
 
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at a path, empty if there is none."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def stored_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The outbox's entries (SCHEMA and batch) of batches that were committed."""
+    done = _read(spark, f"{path}/commits", "batch long")
+    return _read(spark, f"{path}/entries", f"{SCHEMA}, batch long").join(done.distinct(), "batch", "left_semi")
+
+
+def record_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that adds the entries of a batch of alerts to the outbox table at path, each key once for good.
+
+    A batch's entries are a directory of their own, and another one says that it was committed; a batch that
+    is replayed after that writes nothing, and one that was lost before it is written anew. So an entry is there exactly
+    once, whenever a run is killed. An outbox belongs to one stream, whose batch numbers it is kept by."""
+
+    def record(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if not _read(spark, f"{path}/commits/batch={batch_id}", "at timestamp").isEmpty():
+            return
+        known = stored_entries(spark, path).select("idempotency_key")
+        entries(batch).join(known, "idempotency_key", "left_anti").write.mode("overwrite").parquet(f"{path}/entries/batch={batch_id}")
+        spark.range(1).select(F.current_timestamp().alias("at")).write.mode("overwrite").parquet(f"{path}/commits/batch={batch_id}")
+
+    return record
+
+
 def deliver_batches(write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that hands alerts on, each key once in a batch; with a checkpoint and an
     idempotent write that makes delivery exact."""

@@ -22,6 +22,7 @@ SOME = [
     "silence_runs", "severity_level", "alert_reasons", "redact_documents", "phi_flags", "redact_stats", "origin_closure", "ramp_value", "propagation_rate", "daily_curve_join",
     "ewma_adaptive", "baseline_band", "learned_alerts", "component_table", "alerting_components", "rolling_rate", "breach_severity", "redacted_reasons", "incident_records",
     "advanced_alerts", "severity_hold", "stream_alerts", "stream_learned_alerts", "parser_health", "metric_events", "hour_of_week_baseline", "trace_fanout", "ewma_static", "outbox_stats", "stream_per_second",
+    "adopt_candidates", "truth_scores", "merged_incidents", "outbox_after_replay", "stream_clock_guard", "stream_incidents",
 ]
 
 
