@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from logquill.operators.detectors import hysteresis
 from logquill.sources import vocabulary as voc
 from logquill.sources.tables import written
 
-MIX_WINDOW, MIX_LINES, MIX_LIMIT, MIX_KEYS = 60, 50, 0.15, ("CLM.EDT",)
+MIX_WINDOW, MIX_LINES, MIX_LIMIT, MIX_KEYS = 60, 50, 0.02, ("CLM.EDT",)
 ADVANCED_BREACHES, ADVANCED_QUIET = 2, 30
 LATENCY_LINES, LATENCY_FACTOR, WARMUP_S = 20, 2.0, 60
 SILENT_S, SILENT_RATE = 30, 0.5
@@ -57,15 +59,40 @@ def percentiles(histogram: DataFrame, share: float = 0.95, keys: tuple[str, ...]
     return found.select(*keys, "lines", power(F.col("_u")).alias("upper_ms"), F.when(F.col("_l") == 0, 0).otherwise(power(F.col("_l") - 1)).cast("long").alias("lower_ms"))
 
 
+def sliding_p95(seconds: DataFrame, share: float = 0.95) -> DataFrame:
+    """key, sec, lines, upper_ms: the upper edge of the bin of that share of the last minute's readable latencies, for each second up to the
+    component's last line that has LATENCY_LINES lines in its minute, of seconds (key, bin, sec, n). An hour of a component, with a
+    lead-in, is a group: a table of seconds by bins, whose running sums are subtracted from each other."""
+    ends = seconds.groupBy("key").agg(F.max("sec").alias("last"))  # a row a component
+    hour = F.floor(F.col("sec") / windows.CHUNK_S)
+    dealt = seconds.withColumn("hour", F.explode(F.sequence(hour, F.floor((F.col("sec") + WARMUP_S - 1) / windows.CHUNK_S))))
+
+    def slide(own: pa.Table) -> pa.Table:
+        start = own["hour"][0].as_py() * windows.CHUNK_S - WARMUP_S
+        counts = np.zeros((WARMUP_S + windows.CHUNK_S, p.BAD_LATENCY_BIN + 1), np.int64)
+        np.add.at(counts, (own["sec"].to_numpy() - start, own["bin"].to_numpy()), own["n"].to_numpy())
+        upto = np.cumsum(counts, axis=0)
+        last = upto[WARMUP_S:] - upto[:-WARMUP_S]
+        lines, good = last.sum(1), np.cumsum(last[:, : p.LATENCY_BINS + 1], axis=1)
+        at = np.flatnonzero((lines >= LATENCY_LINES) & (np.arange(len(last)) + start + WARMUP_S <= own["last"][0].as_py()))
+        edge = np.argmax(good[at] >= share * good[at, -1:], axis=1)
+        upper = pa.array(2**edge, pa.int64(), mask=good[at, -1] == 0)
+        return pa.table({"key": pa.array([own["key"][0].as_py()] * len(at), pa.string()), "sec": pa.array(at + start + WARMUP_S, pa.int64()), "lines": pa.array(lines[at], pa.int64()), "upper_ms": upper})
+
+    joined = dealt.join(F.broadcast(ends), "key").select("key", "hour", "sec", F.col("bin").cast("long").alias("bin"), "n", "last")
+    return joined.groupBy("key", "hour").applyInArrow(slide, "key string, sec long, lines long, upper_ms long")
+
+
 def latency_shift(parsed: DataFrame, factor: float = LATENCY_FACTOR) -> DataFrame:
-    """key, window_start, upper_ms, baseline_ms, shifted: p95 of each minute of a component against that
-    of its first minute."""
-    start = F.floor(F.col("sec") / WARMUP_S) * WARMUP_S
-    minutes = counting.latency_histogram(parsed, by_second=True).groupBy("key", start.alias("window_start"), "bin").agg(F.sum("n").alias("n"))
-    each = percentiles(minutes, keys=("key", "window_start")).where(F.col("lines") >= LATENCY_LINES)
-    order = Window.partitionBy("key").orderBy("window_start")
-    rows = each.withColumn("baseline_ms", F.first("upper_ms").over(order))
-    return rows.select("key", "window_start", "lines", "upper_ms", "baseline_ms", (F.col("upper_ms") > factor * F.col("baseline_ms")).alias("shifted"))
+    """key, sec, lines, upper_ms, baseline_ms, shifted: p95 of the last minute at each second against that of the component's first
+    whole minute with enough lines."""
+    seconds = written(counting.latency_histogram(parsed.where("sec IS NOT NULL"), by_second=True), "latency-seconds")
+    rows = written(sliding_p95(seconds), "latency-p95")
+    first = seconds.groupBy("key").agg(F.min("sec").alias("_first"))
+    warm = rows.join(F.broadcast(first), "key").where(F.col("sec") >= F.col("_first") + WARMUP_S - 1)
+    usual = warm.groupBy("key").agg(F.min("sec").alias("_from"), F.min_by("upper_ms", "sec").alias("baseline_ms"))  # a row a component
+    out = rows.join(F.broadcast(usual), "key").where(F.col("sec") >= F.col("_from"))
+    return out.select("key", "sec", "lines", "upper_ms", "baseline_ms", (F.col("upper_ms") > factor * F.col("baseline_ms")).alias("shifted"))
 
 
 def silence_runs(dense: DataFrame, least_s: int = SILENT_S) -> DataFrame:
@@ -81,25 +108,37 @@ def silence_runs(dense: DataFrame, least_s: int = SILENT_S) -> DataFrame:
 
 
 def new_codes(code_seconds: DataFrame, per_second: DataFrame) -> DataFrame:
-    """key, code, window_start, n, lines, is_new: codes the catalog lacks by minute, and whether they
-    are many enough to be told."""
-    start = F.floor(F.col("sec") / NEW_WINDOW) * NEW_WINDOW
+    """key, code, sec, n, lines, is_new: codes the catalog lacks, in the last minute of each second in which they are seen or were in the minute
+    before it, the component's lines in that minute, and whether the code's are many enough to be told."""
+    per_second = written(per_second, "line-seconds")
     known = voc.codes(per_second.sparkSession).select("code")
-    unknown = code_seconds.join(F.broadcast(known), "code", "left_anti").groupBy("key", "code", start.alias("window_start")).agg(F.sum("n").alias("n"))
-    lines = per_second.groupBy("key", start.alias("window_start")).agg(F.sum("tot").alias("lines"))
+    seen = written(code_seconds.join(F.broadcast(known), "code", "left_anti").where("sec IS NOT NULL"), "unlisted-codes")
+    by = ("key", "code")
+    after = seen.select(*by, F.explode(F.sequence("sec", F.col("sec") + NEW_WINDOW - 1)).alias("sec")).distinct()
+    rows = after.join(seen, [*by, "sec"], "left")
+    # up to the component's last line: a second after it has no line left to come
+    ends = per_second.groupBy("key").agg(F.max("sec").alias("_last"))  # a row a component
+    rows = rows.join(F.broadcast(ends), "key").where(F.col("sec") <= F.col("_last")).select(*by, "sec", F.coalesce("n", F.lit(0)).alias("n"))
+    hour = F.floor(F.col("sec") / windows.CHUNK_S)
+    lead = lambda df: df.withColumn("_hour", F.explode(F.sequence(hour, F.floor((F.col("sec") + NEW_WINDOW - 1) / windows.CHUNK_S))))
+    last = lambda *keys: Window.partitionBy(*keys, "_hour").orderBy("sec").rangeBetween(1 - NEW_WINDOW, 0)
+    counts = lead(rows).withColumn("n60", F.sum("n").over(last(*by))).where(F.col("_hour") == hour).select(*by, "sec", F.col("n60").alias("n"))
+    # the component's lines of those seconds: its counts and the seconds asked for, in one order
+    both = per_second.select("key", "sec", "tot").unionByName(counts.select("key", "sec", F.lit(0).cast("long").alias("tot")).distinct())
+    lines = lead(both).withColumn("lines", F.sum("tot").over(last("key"))).where(F.col("_hour") == hour).groupBy("key", "sec").agg(F.max("lines").alias("lines"))
     told = (F.col("n") >= NEW_LINES) & (F.col("n") >= NEW_SHARE * F.col("lines"))
-    return unknown.join(lines, ["key", "window_start"]).select("key", "code", "window_start", "n", "lines", told.alias("is_new"))
+    return counts.where("n > 0").join(lines, ["key", "sec"]).select(*by, "sec", "n", "lines", told.alias("is_new"))
 
 
 def advanced_alerts(dense: DataFrame, mixed: DataFrame, shifts: DataFrame, new: DataFrame, silent: DataFrame) -> DataFrame:
     """key, rule, opened_sec of the openings of the four rules of shape, each with hysteresis of its own
     by component: dense has every second, the others what mix_drift, latency_shift, new_codes and
-    silence_runs give. What is told by minute holds for the minute's seconds."""
-    minute = lambda rows, rule: rows.distinct().select("key", F.lit(rule).alias("rule"), F.explode(F.sequence("window_start", F.col("window_start") + 59)).alias("sec"))
+    silence_runs give."""
+    of = lambda rows, rule: rows.select("key", F.lit(rule).alias("rule"), "sec")
     hits = (
         mixed.where("drifted").where(F.col("key").isin(*MIX_KEYS)).select("key", F.lit("mix").alias("rule"), "sec")
-        .union(minute(shifts.where("shifted").select("key", "window_start"), "latency"))
-        .union(minute(new.where("is_new").select("key", "window_start"), "new_code"))
+        .union(of(shifts.where("shifted"), "latency"))
+        .union(of(new.where("is_new"), "new_code"))
         .union(silent.where("silent").select("key", F.lit("silence").alias("rule"), F.explode(F.sequence(F.col("first_sec") + SILENT_S - 1, "last_sec")).alias("sec")))
     )
     ruled = F.broadcast(hits.select("key", "rule").distinct())  # four rules of each component at most

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logquill.functions import stats as s
+from logquill.operators.folds import fold_by_hour
+from logquill.operators.windows import CHUNK_S
 from logquill.sources import vocabulary as voc
 
 CUTOFF_MIN, HOLD_S = 60.0, 15
@@ -66,31 +66,28 @@ def explained(scored: DataFrame, page: float = 14.4, ticket: float = 6.0) -> Dat
         F.when(F.col("z") > 0, F.format_string("z=%.1f over %ds", F.round("z", 1), F.col("window_s"))),
         F.concat(F.col("key"), F.lit(" error rate "), percent("observed"), F.lit(" vs baseline "), percent("baseline")),
         F.when(F.col("seconds_in_breach") > 0, F.concat(F.lit("breaching for "), F.col("seconds_in_breach").cast("string"), F.lit("s"))),
-        F.when(F.col("criticality") >= 0.9, "component is critical to the payment cycle"),
+        F.when(F.col("criticality") >= 0.9, "payments depend on this component"),
         F.when(F.col("burn_rate") >= page, F.concat(burn, F.lit("page"))).when(F.col("burn_rate") >= ticket, F.concat(burn, F.lit("ticket"))),
-        F.when(F.col("rule") == "cusum", "slow drift told by a running sum"),
+        F.when(F.col("rule") == "cusum", "rates have been too high for long"),
         F.concat(F.format_string("score %.2f -> ", F.round("score", 2)), F.col("severity")),
     )
     return scored.withColumn("reason", told)
 
 
-def hold_levels(proposed: DataFrame, hold_s: int = HOLD_S) -> DataFrame:
+def hold_levels(proposed: DataFrame, hold_s: int = HOLD_S, hour_s: int = CHUNK_S) -> DataFrame:
     """proposed (key, sec, severity) with held: a level rises at once and falls after hold_s seconds
-    in a row below it. A fold along each key's seconds, which stream through in order."""
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, level, below = None, 0, 0
-        for batch in batches:
-            held = []
-            for k, name in zip(batch["key"].to_pylist(), batch["severity"].to_pylist(), strict=True):
-                rank = LEVELS.index(name)
-                if k != key:
-                    key, level, below = k, rank, 0
-                below = below + 1 if rank < level else 0
-                if rank > level or below >= hold_s:
-                    level, below = rank, 0
-                held.append(LEVELS[level])
-            yield pa.record_batch([*batch.columns, pa.array(held, pa.string())], names=[*batch.schema.names, "held"])
-
-    ordered = proposed.select("key", "sec", "severity").repartition("key").sortWithinPartitions("key", "sec")
-    return ordered.mapInArrow(fold, "key string, sec long, severity string, held string")
+    in a row below it. Hours are folded apart, first as if nothing came before them."""
+
+    def fold(own: pa.Table, state: dict) -> tuple[pa.Table, dict]:
+        level, below, held = state["level"], state["below"], []
+        for name in own["severity"].to_pylist():
+            rank = LEVELS.index(name)
+            below = below + 1 if rank < level else 0
+            if rank > level or below >= hold_s:
+                level, below = rank, 0
+            held.append(LEVELS[level])
+        return own.select(["key", "sec", "severity"]).append_column("held", pa.array(held, pa.string())), {"level": level, "below": below}
+
+    guess = lambda rows: rows.select("key", "_hour").distinct().withColumns({"level": F.lit(-1).cast("long"), "below": F.lit(0).cast("long")})
+    rows = proposed.select("key", "sec", "severity")
+    return fold_by_hour(rows, guess, fold, "level long, below long", "key string, sec long, severity string, held string", hour_s)

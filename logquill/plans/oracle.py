@@ -164,6 +164,13 @@ CTES: dict[str, tuple[str, str]] = {
     "warm": ("per_second", "SELECT p.key, first, sum(tot) / 60 AS usual FROM per_second p JOIN (SELECT key, min(sec) AS first FROM per_second GROUP BY key) f ON p.key = f.key WHERE sec < first + 60 GROUP BY p.key, first"),
     "low_seconds": ("sums warm", "SELECT s.key, s.sec, s.tot60, w.usual FROM sums s JOIN warm w ON s.key = w.key WHERE usual > 0.5 AND sec >= first + 60 AND tot60 < 30"),
     "histogram": ("counted", "SELECT key, CASE WHEN latency_ms < 0 THEN 19 WHEN latency_ms = 0 THEN 0 ELSE least(length(bin(latency_ms)), 18) END AS bin, sec, count(*) AS n FROM counted GROUP BY ALL"),
+    "last_minutes": ("histogram", """
+        SELECT d.key, d.sec, h.bin, CAST(sum(h.n) AS BIGINT) AS n FROM (SELECT key, unnest(generate_series(min(sec), max(sec))) AS sec FROM histogram GROUP BY key) d
+        JOIN histogram h ON h.key = d.key AND h.sec BETWEEN d.sec - 59 AND d.sec GROUP BY ALL"""),
+    "p95_seconds": ("last_minutes", """
+        SELECT key, sec, CAST(max(whole) AS BIGINT) AS lines, CAST(power(2, min(CASE WHEN good > 0 AND good_upto >= 0.95 * good THEN bin END)) AS BIGINT) AS upper_ms FROM (
+            SELECT *, sum(n) OVER (PARTITION BY key, sec) AS whole, sum(CASE WHEN bin <= 18 THEN n ELSE 0 END) OVER (PARTITION BY key, sec ORDER BY bin) AS good_upto,
+                sum(CASE WHEN bin <= 18 THEN n ELSE 0 END) OVER (PARTITION BY key, sec) AS good FROM last_minutes) GROUP BY key, sec HAVING max(whole) >= 20"""),
     "code_seconds": ("counted", "SELECT key, code, sec, count(*) AS n FROM counted WHERE code <> '00000' GROUP BY ALL"),
     "mix": ("code_seconds sums codes", """
         SELECT *, CASE WHEN all60 > 0 THEN n60 / all60 ELSE 0.0 END AS p FROM (
@@ -380,8 +387,6 @@ def _stats() -> str:
 
 _MIX = f"""SELECT key, sec, {_r6("sum(((p + 1e-12) * ln((p + 1e-12) / ((p + q + 2e-12) / 2)) + (q + 1e-12) * ln((q + 1e-12) / ((p + q + 2e-12) / 2))) / 2)")} AS js,
     max({{'d': round(abs(p - q), 9), 'code': code}}) AS lead FROM mix WHERE all60 > 0 AND tot60 >= 50 GROUP BY key, sec"""
-_SHIFT = _percentile("upper", keys="key, window_start", source="(SELECT key, sec // 60 * 60 AS window_start, bin, sum(n) AS n FROM histogram GROUP BY ALL)")
-
 FINALS: dict[str, str] = {
     "parse_lines": "SELECT event_id, class, ts_ms, level, level_class, key, code, latency_ms, trace, CAST(raw_len AS INTEGER) AS raw_len, flags FROM parsed",
     "line_classes": "SELECT class, count(*) AS n FROM parsed GROUP BY class",
@@ -423,18 +428,20 @@ FINALS: dict[str, str] = {
     "hysteresis_open_intervals": f"SELECT key, segment, min(sec) AS opened_sec, max(CASE WHEN rule IS NOT NULL THEN sec END) AS last_breach_sec, count(*) AS open_seconds, {_r6('max(z10)')} AS peak_z FROM states WHERE open GROUP BY key, segment",
     "alerts_opened": f"SELECT key, rule, opened_sec, window_s, total, errors, {_r6('baseline')} AS baseline, {_r6('observed')} AS observed, {_r6('z')} AS z FROM alerts",
     "rollup_alerts": f"SELECT scope, key, sec AS opened_sec, tot60, err60, {_r6(_rate('err60', 'tot60'))} AS observed FROM rolled_states WHERE ready = 1 AND opened = 1",
-    "js_code_mix": f"SELECT key, sec, js, js > 0.15 AS drifted FROM ({_MIX})",
+    "js_code_mix": f"SELECT key, sec, js, js > 0.02 AS drifted FROM ({_MIX})",
     "moved_code": f"SELECT key, sec, lead.code AS moved_code, {_r6('lead.d')} AS moved_by FROM ({_MIX})",
     "p95_upper": _percentile("upper"),
     "p95_lower": _percentile("lower"),
-    "latency_shift": f"""SELECT *, upper_ms > 2.0 * baseline_ms AS shifted FROM (
-        SELECT p.key, p.window_start, l.lines, p.upper_ms, first_value(p.upper_ms) OVER (PARTITION BY p.key ORDER BY p.window_start) AS baseline_ms FROM ({_SHIFT}) p
-        JOIN (SELECT key, sec // 60 * 60 AS window_start, CAST(sum(n) AS BIGINT) AS lines FROM histogram GROUP BY ALL) l ON p.key = l.key AND p.window_start = l.window_start WHERE l.lines >= 20)""",
+    "latency_shift": f"""SELECT r.key, r.sec, r.lines, r.upper_ms, u.baseline_ms, r.upper_ms > 2.0 * u.baseline_ms AS shifted FROM p95_seconds r
+        JOIN (SELECT r.key, min(r.sec) AS since, arg_min(r.upper_ms, r.sec) AS baseline_ms FROM p95_seconds r JOIN (SELECT key, min(sec) AS first FROM histogram GROUP BY key) f ON f.key = r.key AND r.sec >= f.first + 59 GROUP BY r.key) u
+        ON u.key = r.key AND r.sec >= u.since""",
     "silence_runs": """SELECT key, min(sec) AS first_sec, max(sec) AS last_sec, count(*) AS seconds, count(*) >= 30 AS silent
         FROM (SELECT *, sec - row_number() OVER (PARTITION BY key ORDER BY sec) AS run FROM low_seconds) GROUP BY key, run""",
-    "new_code": """SELECT c.key, c.code, c.window_start, c.n, l.lines, c.n >= 5 AND c.n >= 0.01 * l.lines AS is_new FROM (
-        SELECT key, code, sec // 60 * 60 AS window_start, CAST(sum(n) AS BIGINT) AS n FROM code_seconds WHERE code NOT IN (SELECT code FROM codes) GROUP BY ALL) c
-        JOIN (SELECT key, sec // 60 * 60 AS window_start, CAST(sum(tot) AS BIGINT) AS lines FROM per_second GROUP BY ALL) l ON c.key = l.key AND c.window_start = l.window_start""",
+    "new_code": """SELECT key, code, sec, n, lines, n >= 5 AND n >= 0.01 * lines AS is_new FROM (
+        SELECT g.key, g.code, g.sec, CAST(sum(c.n) AS BIGINT) AS n, (SELECT CAST(sum(tot) AS BIGINT) FROM per_second p WHERE p.key = g.key AND p.sec BETWEEN g.sec - 59 AND g.sec) AS lines
+        FROM (SELECT DISTINCT key, code, unnest(generate_series(sec, sec + 59)) AS sec FROM code_seconds WHERE code NOT IN (SELECT code FROM codes)) g
+        JOIN (SELECT key, max(sec) AS last FROM per_second GROUP BY key) e ON e.key = g.key AND g.sec <= e.last
+        JOIN code_seconds c ON c.key = g.key AND c.code = g.code AND c.sec BETWEEN g.sec - 59 AND g.sec GROUP BY g.key, g.code, g.sec)""",
     "log_format_drift": "SELECT sec, ratio, CASE WHEN ratio >= 0.05 THEN 'HIGH' ELSE 'WARNING' END AS level FROM ratios WHERE ratio >= 0.005",
     "severity_score": f"SELECT key, rule, opened_sec, criticality, {_r6('burn_rate')} AS burn_rate, {_r6('least(greatest(plain, 0.0), 1.0)')} AS score FROM base_scores",
     "severity_level": f"""SELECT *, CASE WHEN score >= 0.55 THEN 'CRITICAL' WHEN score >= 0.35 THEN 'HIGH' WHEN score >= 0.18 THEN 'WARNING' ELSE 'INFO' END AS severity FROM (
@@ -489,9 +496,9 @@ FINALS: dict[str, str] = {
             CASE WHEN z > 0 THEN 'z=' || printf('%.1f', round(z, 1)) || ' over 10s' END,
             key || ' error rate ' || printf('%.1f', round(observed * 100, 1)) || '% vs baseline ' || printf('%.1f', round(baseline * 100, 1)) || '%',
             CASE WHEN seconds_in_breach > 0 THEN 'breaching for ' || CAST(seconds_in_breach AS VARCHAR) || 's' END,
-            CASE WHEN criticality >= 0.9 THEN 'component is critical to the payment cycle' END,
+            CASE WHEN criticality >= 0.9 THEN 'payments depend on this component' END,
             CASE WHEN burn_rate >= 14.4 THEN 'burn rate ' || printf('%.1f', round(burn_rate, 1)) || 'x: page' WHEN burn_rate >= 6 THEN 'burn rate ' || printf('%.1f', round(burn_rate, 1)) || 'x: ticket' END,
-            CASE WHEN rule = 'cusum' THEN 'slow drift told by a running sum' END,
+            CASE WHEN rule = 'cusum' THEN 'rates have been too high for long' END,
             'score ' || printf('%.2f', round(score, 2)) || ' -> ' || severity) AS reason FROM stretches""",
     "redacted_reasons": f"SELECT key, rule, opened_sec, {_redacted('reason')} AS reason FROM (SELECT a.key, a.rule, a.opened_sec, concat_ws('; ', CASE WHEN z > 0 THEN 'z=' || printf('%.1f', round(z, 1)) || ' over ' || CAST(window_s AS VARCHAR) || 's' END, key || ' error rate ' || printf('%.1f', round(observed * 100, 1)) || '% vs baseline ' || printf('%.1f', round(baseline * 100, 1)) || '% (' || CAST(CAST(round(observed / baseline, 0) AS BIGINT) AS VARCHAR) || 'x)') || '; seen with MBR-' || CAST(total AS VARCHAR) AS reason FROM alerts a)",
     "incident_records": f"""SELECT key, rule, opened_sec, last_sec, n, ['INFO', 'WARNING', 'HIGH', 'CRITICAL'][rank] AS max_severity, origin, 'inc_' || lpad(CAST(row_number() OVER (ORDER BY opened_sec, key, rule) AS VARCHAR), 4, '0') AS id,
@@ -546,8 +553,8 @@ FINALS: dict[str, str] = {
 FINALS["routed_lines"] = f"SELECT reason, 'malformed_header' AS class, n FROM ({FINALS['reject_reasons']})"
 _ADVANCED = f"""
     SELECT key, 'mix' AS rule, sec FROM ({FINALS['js_code_mix']}) WHERE drifted AND key = 'CLM.EDT'
-    UNION SELECT key, 'latency', unnest(generate_series(window_start, window_start + 59)) FROM ({FINALS['latency_shift']}) WHERE shifted
-    UNION SELECT key, 'new_code', unnest(generate_series(window_start, window_start + 59)) FROM ({FINALS['new_code']}) WHERE is_new
+    UNION SELECT key, 'latency', sec FROM ({FINALS['latency_shift']}) WHERE shifted
+    UNION SELECT key, 'new_code', sec FROM ({FINALS['new_code']}) WHERE is_new
     UNION SELECT key, 'silence', unnest(generate_series(first_sec + 29, last_sec)) FROM ({FINALS['silence_runs']}) WHERE silent"""
 FINALS["advanced_alerts"] = f"""SELECT key, rule, sec AS opened_sec FROM (
     SELECT *, sum(ready) OVER (PARTITION BY key, rule, segment ORDER BY sec) AS opened FROM (

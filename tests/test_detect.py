@@ -107,6 +107,42 @@ def test_learned_baseline_freezes_while_open(spark):
     assert baseline.ewma(sums).first()["ewma"] == pytest.approx(value, abs=1e-6)
 
 
+def test_a_baseline_learned_in_hours_is_the_one_learned_in_one_go(spark):
+    rows = [(k, t, 100, (40 if a <= t < a + 90 else 1) + t % 3, 0) for k, a in (("CLM.STR", 250), ("CLM.EDT", 390)) for t in range(800)]
+    sums = windows.sliding(windows.dense(spark.createDataFrame(rows, "key string, sec long, tot long, err long, warn long"))).cache()
+    whole, cut = ({(x["key"], x["sec"]): x for x in baseline.learned(sums, hour_s=h).collect()} for h in (10**9, 200))
+    assert whole.keys() == cut.keys() and len(cut) == 1600 and any(x["open"] for x in cut.values())
+    for k, x in whole.items():
+        assert (x["rule"], x["open"], x["opened_now"], x["warming"]) == (cut[k]["rule"], cut[k]["open"], cut[k]["opened_now"], cut[k]["warming"])
+        assert [x[c] for c in ("base", "ewma", "sigma", "z10", "z60", "cusum")] == pytest.approx([cut[k][c] for c in ("base", "ewma", "sigma", "z10", "z60", "cusum")], abs=1e-9)
+
+
+def test_the_last_minute_reaches_over_hours(spark):
+    rng = random.Random(2)
+    lines = [("CLM.STR", t, rng.choice([3, 4, 9, 19]), rng.randint(1, 3)) for t in range(3500, 3700) if t % 7]
+    got = {x["sec"]: (x["lines"], x["upper_ms"]) for x in drift.sliding_p95(spark.createDataFrame(lines, "key string, sec long, bin int, n long")).collect()}
+    want = {}
+    for s in range(3500, 3700):
+        last = sorted(b for _, t, b, n in lines for _ in range(n) if s - 60 < t <= s)
+        good = [b for b in last if b <= 18]
+        if len(last) >= 20:
+            want[s] = (len(last), 2 ** next(b for b in sorted(set(good)) if sum(x <= b for x in good) >= 0.95 * len(good)))
+    assert got == {s: x for s, x in want.items() if s <= max(t for _, t, *_ in lines)}
+    codes = [("CLM.STR", "X1", t, rng.randint(1, 2)) for t in range(3570, 3640, 5)]
+    counts = [("CLM.STR", t, 9) for t in range(3500, 3700)]
+    found = {x["sec"]: (x["n"], x["lines"], x["is_new"]) for x in drift.new_codes(spark.createDataFrame(codes, "key string, code string, sec long, n long"), spark.createDataFrame(counts, "key string, sec long, tot long")).collect()}
+    plain = {s: (sum(n for _, _, t, n in codes if s - 60 < t <= s), 9 * min(60, s - 3499)) for s in range(3570, 3700)}
+    assert found == {s: (n, m, n >= 5 and n >= 0.01 * m) for s, (n, m) in plain.items() if n}
+
+
+def test_levels_are_held_over_hours(spark):
+    rng = random.Random(4)
+    rows = [(k, t, rng.choice(["INFO"] * 12 + ["WARNING", "HIGH"])) for k in "ab" for t in range(300)]
+    df = spark.createDataFrame(rows, "key string, sec long, severity string")
+    whole, cut = ({(x["key"], x["sec"]): x["held"] for x in severity.hold_levels(df, hour_s=h).collect()} for h in (10**9, 20))
+    assert whole == cut and len(set(cut.values())) == 3
+
+
 def test_levels_rise_at_once_and_fall_late(spark):
     names = ["INFO"] * 3 + ["CRITICAL"] + ["INFO"] * 14 + ["WARNING"] + ["INFO"] * 20
     df = spark.createDataFrame([("k", t, n) for t, n in enumerate(names)], "key string, sec long, severity string")
@@ -161,18 +197,18 @@ def test_severity_by_hand(spark):
     want = 0.40 * (0.5 * 0.5 + 0.5 * 1.0) + 0.18 * 0.5 + 0.22 * 1.0 + 0.10 * (0.5 / 0.99 / 14.4)
     assert got["CLM.STR"]["score"] == pytest.approx(want, abs=1e-6) and got["CLM.STR"]["severity"] == "CRITICAL"
     parts = got["CLM.STR"]["reason"].split("; ")
-    assert parts[:3] == ["z=15.0 over 10s", "CLM.STR error rate 50.0% vs baseline 0.5%", "breaching for 60s"] and "component is critical to the payment cycle" in parts
+    assert parts[:3] == ["z=15.0 over 10s", "CLM.STR error rate 50.0% vs baseline 0.5%", "breaching for 60s"] and "payments depend on this component" in parts
     assert parts[-1] == "score 0.61 -> CRITICAL" and not any("burn" in p for p in parts)
     burning = severity.explained(severity.scored(df).withColumn("burn_rate", F.lit(15.0))).where("key = 'CLM.STR'").first()["reason"]
     assert "; burn rate 15.0x: page; " in burning
-    assert "slow drift" in got["PAY.BNK"]["reason"] and "breaching" not in got["PAY.BNK"]["reason"]
+    assert "too high for long" in got["PAY.BNK"]["reason"] and "breaching" not in got["PAY.BNK"]["reason"]
 
 
 def test_shape_rules_open_once_in_a_run(spark):
     dense = spark.createDataFrame([("CLM.EDT", t, 0 if 100 <= t < 180 else 5) for t in range(400)], "key string, sec long, tot long")
     mixed = spark.createDataFrame([("CLM.EDT", t, t in (10, 50, 51, 52, 90)) for t in range(400)], "key string, sec long, drifted boolean")
-    none = spark.createDataFrame([], "key string, window_start long, shifted boolean")
-    new = spark.createDataFrame([("CLM.EDT", 240, True)], "key string, window_start long, is_new boolean")
+    none = spark.createDataFrame([], "key string, sec long, shifted boolean")
+    new = spark.createDataFrame([("CLM.EDT", t, True) for t in range(240, 300)], "key string, sec long, is_new boolean")
     got = drift.advanced_alerts(dense, mixed, none, new, drift.silence_runs(dense)).collect()
     assert sorted((x["rule"], x["opened_sec"]) for x in got) == [("mix", 51), ("new_code", 241), ("silence", 184)]
 
