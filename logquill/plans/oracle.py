@@ -528,6 +528,12 @@ FINALS: dict[str, str] = {
         d AS (SELECT key, sec, regexp_extract(substr(value, 47), 'release=([^ ]+)', 1) AS release FROM parsed WHERE sec IS NOT NULL AND starts_with(substr(value, 47), 'DEPLOY '))
         SELECT origin, opened_sec, last_sec, n, array_to_string(ks, ',') AS keys, f.release AS deploy, f.sec AS deploy_sec
         FROM (SELECT g.*, (SELECT max({'sec': d.sec, 'release': d.release}) FROM d WHERE list_contains(g.ks, d.key) AND d.sec <= g.opened_sec AND d.sec >= g.opened_sec - 600) AS f FROM g))""",
+    "seasonal_alerts": f"""SELECT * FROM (
+        WITH e AS (SELECT event_id, event_type AS key, CAST(dayofweek(ts) * 24 + hour(ts) AS INTEGER) AS how, value, CASE WHEN value > 0 THEN power(1.02, ceil(ln(value) / ln(1.02))) * 2 / 2.02 ELSE 0.0 END AS rep FROM events WHERE value IS NOT NULL),
+        m AS (SELECT key, how, count(*) AS n, quantile_disc(rep, 0.5) AS median FROM e GROUP BY key, how),
+        o AS (SELECT e.key, e.how, any_value(m.n) AS n, any_value(median) AS median, quantile_disc(abs(rep - median), 0.5) AS mad FROM e JOIN m ON m.key = e.key AND m.how = e.how GROUP BY e.key, e.how)
+        SELECT e.event_id, e.key, e.how, e.value, o.n, {_r6('median')} AS median, {_r6('mad')} AS mad, {_r6('(value - median) / (1.4826 * mad)')} AS z
+        FROM e JOIN o ON o.key = e.key AND o.how = e.how WHERE o.n >= 8 AND mad > 0 AND (value - median) / (1.4826 * mad) >= 3.5)""",
     "truth_pairs": "SELECT * FROM told_pairs",
     "truth_scores": f"""SELECT * FROM (
         WITH a AS (SELECT o.key, EXISTS (SELECT 1 FROM told_faults f WHERE f.key = o.key AND o.opened_sec BETWEEN f.start_sec AND f.end_sec + 60) AS inside FROM told_openings o),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquill.functions import stats as s
-from logquill.operators import baseline, counting, detectors, drift, faults, incidents, merged, redaction, reporting, severity, truth, windows
+from logquill.operators import baseline, counting, detectors, drift, faults, incidents, merged, redaction, reporting, seasonal, severity, truth, windows
 from logquill.operators.parse import parse
 from logquill.sources import outbox
 from logquill.sources import vocabulary as voc
@@ -345,6 +345,13 @@ def hour_of_week_baseline(spark, d):
     return faults.hour_of_week(table(spark, d, "events"))
 
 
+@query
+def seasonal_alerts(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.col("event_type").alias("key"), seasonal.hour_of_week(F.col("ts")).alias("how"), "value")
+    usual = written(seasonal.baseline(seasonal.summary(rows, "value", "key", "how"), "key", "how"), "seasonal")
+    return rounded(seasonal.seasonal_alerts(rows, "value", usual, "key", "how"), "median", "mad", "z")
+
+
 @query
 def trace_fanout(spark, d):
     return counting.trace_fanout(parsed(spark, d))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logquill.functions import redact as r
 from logquill.functions import stats as s
-from logquill.operators import baseline, detectors, drift, faults, incidents, redaction, reporting, severity, windows
+from logquill.operators import baseline, detectors, drift, faults, incidents, redaction, reporting, seasonal, severity, windows
 from logquill.sources import outbox
 from logquill.sources import vocabulary as voc
 
@@ -135,6 +135,21 @@ def test_the_last_minute_reaches_over_hours(spark):
     assert found == {s: (n, m, n >= 5 and n >= 0.01 * m) for s, (n, m) in plain.items() if n}
 
 
+def test_seasonal_summaries_add_up_within_their_error(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.lognormvariate(2, 1) if k != "z" else 0.0) for k in "xxxyz" for _ in range(200)]
+    df = spark.createDataFrame([*rows, ("x", None)], "key string, value double")
+    parts = [seasonal.summary(df.where(x), "value", "key") for x in ("value < 5 OR value IS NULL", "value >= 5")]
+    usual = seasonal.baseline(seasonal.added(*parts, "key"), "key").collect()
+    for r in usual:
+        own = sorted(v for k, v in rows if k == r["key"])
+        median = own[(len(own) - 1) // 2]
+        mad = sorted(abs(v - median) for v in own)[(len(own) - 1) // 2]
+        assert r["n"] == len(own) and r["median"] == pytest.approx(median, rel=seasonal.ERROR + 1e-9) and r["mad"] == pytest.approx(mad, abs=4 * seasonal.ERROR * (median + mad) + 1e-9)
+    hits = seasonal.seasonal_alerts(df, "value", seasonal.baseline(seasonal.summary(df, "value", "key"), "key"), "key").collect()
+    assert {r["key"] for r in hits} <= {"x", "y"} and all(r["z"] >= 3.5 for r in hits) and hits
+
+
 def test_levels_are_held_over_hours(spark):
     rng = random.Random(4)
     rows = [(k, t, rng.choice(["INFO"] * 12 + ["WARNING", "HIGH"])) for k in "ab" for t in range(300)]
