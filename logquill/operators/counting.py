@@ -59,15 +59,15 @@ def component_counts(parsed: DataFrame) -> DataFrame:
     lines = counted(parsed)
     level = F.col("level_class")
     read = F.col("latency_ms") >= 0
-    totals = lines.groupBy("key").agg(
+    each = lines.groupBy("key", "code").agg(
         *_level_counts(), F.count_if(level == 0).alias("info"),
         F.count_if((F.col("class") == "unknown_code") & (level >= 2)).alias("unmapped_err"),
         F.sum(F.when(read, F.col("latency_ms").cast("long")).otherwise(0)).alias("latency_sum"), F.count_if(read).alias("latency_n"),
         F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"),
     )
-    codes = lines.where(F.col("code") != voc.SUCCESS).groupBy("key", "code").agg(F.count("*").alias("n"))
-    told = codes.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "code", F.col("n").cast("string")))), ",").alias("by_code"))
-    return totals.join(told, "key", "left").withColumn("by_code", F.coalesce("by_code", F.lit("")))
+    ends = {"first_sec": F.min("first_sec"), "last_sec": F.max("last_sec")}
+    told = F.when(F.col("code") != voc.SUCCESS, F.concat_ws("=", "code", F.col("tot").cast("string")))
+    return each.groupBy("key").agg(*(ends.get(c, F.sum(c)).alias(c) for c in each.columns[2:]), F.array_join(F.array_sort(F.collect_list(told)), ",").alias("by_code"))
 
 
 def code_counts(parsed: DataFrame, by_second: bool = False) -> DataFrame:
