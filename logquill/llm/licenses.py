@@ -6,10 +6,10 @@ ends too; as a set of lower-cased words it matches if it holds at least `thresho
 words, and its telling ones among them. Texts are read once: what is kept of them is where words of
 any template stand, and everything else is told from those places. Template words are ordered by the
 number of documents they occur in, over all documents, rarest first. A text with a matching block
-must hold one of the first |T| - needed + 1 words of that order (prefix filter), of which as many
-words are left from there on as are needed (positional filter), and in all as many of the template's
-words as are needed (length filter). What passes is verified on all windows that start at one of the
-template's words, which hold what any other does, so the join misses nothing. One text per digest is
+must hold one of the first |T| - needed + 1 words of that order (prefix filter), and in all as many of the template's
+words as are needed (length filter). Windows that start at one of the template's words hold what any other does; one is only looked at if
+the needed-th of those words from its start on still stands in it (positional filter: what is left from a place bounds
+what a window can share). What passes is verified, so the join misses nothing. One text per digest is
 joined.
 
 Templates are a parameter of a few dozen notices, so their tables have a fixed size, which is what
@@ -127,6 +127,13 @@ def ordered_templates(texts: DataFrame, templates: tuple[tuple[str, str], ...] =
     return texts.sparkSession.createDataFrame(out, "template int, label string, word string, size int, need int, telling boolean, rank int, place int")
 
 
+def in_reach(own: str, need: Column, width: Column) -> Column:
+    """Indices of the places of own (array<struct<at, word>>, in order) from which on the need-th place is less than width words away: a
+    window that starts at another one has too few words left to hold need different ones."""
+    last = lambda x, i: F.coalesce(F.get(own, i + need - 1)["at"] < x["at"] + width, F.lit(False))
+    return F.array_compact(F.transform(own, lambda x, i: F.when(last(x, i), i)))
+
+
 def matching_blocks(texts: DataFrame, templates: DataFrame) -> DataFrame:
     """(digest, block, label, containment) of the best block, by the place of its first word, of every
     text of texts (digest, held) for every template whose threshold it meets."""
@@ -138,14 +145,16 @@ def matching_blocks(texts: DataFrame, templates: DataFrame) -> DataFrame:
     enough = F.size(F.array_intersect("held.word", "whole")) >= F.col("need")
     pairs = candidates.join(F.broadcast(whole), "template").where(enough).select("digest", "label", "size", "need", "telling", own)
     width = F.col("size") * WIDTH
+    pairs = pairs.withColumn("starts", in_reach("own", F.col("need"), width)).where(F.size("starts") > 0)
 
-    def block(x: Column, i: Column) -> Column:
+    def block(i: Column) -> Column:
+        x = F.get("own", i)
         inside = F.filter(F.slice("own", i + 1, width), lambda y: y["at"] < x["at"] + width)
         shared = F.array_distinct(F.transform(inside, lambda y: y["word"]))
         told = F.size(F.array_intersect(shared, "telling")) == F.size("telling")
         return F.struct(F.when(told, F.size(shared)).otherwise(0).alias("shared"), (-x["at"]).alias("back"))
 
-    best = pairs.select("digest", "label", "size", "need", F.array_max(F.transform("own", block)).alias("best"))
+    best = pairs.select("digest", "label", "size", "need", F.array_max(F.transform("starts", block)).alias("best"))
     return best.where(F.col("best.shared") >= F.col("need")).select("digest", (-F.col("best.back")).alias("block"), "label", (F.col("best.shared") / F.col("size")).alias("containment"))
 
 
