@@ -45,7 +45,9 @@ HELD, SALTS, REMEMBERED = 200_000, 32, 65_536
 #: Partners of each class that are confirmed first.
 FIRST = 3
 #: Classes and shingles of a block of a cluster, about; dense columns multiplied and pairs counted at a time.
-BLOCK, BLOCK_SHINGLES, COLUMNS_AT_A_TIME, PAIRS_AT_A_TIME = 2048, 1 << 20, 512, 1 << 20
+BLOCK, BLOCK_SHINGLES, COLUMNS_AT_A_TIME, PAIRS_AT_A_TIME = 2048, 1 << 20, 512, 1 << 18
+#: Classes of each side of a block that are counted at a time, which bounds a task's memory.
+SIDE = 1024
 #: Share of equal signature values that a pair needs: 4.5 standard deviations below the threshold.
 LEAST_ALIKE = 0.55
 ROWS = "doc_id long, text_key binary, n_shingles long, node binary, signature binary"
@@ -379,10 +381,11 @@ def links_of_block(left: pa.Table, right: pa.Table) -> pa.Table:
     if len(left) and len(right):
         sets = [[np.frombuffer(x, np.uint64) for x in side["hashes"].to_pylist()] for side in (left, right)]
         names, code = np.unique(np.array(left["root"].to_pylist() + right["root"].to_pylist(), object), return_inverse=True)
-        shared = shared_counts(*sets)
         sizes = [np.array([len(x) for x in side]) for side in sets]
         label = np.arange(len(names))
-        for i, both in enumerate(shared.astype(np.int64)):
+        rows = (row for a in range(0, len(left), SIDE) for row in np.hstack([shared_counts(sets[0][a : a + SIDE], sets[1][b : b + SIDE]) for b in range(0, len(right), SIDE)]))
+        for i, row in enumerate(rows):
+            both = row.astype(np.int64)
             linked = 100 * both >= PERCENT * (sizes[0][i] + sizes[1] - both)
             for c in np.unique(code[len(left) :][linked]):
                 own, other = label[code[i]], label[c]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquill.llm.common import slices, stored
-from logquill.llm.token_ids import encoder
+from logquill.llm.token_ids import MEMO, encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -29,17 +29,17 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
-def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, memo: int = MEMO) -> DataFrame:
     """The pieces of each document: its ids and end_id, cut if longer than the capacity.
 
     All pieces but the first are full; the first takes the remainder. A null text counts as empty
     (one piece of one id); a null doc_id is kept; repeated rows give repeated pieces; texts
-    of any length are encoded whole, in stretches. Other columns are not read."""
+    of any length are encoded whole, in stretches. Other columns are not read. memo: words whose ids a worker remembers."""
 
     closing = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder().encode
+        encode = encoder(None, memo).encode
         for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode([t or "" for t in batch["text"].to_pylist()]), strict=True):
@@ -149,6 +149,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return with_ranks(pieces, parts).mapInArrow(place, PLACED)
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """docs (doc_id, text) encoded, cut and packed: one row per piece."""
-    return pack(stored(cut_pieces(docs, capacity, end_id), "pieces"), capacity)
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, memo: int = MEMO) -> DataFrame:
+    """docs (doc_id, text) encoded, cut and packed: one row per piece. A worker remembers the ids of `memo` words."""
+    return pack(stored(cut_pieces(docs, capacity, end_id, memo), "pieces"), capacity)

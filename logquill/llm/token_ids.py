@@ -49,7 +49,8 @@ class _Memo(dict):
 class Encoder:
     """From texts to their ids, each as bytes of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = MEMO) -> None:
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -121,15 +122,15 @@ class Encoder:
         for word in todo:
             if len(word) > LONGEST:
                 del memo[word]
-        if len(memo) > MEMO:
+        if len(memo) > self.most:
             memo.clear()
         return out
 
 
 @functools.cache
-def encoder(path: str | None = None) -> Encoder:
-    """The encoder of a file, loaded once per Python worker."""
-    return Encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
+def encoder(path: str | None = None, most: int = MEMO) -> Encoder:
+    """The encoder of a file with a memo of that many words at most, loaded once per Python worker."""
+    return Encoder(path or public_tokenizers.path("byte_bpe_50k.json"), most)
 
 
 _SURROGATES = re.compile("[\ud800-\udfff]")

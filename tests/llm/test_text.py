@@ -10,7 +10,6 @@ import zlib
 
 import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
 
 from logquill.llm import common, licenses, neardup, png_media, quality, queries, secrets
