@@ -32,9 +32,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their places in sequences of 1024 tokens."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, memo=MEMO)
 
 
+#: Words whose ids a worker remembers: few, as the stages share their workers and so their memory.
+MEMO = 200_000
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_classifier", quality_classifier),
     ("near_dedup", near_dedup),
