@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquill.operators.severity import LEVELS
+from logquill.operators.windows import CHUNK_S
 from logquill.sources import vocabulary as voc
+from logquill.sources.tables import written
 
 DEDUPE_S, GROUPING_S, IDLE_S, COOLDOWN_S = 60, 120, 120, 300
 
@@ -86,8 +88,13 @@ def records(incidents: DataFrame, scored: DataFrame, origins: DataFrame, now_sec
     alert = scored.join(origins, ["key", "rule", "opened_sec"]).select("key", "rule", F.col("opened_sec").alias("at"), "severity", "origin")
     own = incidents.join(alert, ["key", "rule"]).where((F.col("at") >= F.col("opened_sec")) & (F.col("at") <= F.col("last_sec")))
     rows = own.groupBy(*incidents.columns).agg(worst(F.col("severity")).alias("max_severity"), F.min_by("origin", "at").alias("origin"))
-    numbered = rows.withColumn("id", F.format_string("inc_%04d", F.row_number().over(Window.orderBy("opened_sec", "key", "rule"))))  # a row for each incident
-    return incident_state(numbered, now_sec).drop("incident")
+    # numbered hour by hour, after as many as there were in the hours before, which a table of hours tells
+    rows = written(rows.withColumn("_hour", F.floor(F.col("opened_sec") / CHUNK_S)), "incidents")
+    upto = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = rows.groupBy("_hour").agg(F.count("*").alias("_n")).select("_hour", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_hour").orderBy("opened_sec", "key", "rule"))
+    numbered = rows.join(hours, "_hour").withColumn("id", F.format_string("inc_%04d", F.col("_before") + place))
+    return incident_state(numbered, now_sec).drop("incident", "_hour", "_before")
 
 
 def acknowledged(records: DataFrame, acks: DataFrame) -> DataFrame:
