@@ -128,10 +128,10 @@ def ordered_templates(texts: DataFrame, templates: tuple[tuple[str, str], ...] =
 
 
 def in_reach(own: str, need: Column, width: Column) -> Column:
-    """Indices of the places of own (array<struct<at, word>>, in order) from which on the need-th place is less than width words away: a
+    """(i, at) of the places of own (array<struct<at, word>>, in order) from which on the need-th place is less than width words away: a
     window that starts at another one has too few words left to hold need different ones."""
     last = lambda x, i: F.coalesce(F.get(own, i + need - 1)["at"] < x["at"] + width, F.lit(False))
-    return F.array_compact(F.transform(own, lambda x, i: F.when(last(x, i), i)))
+    return F.array_compact(F.transform(own, lambda x, i: F.when(last(x, i), F.struct(i.alias("i"), x["at"].alias("at")))))
 
 
 def matching_blocks(texts: DataFrame, templates: DataFrame) -> DataFrame:
@@ -147,9 +147,8 @@ def matching_blocks(texts: DataFrame, templates: DataFrame) -> DataFrame:
     width = F.col("size") * WIDTH
     pairs = pairs.withColumn("starts", in_reach("own", F.col("need"), width)).where(F.size("starts") > 0)
 
-    def block(i: Column) -> Column:
-        x = F.get("own", i)
-        inside = F.filter(F.slice("own", i + 1, width), lambda y: y["at"] < x["at"] + width)
+    def block(x: Column) -> Column:
+        inside = F.filter(F.slice("own", x["i"] + 1, width), lambda y: y["at"] < x["at"] + width)
         shared = F.array_distinct(F.transform(inside, lambda y: y["word"]))
         told = F.size(F.array_intersect(shared, "telling")) == F.size("telling")
         return F.struct(F.when(told, F.size(shared)).otherwise(0).alias("shared"), (-x["at"]).alias("back"))

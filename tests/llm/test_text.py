@@ -448,8 +448,8 @@ def check_licenses(rows, texts):
 def test_windows_with_too_few_words_left_are_not_looked_at(spark):
     near, far = [(i, "a") for i in (3, 5, 8, 40, 41, 42)], [(10 * i, "a") for i in range(9)]
     df = spark.createDataFrame([(1, near), (2, far), (3, [])], "id int, own array<struct<at: long, word: string>>")
-    got = {r["id"]: r["x"] for r in df.select("id", licenses.in_reach("own", F.lit(3), F.lit(6)).alias("x")).collect()}
-    assert got == {1: [0, 3], 2: [], 3: []}
+    got = {r["id"]: [(x["i"], x["at"]) for x in r["x"]] for r in df.select("id", licenses.in_reach("own", F.lit(3), F.lit(6)).alias("x")).collect()}
+    assert got == {1: [(0, 3), (3, 40)], 2: [], 3: []}
 
 
 def test_licenses(spark, sf, texts):
