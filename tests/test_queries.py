@@ -14,6 +14,7 @@ from logquill.operators import detectors
 from logquill.plans import oracle, queries
 from logquill.sources import loglines
 from logquill.streaming import alerts, per_second
+from logquill.streaming.timed import stream_session
 
 SF = "/root/testdata/sf0.001"
 SOME = [
@@ -58,20 +59,20 @@ def test_stream_in_many_batches_equals_batch(spark, tmp_path):
     """Lines in files of ten seconds each, with a silent component and an error burst."""
     events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").where("event_id < 9000")
     lines = loglines.lines_from_events(events).collect()
-    folder = tmp_path / "log"
+    own, folder = stream_session(spark), tmp_path / "log"
     folder.mkdir()
     for k in range(0, 9000, 1500):
         part = [r["value"] for r in sorted(lines, key=lambda r: r["event_id"]) if k <= r["event_id"] < k + 1500]
         (folder / f"part-{k:05d}.log").write_text("\n".join(part) + "\n")
         os.utime(folder / f"part-{k:05d}.log", (1_700_000_000 + k, 1_700_000_000 + k))
-    counts = per_second.per_second_stream(per_second.read_log_stream(spark, str(folder)))
+    counts = per_second.per_second_stream(per_second.read_log_stream(own, str(folder)))
     table, path = per_second.drained(counts, "t")
     got = {(r["key"], r["sec"]): (r["tot"], r["err"]) for r in table.collect()}
     batch = queries.counting.per_second(queries.parse(loglines.lines_from_events(events)))
     want = {(r["key"], r["sec"]): (r["tot"], r["err"]) for r in batch.collect()}
     last = max(s for _, s in want)
     assert got == {k: v for k, v in want.items() if k[1] <= last - 2}
-    opened, _ = per_second.drained(alerts.fast_alerts(spark.readStream.schema(table.schema).parquet(path)), "a")
+    opened, _ = per_second.drained(alerts.fast_alerts(own.readStream.schema(table.schema).parquet(path)), "a")
     rows = detectors.with_baseline(queries.windows.sliding(queries.windows.dense(batch.where(f"sec <= {last - 2}"))))
     rows = detectors.hysteresis(rows.withColumn("hit", detectors.z_rule(rows, 10, detectors.Z_FAST)), queries.F.col("hit"), queries.F.lit(detectors.K_FAST))
     expected = {(r["key"], r["sec"]) for r in rows.where("opened_now").collect()}
