@@ -22,7 +22,14 @@ def flags(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def stats(df: DataFrame, column: str) -> DataFrame:
-    """category, n of all matches in a column."""
-    counts = df.select(*(c.alias(k) for k, c in r.counts(F.coalesce(column, F.lit(""))).items()))
-    sums = counts.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in r.CATEGORIES))
+    """category, n of all matches in a column, each pattern counted after the replacements before it.
+
+    Only words with a hint are looked at. Each replacement is a projection of its own, so that a text is replaced once a
+    pattern, and not anew in each later pattern's expression."""
+    rows = df.where(F.col(column).rlike(r.HINT)).select(r.hinted(F.col(column)).alias("_text"))
+    for i, (_, pattern) in enumerate(r.PATTERNS):
+        found, left = F.regexp_count("_text", F.lit(pattern)).cast("long"), F.regexp_replace("_text", pattern, r.MARK)
+        rows = rows.select(*(f"_n{j}" for j in range(i)), found.alias(f"_n{i}"), left.alias("_text"))
+    each = lambda k: sum((F.col(f"_n{i}") for i, (c, _) in enumerate(r.PATTERNS) if c == k), F.lit(0))
+    sums = rows.agg(*(F.coalesce(F.sum(each(k)), F.lit(0)).cast("long").alias(k) for k in r.CATEGORIES))
     return sums.select(F.explode(F.create_map(*(x for k in r.CATEGORIES for x in (F.lit(k), F.col(k))))).alias("category", "n"))
