@@ -24,6 +24,7 @@ OUTPUT = "key string, opened_sec long, total long, errors long, z double"
 LEARNED = "key string, rule string, opened_sec long, window_s int, total long, errors long, baseline double"
 SILENCE = "key string, opened_sec long, total long, usual double"
 WINDOW, LONGEST, FORGET_S = 10, 300, 900
+WINDOWS = (10, 30, 60, LONGEST)
 
 
 def each_second(start: Callable[[str], dict], step: Callable[[dict, str, int, int, int], tuple | None], forget_s: int = FORGET_S) -> Fold:
@@ -52,6 +53,24 @@ def each_second(start: Callable[[str], dict], step: Callable[[dict, str, int, in
     return fold
 
 
+def slid(state: dict, windows: tuple[int, ...], now: tuple[int, ...]) -> list[list[int]]:
+    """Moves a state's ring (counts of the last seconds) and its sums over each of windows, the longest last, on by a second;
+    a second costs the same however long the windows are."""
+    ring, sums = state["ring"], state["sums"]
+    ring.append(now)
+    for w, own in zip(windows, sums, strict=True):
+        gone = ring[-1 - w] if len(ring) > w else None
+        for i, x in enumerate(now):
+            own[i] += x - gone[i] if gone else x
+    if len(ring) > windows[-1]:
+        ring.pop(0)
+    return sums
+
+
+def emptied(windows: tuple[int, ...], values: int) -> dict:
+    return {"ring": [], "sums": [[0] * values for _ in windows]}
+
+
 def opens(state: dict, hit: bool, needed: int, quiet: int) -> bool:
     """Moves the counters of a state on; whether an alert opens."""
     state["run"], state["quiet"] = (state["run"] + 1, 0) if hit else (0, state["quiet"] + 1)
@@ -72,13 +91,12 @@ def fast_alerts(counts: DataFrame, vocabulary: voc.Vocabulary = voc.DEFAULT) ->
     bases = {r[1]: max(r[6], FLOOR) for r in vocabulary.component_rows()}
 
     def step(state: dict, key: str, sec: int, tot: int, err: int) -> tuple | None:
-        state["ring"] = [*state["ring"], (tot, err)][-WINDOW:]
-        n, bad = (sum(c) for c in zip(*state["ring"], strict=True))
+        n, bad = slid(state, (WINDOW,), (tot, err))[0]
         z, base = baseline._z(bad, n, bases[key]), bases[key]
         hit = n >= least.get(key, MIN_N) and z > Z_FAST and bad / max(n, 1) > base + MIN_DELTA and sec - state["spoken"] < LONGEST
         return (sec, n, bad, z) if opens(state, hit, K_FAST, QUIET) else None
 
-    return _judged(counts, list(bases), each_second(lambda key: {"ring": [], "run": 0, "quiet": 0, "open": False}, step), OUTPUT)
+    return _judged(counts, list(bases), each_second(lambda key: emptied((WINDOW,), 2) | {"run": 0, "quiet": 0, "open": False}, step), OUTPUT)
 
 
 def learned_alerts(counts: DataFrame, vocabulary: voc.Vocabulary = voc.DEFAULT) -> DataFrame:
@@ -91,10 +109,9 @@ def learned_alerts(counts: DataFrame, vocabulary: voc.Vocabulary = voc.DEFAULT)
 
     def step(state: dict, key: str, sec: int, tot: int, err: int) -> tuple | None:
         rate, window, least = limits.get(key, voc.DEFAULT_THRESHOLD)
-        state["ring"] = [*state["ring"], (tot, err)][-LONGEST:]
         x = {"min_n": least, "limit_rate": rate, "least": limits[key][2] if key in limits else MIN_N}
-        for w in (10, 30, 60, LONGEST):
-            x[f"tot{w}"], x[f"err{w}"] = (sum(c) for c in zip(*state["ring"][-w:], strict=True))
+        for w, own in zip(WINDOWS, slid(state, WINDOWS, (tot, err)), strict=True):
+            x[f"tot{w}"], x[f"err{w}"] = own
         x["t_tot"], x["t_err"] = x[f"tot{window}"], x[f"err{window}"]
         carried = baseline._Key(**state["fold"])
         base, *_, rule, _, opened = baseline.step(carried, key, x, alpha)
@@ -104,7 +121,7 @@ def learned_alerts(counts: DataFrame, vocabulary: voc.Vocabulary = voc.DEFAULT)
         size = {"fast": 10, "wilson": 30, "threshold": window}.get(rule, 60)
         return "threshold" if rule == "wilson" else rule, sec, size, x[f"tot{size}"], x[f"err{size}"], base
 
-    return _judged(counts, list(rates), each_second(lambda key: {"ring": [], "fold": asdict(baseline._Key(rates[key]))}, step), LEARNED)
+    return _judged(counts, list(rates), each_second(lambda key: emptied(WINDOWS, 2) | {"fold": asdict(baseline._Key(rates[key]))}, step), LEARNED)
 
 
 def silence_alerts(counts: DataFrame, vocabulary: voc.Vocabulary = voc.DEFAULT) -> DataFrame:
@@ -112,14 +129,13 @@ def silence_alerts(counts: DataFrame, vocabulary: voc.Vocabulary = voc.DEFAULT)
     SILENT_RATE lines a second in its first minute (`usual`) has had less over the last one, for SILENT_S seconds."""
 
     def step(state: dict, key: str, sec: int, tot: int, err: int) -> tuple | None:
-        state["ring"] = [*state["ring"], tot][-WARMUP_S:]
+        total = slid(state, (WARMUP_S,), (tot,))[0][0]
         state["seen"] += 1
-        total = sum(state["ring"])
         if state["seen"] == WARMUP_S:
             state["usual"] = total / WARMUP_S
         low = state["seen"] > WARMUP_S and state["usual"] > SILENT_RATE and total < SILENT_RATE * WARMUP_S
         state["low"] = state["low"] + 1 if low else 0
         return (sec, total, state["usual"]) if opens(state, state["low"] >= SILENT_S, ADVANCED_BREACHES, ADVANCED_QUIET) else None
 
-    start = {"ring": [], "seen": 0, "usual": 0.0, "low": 0, "run": 0, "quiet": 0, "open": False}
-    return _judged(counts, [r[1] for r in vocabulary.component_rows()], each_second(lambda key: dict(start), step), SILENCE)
+    start = {"seen": 0, "usual": 0.0, "low": 0, "run": 0, "quiet": 0, "open": False}
+    return _judged(counts, [r[1] for r in vocabulary.component_rows()], each_second(lambda key: start | emptied((WARMUP_S,), 1), step), SILENCE)
