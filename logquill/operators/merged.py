@@ -15,7 +15,8 @@ from logquill.sources.tables import written
 
 #: Seconds of a stretch of time within which the latest alert is looked for, and up to which a deploy is told.
 STRETCH_S, DEPLOY_S = 3600, 600
-DEPLOY = "^DEPLOY "
+MARKER = "DEPLOY "
+DEPLOY = f"^{MARKER}"
 
 
 def latest(asked: DataFrame, told: DataFrame, within_s: int) -> DataFrame:
@@ -76,6 +77,11 @@ def merged_incidents(alerts: DataFrame, deploys: DataFrame, grouping_s: int = GR
     return out.select("origin", "opened_sec", "last_sec", "n", F.array_join("keys", ",").alias("keys"), F.col("found.release").alias("deploy"), F.col("found.sec").alias("deploy_sec"))
 
 
+def maybe_deploys(lines: DataFrame) -> DataFrame:
+    """The lines (value) among which all deploy lines are: others needn't be parsed."""
+    return lines.where(F.col("value").cast("string").contains(MARKER))
+
+
 def deploy_lines(parsed: DataFrame) -> DataFrame:
     """(key, sec, release) of the log's deploy lines."""
     lines = parsed.where(F.col("message").rlike(DEPLOY) & F.col("sec").isNotNull())

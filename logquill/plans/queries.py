@@ -587,7 +587,7 @@ def merged_incidents(spark, d):
 
 @query
 def incident_deploy(spark, d):
-    return merged.merged_incidents(alerts(spark, d), merged.deploy_lines(parsed(spark, d)))
+    return merged.merged_incidents(alerts(spark, d), merged.deploy_lines(parse(merged.maybe_deploys(lines(spark, d)))))
 
 
 @query
